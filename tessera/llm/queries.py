@@ -6,16 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode, tokenizer_path
 from .common import table
 from .exact_dedup import exact_groups
+from .mixing import mix_counts
+from .repetition import repetition
+from .url_filter import url_filter
+
+
+def op2_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_counts(table(spark, sf_dir, "documents"))
+
+
+def op3_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition(table(spark, sf_dir, "documents"))
 
 
 def op7_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op9_url_segment_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
+def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_low_discrepancy_mix": op2_low_discrepancy_mix,
+    "op3_repetition_coverage": op3_repetition_coverage,
     "op7_content_sort_dedup": op7_content_sort_dedup,
+    "op9_url_segment_bayes": op9_url_segment_bayes,
+    "op10_trie_bpe": op10_trie_bpe,
 }
 
 ORACLE: dict[str, str] = {
