@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KNOWN = 400_000  # chunks that a worker remembers at most
+KNOWN = 300_000  # chunks of one generation; a worker remembers two, so frequent chunks stay
 
 
 class TrieBpe:
@@ -49,6 +50,8 @@ class TrieBpe:
         self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
         self.beside: dict[tuple[str, str], bool] = {}
         self.known: dict[bytes, tuple[bytes, bytes]] = {}
+        self.older: dict[bytes, tuple[bytes, bytes]] = {}
+        self.coded: dict[str, list[int]] = {}
 
     def fits(self, left: str, right: str) -> bool:
         """May these two tokens be neighbours? Undo their merges, latest first, and look for an earlier one across the border."""
@@ -98,10 +101,15 @@ class TrieBpe:
         return out
 
     def _last(self, piece: str, d: int, end: str, path: list[str]) -> str:
+        ids, beside = self.ids, self.beside
         for start in range(max(0, d - self.longest), d):
             token = piece[start:d] + end
-            if token in self.ids and (start == 0 or self.fits(path[start], token)):
-                return token
+            if token in ids:
+                if start == 0:
+                    return token
+                ok = beside.get((path[start], token))
+                if ok or (ok is None and self.fits(path[start], token)):
+                    return token
         raise ValueError(f"no token ends at {d} of {piece!r}")
 
     def pieces(self, chunk: str) -> list[str]:
@@ -111,11 +119,21 @@ class TrieBpe:
 
     def learn(self, chunks: set[bytes]) -> None:
         """Encode the chunks that are not known yet."""
-        new = {c: self.pieces(c.decode()) for c in chunks if c not in self.known}
-        codes = self.encode_pieces({p for ps in new.values() for p in ps})
+        known, older, token = self.known, self.older, self.token
+        new = {}
+        for c in chunks:
+            if c not in known:
+                if c in older:
+                    known[c] = older[c]
+                else:
+                    new[c] = self.pieces(c.decode())
+        if len(self.coded) > KNOWN:
+            self.coded.clear()
+        codes = self.coded
+        codes |= self.encode_pieces({p for ps in new.values() for p in ps if p not in codes})
         for c, ps in new.items():
-            ids = [i for p in ps for i in codes[p]]
-            self.known[c] = b"".join(i.to_bytes(4, "little") for i in ids), " ".join(map(self.token.__getitem__, ids)).encode()
+            ids = codes[ps[0]] if len(ps) == 1 else [i for p in ps for i in codes[p]]
+            known[c] = struct.pack(f"<{len(ids)}I", *ids), " ".join([token[i] for i in ids]).encode()
 
     def encode_batch(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Ids (little-endian, 32 bits) and decoded text of each text."""
@@ -129,7 +147,7 @@ class TrieBpe:
                     cut.append(text.split())
             chunks = {c for words in cut for c in words if isinstance(c, bytes)}
             if len(self.known) > KNOWN:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.learn(chunks)
             known = self.known
             for words in cut:

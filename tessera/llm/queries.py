@@ -10,7 +10,9 @@ from .bpe import encode, tokenizer_path
 from .common import table
 from .exact_dedup import exact_groups
 from .mixing import mix_counts
+from .quality import quality_scores
 from .repetition import repetition
+from .toxicity import toxicity_scores
 from .url_filter import url_filter
 
 
@@ -22,6 +24,14 @@ def op3_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(table(spark, sf_dir, "documents"))
 
 
+def op4_subsequence_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
@@ -37,6 +47,8 @@ def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_low_discrepancy_mix": op2_low_discrepancy_mix,
     "op3_repetition_coverage": op3_repetition_coverage,
+    "op4_subsequence_kernel_toxicity": op4_subsequence_kernel_toxicity,
+    "op5_nb_svm_quality": op5_nb_svm_quality,
     "op7_content_sort_dedup": op7_content_sort_dedup,
     "op9_url_segment_bayes": op9_url_segment_bayes,
     "op10_trie_bpe": op10_trie_bpe,
