@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode, tokenizer_path
 from .common import table
 from .exact_dedup import exact_groups
+from .html_extract import extract
 from .mixing import mix_counts
 from .quality import quality_scores
 from .repetition import repetition
@@ -16,6 +17,10 @@ from .toxicity import toxicity_scores
 from .url_filter import url_filter
 
 
+def op1_min_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op2_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_min_cut_text": op1_min_cut_text,
     "op2_low_discrepancy_mix": op2_low_discrepancy_mix,
     "op3_repetition_coverage": op3_repetition_coverage,
     "op4_subsequence_kernel_toxicity": op4_subsequence_kernel_toxicity,

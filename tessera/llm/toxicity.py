@@ -1,19 +1,20 @@
 """Toxicity: a subsequence string kernel and a support vector machine over Nyström landmarks.
 
 Two words are compared by the letters-in-order triples that they share, each occurrence worth DECAY per letter that it
-spans, so gapped and padded spellings stay close. The kernel is computed from its explicit triples (spans up to
-SPAN). Landmarks are words: those that mark the toxic sentences of the training sample, and frequent others. A
-sentence is described by its best kernel value for each landmark, taken through the inverse root of the landmarks' own
-kernel matrix; a linear hinge-loss model is fitted on labelled sentences by dual coordinate descent. A text scores as
-its worst sentence does, calibrated to a probability on whole documents.
+spans, so gapped and padded spellings stay close; a word's start is a letter too, of weight EDGE. The kernel is computed from its explicit triples (spans up to
+SPAN). Landmarks are words: those that set the toxic documents of the training sample apart, and frequent others. A
+word is described by its kernel values for the landmarks, taken through the inverse root of the landmarks' own kernel
+matrix, and a linear support vector machine (squared hinge loss) over these is fitted on labelled sentences: every
+word of a clean sentence is clean, and a toxic sentence has a witness, at first the word that sets toxic documents
+apart, then the word that the model finds worst. Sentences of toxic documents without a witness stay out of the fit.
 
-The sentences of clean documents are clean. Of a toxic document, those sentences are toxic that hold one of the words
-that set toxic documents apart; documents without one stay out of the fit.
+A sentence is as bad as its worst word. A text scores by its worst sentence and by how much badness its sentences
+hold together, calibrated to a probability on whole documents.
 
 Fitting takes a bounded sample of labelled rows (``most``); scoring is one narrow pass over whole texts. A worker
 remembers the words it has compared, within a bound. A null or empty text has no sentences and scores as one without
-any landmark. Without labels of both classes every score is 0.5. Repeated rows are scored one by one; only identifier and text are
-looked at.
+any word near a landmark. Without labels of both classes every score is 0.5. Repeated rows are scored one by one; only
+identifier and text are looked at.
 """
 
 from __future__ import annotations
@@ -30,12 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .training import calibrate, dual_coordinate_descent, fold, labelled_sample
+from .training import fold, labelled_sample, logistic, squared_hinge
 
 DECAY, SPAN, LONGEST = 0.6, 6, 32
-MARKED, PLAIN = 128, 32  # landmarks of either kind
-CLOSE = 0.35  # kernel values below this count as none
-ALIKE = 0.8  # a marker this close to one already chosen is no landmark of its own
+MARKED, PLAIN = 96, 16  # landmarks of either kind
+EDGE = 2.0
+ACCENTED = "éèêëäâàáöôóòüûúùßçñíîïì"  # letters of their own; others with marks count as their base
+SYMBOLS = 27 + len(ACCENTED)
+CODES = SYMBOLS**3
+CLOSE = 0.4  # kernel values below this count as none
+POWER = 4  # a power of a kernel is a kernel, and a sharper one
+CHANCE = 26.0  # a marker's gain in log likelihood; no chance word of a vocabulary of a million comes near
+CLEAN = 40.0  # weight of all clean words together; that of the witnesses is 2
+ALIKE = 0.9  # a marker this close to one already chosen is no landmark of its own
 KNOWN = 400_000  # words of one generation; a worker remembers two
 #: Letters that stand for others.
 LEET = str.maketrans("013457@$!|", "oieastasil")
@@ -44,36 +52,40 @@ STOP = (b".", b"!", b"?", b":", b";")
 
 
 def letters(word: bytes) -> str:
-    """A word's letters, a to z: marks and joints dropped, look-alikes put back."""
+    """A word's letters: punctuation around and joints within dropped, look-alikes put back."""
     w = word.decode("utf-8", "replace").lower().strip(".,;:!?\"'()[]{}<>#*$%&|=~^_+-/\\")
-    if not w.isascii():
-        w = "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c))
-    if not w.isalpha() or not w.isascii():
+    if not (w.isascii() and w.isalpha()):
         if any(c.isalpha() for c in w):
             w = w.translate(LEET)
-        w = re.sub("[^a-z]", "", w)
+        w = "".join(c if c in ACCENTED else unicodedata.normalize("NFD", c)[0] for c in unicodedata.normalize("NFC", w))
+        w = "".join(c for c in w if "a" <= c <= "z" or c in ACCENTED)
     return w[:LONGEST] if len(w) <= 3 * LONGEST else ""
 
 
 def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word number, triple code and weight of all distinct triples of the words."""
     size = max(map(len, words), default=0)
+    size += 1
+    code_of = np.full(256, -1, np.int16)
+    code_of[97:123] = range(26)
+    code_of[list(ACCENTED.encode("latin-1"))] = range(27, SYMBOLS)
     grid = np.full((len(words), size + SPAN), -1, np.int16)
+    grid[:, 0] = 26  # the start
     for i, w in enumerate(words):
-        grid[i, : len(w)] = np.frombuffer(w.encode(), np.uint8) - 97
+        grid[i, 1 : len(w) + 1] = code_of[np.frombuffer(w.encode("latin-1"), np.uint8)]
     who, code, weight = [], [], []
     for j in range(1, SPAN - 1):
         for k in range(j + 1, SPAN):
             a, b, c = grid[:, :size], grid[:, j : size + j], grid[:, k : size + k]
             at = np.nonzero((a >= 0) & (c >= 0))
             who.append(at[0])
-            code.append(a[at].astype(np.int64) * 676 + b[at] * 26 + c[at])
-            weight.append(np.full(len(at[0]), DECAY ** (k + 1)))
+            code.append((a[at].astype(np.int64) * SYMBOLS + b[at]) * SYMBOLS + c[at])
+            weight.append(np.where(at[1] == 0, EDGE, 1.0) * DECAY ** (k + 1))
     if not who:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    key = np.concatenate(who).astype(np.int64) * 17576 + np.concatenate(code)
+    key = np.concatenate(who).astype(np.int64) * CODES + np.concatenate(code)
     keys, inverse = np.unique(key, return_inverse=True)
-    return keys // 17576, keys % 17576, np.bincount(inverse, np.concatenate(weight), len(keys))
+    return keys // CODES, keys % CODES, np.bincount(inverse, np.concatenate(weight), len(keys))
 
 
 class Landmarks:
@@ -83,8 +95,9 @@ class Landmarks:
         self.words = words
         who, code, weight = triples(words)
         norm = np.sqrt(np.bincount(who, weight**2, len(words)))
-        self.table = np.zeros((17576, len(words)), np.float32)
+        self.table = np.zeros((CODES, len(words)), np.float32)
         self.table[code, who] = weight / np.where(norm > 0, norm, 1)[who]
+        self.most = self.table.max(axis=1, initial=0.0)
 
     def kernel(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.words)), np.float32)
@@ -94,140 +107,171 @@ class Landmarks:
             if not len(who):
                 continue
             norm = np.sqrt(np.bincount(who, weight**2, len(part)))
+            may = np.bincount(who, weight * self.most[code], len(part)) >= CLOSE * norm  # no value can pass this sum
+            some = may[who]
+            who, code, weight = who[some], code[some], weight[some]
+            if not len(who):
+                continue
             values = self.table[code] * (weight / norm[who]).astype(np.float32)[:, None]
             first = np.flatnonzero(np.diff(who, prepend=-1))
             out[begin + who[first]] = np.add.reduceat(values, first, axis=0)
         out[out < CLOSE] = 0
-        return out
+        return out**POWER
 
 
 class Reader:
-    """Cuts texts into sentences and describes each by its best kernel values."""
+    """Margins of words, and of the sentences of texts; words near no landmark have none."""
 
-    def __init__(self, marks: Landmarks) -> None:
-        self.marks = marks
-        self.known: dict[bytes, np.ndarray | None] = {}
-        self.older: dict[bytes, np.ndarray | None] = {}
-        self.near: dict[str, np.ndarray | None] = {}  # by letters
+    def __init__(self, marks: Landmarks, weight: np.ndarray, bias: float) -> None:
+        self.marks, self.weight, self.bias = marks, weight, bias
+        self.known: dict[bytes, float | None] = {}
+        self.older: dict[bytes, float | None] = {}
+        self.near: dict[str, float | None] = {}  # by letters
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) > KNOWN:
             self.known, self.older = {}, self.known
         if len(self.near) > KNOWN:
             self.near = {}
-        new = []
+        known, older, near, new = self.known, self.older, self.near, []
         for w in words:
-            if w not in self.known:
-                if w in self.older:
-                    self.known[w] = self.older[w]
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
                 else:
                     new.append((w, letters(w)))
-        near = self.near
         open_ = sorted({s for _, s in new if len(s) >= 3 and s not in near})
-        values = self.marks.kernel(open_)
-        some = values.any(axis=1)
-        near.update((s, values[i] if some[i] else None) for i, s in enumerate(open_))
-        self.known.update((w, near.get(s)) for w, s in new)
-
-    def sentences(self, texts: list[bytes]) -> Iterator[list[np.ndarray]]:
-        """For each text, the best kernel values of those sentences that come close to any landmark."""
+        if open_:
+            values = self.marks.kernel(open_)
+            margin, some = (values @ self.weight + self.bias).tolist(), values.any(axis=1).tolist()
+            near.update((s, m if x else None) for s, m, x in zip(open_, margin, some, strict=True))
+        known.update((w, near.get(s)) for w, s in new)
+
+    def sentences(self, texts: list[bytes]) -> Iterator[list[float]]:
+        """For each text, the margins of its sentences that hold a word near a landmark."""
         for begin in range(0, len(texts), 128):
-            cut = [t.split() for t in texts[begin : begin + 128]]
-            spelled = [[re.sub(rb"[^A-Za-z0-9@$]", b"", m) for m in SPELLED.findall(t)] for t in texts[begin : begin + 128]]
+            part = texts[begin : begin + 128]
+            cut = [t.split() for t in part]
+            spelled = [[re.sub(rb"[^A-Za-z0-9@$]", b"", m) for m in SPELLED.findall(t)] for t in part]
             self.learn({w for words in cut for w in words} | {w for words in spelled for w in words})
             known = self.known
             for words, apart in zip(cut, spelled, strict=True):
-                found = [known[w] for w in apart if known[w] is not None]
-                near = [i for i, w in enumerate(words) if known[w] is not None]
+                found = [m for w in apart if (m := known[w]) is not None]
+                near = [(i, m) for i, w in enumerate(words) if (m := known[w]) is not None]
                 if near:
-                    open_: list[np.ndarray] = [known[words[near[0]]]]
-                    for i, j in zip(near, near[1:]):
-                        if any(w.endswith(STOP) for w in words[i:j]):
-                            found.append(np.max(open_, axis=0))
-                            open_ = []
-                        open_.append(known[words[j]])
-                    found.append(np.max(open_, axis=0))
+                    last, best = near[0]
+                    for i, m in near[1:]:
+                        if any(w.endswith(STOP) for w in words[last:i]):
+                            found.append(best)
+                            best = m
+                        best, last = max(best, m), i
+                    found.append(best)
                 yield found
 
 
-def _markers(texts: list[bytes], y: np.ndarray) -> list[str]:
-    """Words that set toxic documents apart, the clearest first."""
+def summary(sentences: list[float], bias: float) -> tuple[float, float]:
+    """The worst sentence, and the badness of all together."""
+    if not sentences:
+        return bias, 0.0
+    return max(bias, *sentences), float(np.log1p(sum(m for m in sentences if m > 0)))
+
+
+def _markers(bags: list[set[str]], y: np.ndarray) -> list[str]:
+    """Words that set toxic documents apart, the surest first."""
     counts = [Counter(), Counter()]
-    for t, label in zip(texts, y, strict=True):
-        counts[label].update({s for s in map(letters, set(t.split())) if len(s) >= 3})
-    n = [max(1, int((y == 0).sum())), max(1, int((y == 1).sum()))]
-    least = max(2, n[1] // 200)
-    odds = {w: np.log((c + 0.5) / n[1]) - np.log((counts[0][w] + 0.5) / n[0]) for w, c in counts[1].items() if c >= least}
-    return sorted((w for w, o in odds.items() if o > 2), key=lambda w: (-odds[w], w))
+    for bag, label in zip(bags, y, strict=True):
+        counts[label].update(bag)
+    n0, n1 = int((y == 0).sum()), int((y == 1).sum())
+    out = []
+    for w, c in counts[1].items():
+        d = counts[0][w]
+        p1, p0, p = c / n1, d / n0, (c + d) / (n0 + n1)
+        if p1 > 4 * p0:
+            gain = 2 * (c * np.log(p1 / p) + (d * np.log(p0 / p) if d else 0.0))  # of the log likelihood, against one rate for both
+            out.append((gain, w))
+    return [w for gain, w in sorted(out, key=lambda x: (-x[0], x[1])) if gain > CHANCE]
 
 
 def _apart(words: list[str], most: int) -> list[str]:
     """The first words none of which is much like another."""
-    out: list[str] = []
-    words = words[: 16 * most]
+    words = words[: 8 * most]
+    taken: list[int] = []
     if words:
-        alike = Landmarks(words).kernel(words) > ALIKE
-        taken: list[int] = []
+        alike = Landmarks(words).kernel(words) > ALIKE**POWER
         for i in range(len(words)):
             if len(taken) < most and not alike[i, taken].any():
                 taken.append(i)
-        out = [words[i] for i in taken]
-    return out
-
-
-def fit(texts: list[bytes], y: np.ndarray, totals: dict[int, int]) -> tuple[list[str], np.ndarray, float, float, float]:
-    """Landmarks, weights by landmark, the least margin (of sentences near none), and the calibration."""
-    found = _markers(texts, y)
+    return [words[i] for i in taken]
+
+
+def fit(texts: list[bytes], y: np.ndarray, totals: dict[int, int]) -> tuple[list[str], np.ndarray, float, np.ndarray]:
+    """Landmarks, weights by landmark, bias, and the calibration of a text's summary."""
+    prior = totals.get(1, 0) / max(1, sum(totals.values()))
+    flat = np.array([0.0, 0.0, np.log(prior / (1 - prior)) if 0 < prior < 1 else 0.0])
+    if len(set(y)) < 2:
+        return [], np.zeros(0), 0.0, flat * 0
+    spelt: dict[bytes, str] = {}
+    bags: list[set[str]] = []
+    for t in texts:
+        words = set(t.split())
+        spelt |= {w: letters(w) for w in words if w not in spelt}
+        bags.append({s for w in words if len(s := spelt[w]) >= 3})
+    found = _markers(bags, y)
+    if not found:
+        return [], np.zeros(0), 0.0, flat
     marked = _apart(found, MARKED)
-    if len(set(y)) < 2 or not marked:
-        prior = totals.get(1, 0) / max(1, sum(totals.values())) if len(set(y)) == 2 else 0.5
-        return [], np.zeros(0), 0.0, 0.0, float(np.log(prior / (1 - prior))) if 0 < prior < 1 else 0.0
-    common = Counter(s for t in texts for s in {letters(w) for w in t.split()} if len(s) >= 4)
-    plain = [w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0])) if w not in marked][:PLAIN]
+    in_clean = Counter(w for bag, label in zip(bags, y, strict=True) if not label for w in bag)
+    plain = [w for w, _ in sorted(in_clean.items(), key=lambda x: (-x[1], x[0])) if len(w) >= 4 and w not in marked][:PLAIN]
     marks = Landmarks(marked + plain)
-    reader = Reader(marks)
-    described = list(reader.sentences(texts))
-    rows, signs = [], []
-    for sentences, label in zip(described, y, strict=True):
-        for s in sentences:
-            if label == 0 or (s[: len(marked)] > ALIKE).any():
-                rows.append(s)
-                signs.append(1 if label else -1)
-    x = np.array(rows + [np.zeros(len(marks.words), np.float32)])
-    signs = np.array(signs + [-1])
-    values, vectors = np.linalg.eigh(marks.kernel(marks.words).astype(float) + 1e-3 * np.eye(len(marks.words)))
-    root = vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T
-    z = np.hstack([x @ root, np.ones((len(x), 1))])
-    cost = np.where(signs > 0, len(signs) / max(1, 2 * (signs > 0).sum()), len(signs) / max(1, 2 * (signs < 0).sum()))
-    at = np.arange(z.shape[1])
-    w = dual_coordinate_descent([(at, v) for v in z], signs, z.shape[1], cost, passes=20)
+    vocabulary = sorted(set(in_clean) | set(found) | {w for bag in bags for w in bag})
+    values = marks.kernel(vocabulary)
+    some = np.flatnonzero(values.any(axis=1))
+    at, values = {vocabulary[i]: k for k, i in enumerate(some)}, values[some].astype(float)
+    clean = np.array([in_clean[vocabulary[i]] for i in some], float)
+    pairs, vectors = np.linalg.eigh(marks.kernel(marks.words).astype(float) + 1e-3 * np.eye(len(marks.words)))
+    root = vectors @ np.diag(np.maximum(pairs, 1e-3) ** -0.5) @ vectors.T
+    z = np.hstack([values @ root, np.ones((len(values), 1))])
+    toxic = [[at[s] for s in {spelt.get(w) or letters(w) for w in sentence.split()} if s in at] for t, label in zip(texts, y, strict=True) if label for sentence in re.split(rb"[.!?;:\n]", t)]
+    rank = {at[w]: r for r, w in enumerate(found) if w in at}
+    first = Counter(min(ks, key=lambda k: rank.get(k, len(found))) for ks in toxic if any(k in rank for k in ks))
+    other = [ks for ks in toxic if ks and not any(k in rank for k in ks)]
+    witness = first
+    for _ in range(2):
+        bad = np.zeros(len(z))
+        for k, n in witness.items():
+            bad[k] = min(n, 50)
+        use = np.concatenate([np.flatnonzero(clean), np.flatnonzero(bad)])
+        signs = np.concatenate([-np.ones(int((clean > 0).sum())), np.ones(int((bad > 0).sum()))])
+        mass = np.concatenate([np.minimum(clean[clean > 0], 50), bad[bad > 0]])
+        mass *= len(signs) * np.where(signs > 0, 2 / mass[signs > 0].sum(), CLEAN / mass[signs < 0].sum())
+        w = squared_hinge(z[use], signs, mass)
+        margin = z @ w
+        witness = first + Counter(k for ks in other if margin[k := max(ks, key=lambda j: margin[j])] > 0)
     weight, bias = root @ w[:-1], float(w[-1])
-    margin = np.array([max([bias, *(float(s @ weight) + bias for s in sentences)]) for sentences in described])
+    reader = Reader(marks, weight, bias)
+    x = np.array([summary(s, bias) for s in reader.sentences(texts)])
     importance = np.where(y == 1, totals[1] / (y == 1).sum(), totals[0] / (y == 0).sum())
-    a, b = calibrate(margin, np.where(y == 1, 1, -1), importance / importance.mean())
-    return marks.words, weight, bias, a, b
+    return marks.words, weight, bias, logistic(x, y, importance / importance.mean())
 
 
-def _worker_reader(words: list[str]) -> Reader:
+def _worker_reader(words: list[str], weight: np.ndarray, bias: float) -> Reader:
     """One reader for a worker process, which outlives a task."""
     home = sys.modules.setdefault("_tessera_toxicity", types.ModuleType("_tessera_toxicity"))
-    if getattr(home, "words", None) != words:
-        home.words, home.reader = words, Reader(Landmarks(words))
+    key = (tuple(words), weight.tobytes(), bias)
+    if getattr(home, "key", None) != key:
+        home.key, home.reader = key, Reader(Landmarks(words), weight, bias)
     return home.reader
 
 
 def _scores(model) -> Callable:  # noqa: ANN001 (a broadcast)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, weight, bias, a, b0 = model.value
-        reader = _worker_reader(words) if words else None
+        words, weight, bias, c = model.value
+        reader = _worker_reader(words, weight, bias) if words else None
         for b in batches:
             texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
-            margin = np.full(len(texts), bias)
-            if reader:
-                for i, sentences in enumerate(reader.sentences(texts)):
-                    if sentences:
-                        margin[i] = max(bias, float((np.array(sentences) @ weight).max()) + bias)
-            score = 1 / (1 + np.exp(-np.clip(a * margin + b0, -30, 30)))
+            found = reader.sentences(texts) if reader else ([] for _ in texts)
+            x = np.array([summary(s, bias) for s in found]).reshape(-1, 2)
+            score = 1 / (1 + np.exp(-np.clip(x @ c[:2] + c[2], -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], names=["id", "score"])
 
     return run

@@ -52,18 +52,39 @@ def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.nda
     return w
 
 
-def calibrate(margin: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """a, b of 1 / (1 + exp(-(a * margin + b))), by Newton steps on the weighted log loss with a small ridge."""
-    a, b = 1.0, 0.0
-    t = (y > 0).astype(float)
+def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 50) -> np.ndarray:
+    """Weights of the L2-regularised squared-hinge model of few columns, by Newton steps over the rows inside the margin."""
+    w = np.zeros(x.shape[1])
+    active = np.ones(len(x), bool)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        g, h = weight * (p - t), weight * p * (1 - p)
-        grad = np.array([g @ margin + 1e-3 * a, g.sum()])
-        hess = np.array([[h @ margin**2 + 1e-3, h @ margin], [h @ margin, h.sum() + 1e-9]])
-        step = np.linalg.solve(hess + 1e-9 * np.eye(2), grad)
+        part = x[active] * cost[active, None]
+        w = np.linalg.solve(x[active].T @ part + np.eye(x.shape[1]), part.T @ y[active])
+        now = y * (x @ w) < 1
+        if (now == active).all():
+            break
+        active = now
+    return w
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 80) -> np.ndarray:
+    """Coefficients of the columns of ``x`` and last the constant, by damped Newton steps on the weighted log loss with a small ridge. ``y``: 1 or less."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    t, c = (y > 0).astype(float), np.zeros(x.shape[1])
+    ridge = np.full(x.shape[1], 1e-2)
+    ridge[-1] = 1e-9
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
+        grad = x.T @ (weight * (p - t)) + ridge * c
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-6)
+        step = np.linalg.solve(hess, grad)
         size = float(np.abs(step).max())
-        a, b = a - step[0] * min(1, 2 / size if size else 1), b - step[1] * min(1, 2 / size if size else 1)
+        c = c - step * min(1.0, 2 / size if size else 1.0)
         if size < 1e-8:
             break
+    return c
+
+
+def calibrate(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """a, b of 1 / (1 + exp(-(a * margin + b)))."""
+    a, b = logistic(margin[:, None], y, weight)
     return float(a), float(b)
