@@ -10,6 +10,7 @@ from .bpe import encode, tokenizer_path
 from .common import table
 from .exact_dedup import exact_groups
 from .html_extract import extract
+from .jaccard_join import jaccard_components
 from .mixing import mix_counts
 from .quality import quality_scores
 from .repetition import repetition
@@ -41,6 +42,10 @@ def op7_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op8_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("n_classes")
+
+
 def op9_url_segment_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_subsequence_kernel_toxicity": op4_subsequence_kernel_toxicity,
     "op5_nb_svm_quality": op5_nb_svm_quality,
     "op7_content_sort_dedup": op7_content_sort_dedup,
+    "op8_signature_tree_join": op8_signature_tree_join,
     "op9_url_segment_bayes": op9_url_segment_bayes,
     "op10_trie_bpe": op10_trie_bpe,
 }
@@ -70,4 +76,22 @@ ORACLE: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)
     """,
+    "op8_signature_tree_join": r"""
+        WITH RECURSIVE w AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l
+            FROM documents
+        ), s AS MATERIALIZED (
+            SELECT DISTINCT doc_id, hash(array_to_string(l[i:i + 4], ' ')) AS g
+            FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 4, 1) + 1)) AS i FROM w WHERE len(l) > 0)
+        ), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        o AS MATERIALIZED (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+        ), e AS MATERIALIZED (
+            SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)
+        ), r AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b
+        )
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.b AS component_id
+        FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) m ON m.a = d.doc_id
+    """,
 }
