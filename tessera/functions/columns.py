@@ -67,11 +67,15 @@ def median(c: Column) -> Column:
 
 
 def rank_pct(c: Column | str, by: list[str]) -> Column:
-    """Average rank over count, 0 < p <= 1, among the non-null values of a group."""
+    """Average rank over count, 0 < p <= 1, among the non-null values of a group.
+
+    Rank, ties (the peers of a row) and count share one partitioning, so any number of ranks costs one shuffle.
+    """
     x = col(c)
-    below = F.rank().over(Window.partitionBy(*by, x.isNull()).orderBy(x))
-    ties, valid = F.count(x).over(Window.partitionBy(*by, x)), F.count(x).over(Window.partitionBy(*by))
-    return F.when(x.isNotNull(), (below + (ties - 1) / 2) / valid)
+    group = Window.partitionBy(*by)
+    ordered = group.orderBy(x.asc_nulls_last())
+    ties = F.count(x).over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(x.isNotNull(), (F.rank().over(ordered) + (ties - 1) / 2) / F.count(x).over(group))
 
 
 def bins(p: Column, n: int = 10) -> Column:
