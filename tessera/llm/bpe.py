@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 KNOWN = 300_000  # chunks of one generation; a worker remembers two, so frequent chunks stay
 
 
@@ -195,6 +197,6 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """One row per row of ``docs``: id, n_tokens, ids_sha256, decoded_sha256, and with ``keep_ids`` the ids themselves (32 bits each, little-endian)."""
     with open(path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())  # a tokenizer file: its size is fixed
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if keep_ids else "")
     return rows.mapInArrow(_encoded(spec, keep_ids), schema).withColumnRenamed("id", id_col)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, staged
+from .common import bounded, partitions, staged
 
 HEAD = 32  # normalised bytes that lead the sort key
 
@@ -84,10 +84,10 @@ def _runs(best: Callable, whole: bool, schema: pa.Schema) -> Callable:
 
 
 def _sorted(docs: DataFrame, id_col: str, text_col: str, keep: str, carried: list[str]) -> DataFrame:
-    frame = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in carried)).alias("rest")] if carried else []))
+    frame = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in carried)).alias("rest")] if carried else []))
     schema = T.StructType([*frame.schema.fields, T.StructField("head", T.BinaryType()), T.StructField("sha", T.StringType())])
     first: Column = F.col("id").asc_nulls_last() if keep == "min" else F.col("id").desc_nulls_last()
-    return frame.mapInArrow(_digest, schema).repartitionByRange(partitions(docs.sparkSession), "head", "sha", first).sortWithinPartitions("head", "sha", "text", first)
+    return frame.mapInArrow(_digest, schema).repartitionByRange(partitions(docs.sparkSession), "head", "sha", first).sortWithinPartitions("head", "sha", first)
 
 
 def _joined(runs: DataFrame, keep: str) -> DataFrame:

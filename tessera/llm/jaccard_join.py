@@ -34,12 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Roller, partitions, staged
+from .common import Roller, bounded, partitions, staged
 from .components import components
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 3, 4
-CHUNK_TOKENS, CHUNK_DOCS = 1_000_000, 20_000
+CHUNK_TOKENS, CHUNK_DOCS = 500_000, 20_000
 LEAF = 48  # sets of a leaf of a large block
 NODE = 8  # sets of the lowest nodes of a tree
 BROADCAST_ROWS = 1_000_000  # identifiers sent to all executors at most (16 MB); beyond, they are joined by shuffle
@@ -361,7 +361,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per row of ``docs``: id, n_shingles, component_id, n_classes (different sets in the component)."""
     spark: SparkSession = docs.sparkSession
     ranges = partitions(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     info = staged(texts.mapInArrow(_described, "id long, n long, digest long"), "jaccard-info")
     classes = staged(info.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep")), "jaccard-classes")
 

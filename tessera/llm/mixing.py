@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _SPACE, staged, word_bounds
+from .common import _SPACE, bounded, staged, word_bounds
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -118,7 +118,6 @@ def _taken(sized: DataFrame, seed: int, block: int) -> tuple[DataFrame, DataFram
     sizes, n_docs = np.array([r["size"] for r in stats], float), sum(r.n for r in stats)
     target = targets(sizes, np.array([WEIGHTS[i % len(WEIGHTS)] for i in range(len(stats))], float))
     whole = [int(round(t)) for t in target]
-    block = min(block, max(1, min((w // 64 for w in whole if w), default=1)))  # a small source needs short blocks
     rows = []
     for i, r in enumerate(stats):
         size = int(r["size"])
@@ -147,7 +146,7 @@ def _taken(sized: DataFrame, seed: int, block: int) -> tuple[DataFrame, DataFram
     runs = spark.range(0, -(-total >> RUN_BITS), numPartitions=max(1, min(1000, total >> RUN_BITS)))
     slots = runs.mapInArrow(_slots(bounds, quota, total), "src long, rank long")
     dealt = np.diff([0, *counts_before(total, bounds)]) if total else []
-    short = [(i, int(dealt[i]), quota[i]) for i in range(len(quota)) if dealt[i] < quota[i]]
+    short = [(i, int(n), q) for i, (n, q) in enumerate(zip(dealt, quota)) if n < q]
     if short:  # the few ranks that the points left open close the mix
         slots = slots.unionByName(spark.createDataFrame(short, "src long, a long, b long").select("src", F.explode(F.expr("sequence(a, b - 1)")).alias("rank")))
     cut = (F.col("rank") == F.col("quota") - 1) & (F.col("rest") > 0)  # the last slot ends at the target
@@ -165,7 +164,7 @@ def _taken(sized: DataFrame, seed: int, block: int) -> tuple[DataFrame, DataFram
 
 def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: id, source, size, source_size, target, taken."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
     sized = staged(rows.mapInArrow(_sizes, "id long, source string, size long").withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
     taken, sources = _taken(sized, seed, block)
     joined = sized.join(taken, "row", "left").join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("s")))
@@ -185,7 +184,7 @@ def _first_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, block: int = BLOCK) -> DataFrame:
     """The mix itself: ``docs`` with each row as often as it is taken, the last copy cut where its source's target ends."""
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("rest")
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), rest)
+    rows = bounded(docs).select(F.col(text_col).cast("string").alias("text"), rest)
     keyed = staged(rows.select(F.monotonically_increasing_id().alias("row"), "text", "rest"), "mix-rows")
     sized = keyed.select("row", F.col("rest").getField(id_col).cast("long").alias("id"), F.col("rest").getField(source_col).cast("string").alias("source"), "text")
     sized = staged(sized.mapInArrow(_sizes, "row long, id long, source string, size long"), "mix-sizes")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Roller, word_bounds
+from .common import Roller, bounded, splitmix, word_bounds
 
 SYMBOLS = b"#*$%&|<>"
 #: Percent of a text's word characters inside n-grams that repeat an earlier one, above which it goes.
@@ -65,7 +65,7 @@ def measure(text: bytes, roll: Roller, symbol: np.ndarray) -> tuple:
     lines, n_dup, dup_chars = _dup_lines(text)
     failed = 100 * n_dup > LINES * lines or 100 * dup_chars > LINE_CHARS * word_chars
 
-    words = roll.slices(roll.prefix(roll.byte[raw]), start, end)
+    words = splitmix(roll.slices(roll.prefix(roll.byte[raw]), start, end))  # mixed, or windows of words would collide as their bytes' sums do
     prefix = roll.prefix(words)
     repeat_words = 0
     for g in REPEATED:
@@ -101,5 +101,5 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its counts, whether the base rule fails it, and the verdict of all rules."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_measured, SCHEMA).withColumnRenamed("id", id_col)

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
 from .training import fold, labelled_sample, logistic, squared_hinge
 
 DECAY, SPAN, LONGEST = 0.6, 6, 32
@@ -283,6 +284,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", fo
     rows = sorted((r.id, r.y, r.text or "") for r in sample.collect())  # ``most`` rows at most
     model = fit([t.encode() for _, _, t in rows], np.array([y for _, y, _ in rows], int), totals)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     scored = texts.mapInArrow(_scores(shared), "id long, score double")
     return scored.select(F.col("id").alias(id_col), F.coalesce(fold(F.col("id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

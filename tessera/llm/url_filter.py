@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Labelled phrases, each worth PHRASE_WEIGHT rows.
@@ -123,7 +125,7 @@ def _scored(counts: dict[str, int], weight: dict[str, float], skip: frozenset[st
 def url_filter(pages: DataFrame, rules: tuple = RULES, id_col: str = "page_id", url_col: str = "url", text_col: str | None = "html", vocabulary: int = 50_000, margin: float = 2.0) -> DataFrame:
     """One row per row of ``pages``: id, host, path, rule, verdict, tokens, log_odds (of block)."""
     skip = frozenset(re.findall(r"[a-z]+", " ".join(h + p for _, h, p in rules))) | {"http", "https", "html", "com"}
-    words = pages.select(F.col(text_col or url_col).cast("string").alias("text")).mapInArrow(_page_words, "word string, n long")
+    words = bounded(pages).select(F.col(text_col or url_col).cast("string").alias("text")).mapInArrow(_page_words, "word string, n long")
     top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(vocabulary)
     counts: dict[str, int] = {r.word: r.n for r in top.collect()}  # ``vocabulary`` rows at most
     common = max(counts.values(), default=1)
