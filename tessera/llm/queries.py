@@ -14,6 +14,7 @@ from .jaccard_join import jaccard_components
 from .mixing import mix_counts
 from .quality import quality_scores
 from .repetition import repetition
+from .suffix_repeats import repeated_spans
 from .toxicity import toxicity_scores
 from .url_filter import url_filter
 
@@ -38,6 +39,10 @@ def op5_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_sparse_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_repetition_coverage": op3_repetition_coverage,
     "op4_subsequence_kernel_toxicity": op4_subsequence_kernel_toxicity,
     "op5_nb_svm_quality": op5_nb_svm_quality,
+    "op6_sparse_suffix_repeats": op6_sparse_suffix_repeats,
     "op7_content_sort_dedup": op7_content_sort_dedup,
     "op8_signature_tree_join": op8_signature_tree_join,
     "op9_url_segment_bayes": op9_url_segment_bayes,
