@@ -25,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded
+from .common import bounded, tidy
 
-KNOWN = 300_000  # chunks of one generation; a worker remembers two, so frequent chunks stay
+KNOWN = 120_000  # chunks of one generation; a task remembers two, so frequent chunks stay
+BORDERS = 500_000  # pairs of neighbouring tokens that a task remembers
 
 
 class TrieBpe:
@@ -55,6 +56,11 @@ class TrieBpe:
         self.older: dict[bytes, tuple[bytes, bytes]] = {}
         self.coded: dict[str, list[int]] = {}
 
+    def forget(self) -> None:
+        """Drop what was remembered; the tokenizer stays."""
+        for kept in (self.beside, self.known, self.older, self.coded):
+            kept.clear()
+
     def fits(self, left: str, right: str) -> bool:
         """May these two tokens be neighbours? Undo their merges, latest first, and look for an earlier one across the border."""
         key = (left, right)
@@ -73,7 +79,7 @@ class TrieBpe:
                 limit, left = a[0], a[2]
             else:
                 limit, right = b[0] + 1, b[1]  # of equal merges, the one further left comes first
-        if len(self.beside) > 2_000_000:
+        if len(self.beside) > BORDERS:
             self.beside.clear()
         self.beside[key] = ok
         return ok
@@ -162,7 +168,7 @@ class TrieBpe:
 
 
 def _worker_encoder(spec: str) -> TrieBpe:
-    """One encoder for a worker process, which outlives a task; what it remembers is bounded."""
+    """One encoder for a worker process, which outlives a task; what it remembers is bounded and goes when the task ends."""
     home = sys.modules.setdefault("_tessera_bpe", types.ModuleType("_tessera_bpe"))
     key = hashlib.sha256(spec.encode()).hexdigest()
     if getattr(home, "key", None) != key:
@@ -173,6 +179,7 @@ def _worker_encoder(spec: str) -> TrieBpe:
 def _encoded(spec, keep_ids: bool) -> Callable:  # noqa: ANN001 (a broadcast)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _worker_encoder(spec.value)
+        encoder.forget()
         for b in batches:
             texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
             n, ids, sha, decoded = [], [], [], []
@@ -184,6 +191,8 @@ def _encoded(spec, keep_ids: bool) -> Callable:  # noqa: ANN001 (a broadcast)
                     ids.append(code)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(decoded, pa.string()), *([pa.array(ids, pa.binary())] if keep_ids else [])], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])])
 
+        encoder.forget()
+
     return run
 
 
@@ -199,4 +208,4 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         spec = docs.sparkSession.sparkContext.broadcast(f.read())  # a tokenizer file: its size is fixed
     rows = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if keep_ids else "")
-    return rows.mapInArrow(_encoded(spec, keep_ids), schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(_encoded(spec, keep_ids)), schema).withColumnRenamed("id", id_col)

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Roller, bounded, partitions, staged
+from .common import Roller, bounded, partitions, staged, tidy
 from .components import components
 
 SHINGLE = 5
@@ -208,9 +208,9 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _blocks(docs: DataFrame, ranges: int) -> DataFrame:
     """(node, label): digests of sets that may link, and their block."""
-    out = docs.select("text").mapInArrow(_out(ranges), _PACKED).repartition(ranges, "to")
-    back = out.mapInArrow(_back, _PACKED).repartition(ranges, "to")
-    edges = back.mapInArrow(_prefixes(ranges), _PACKED).repartition(ranges, "to").mapInArrow(_stars, "u long, v long")
+    out = docs.select("text").mapInArrow(tidy(_out(ranges)), _PACKED).repartition(ranges, "to")
+    back = out.mapInArrow(tidy(_back), _PACKED).repartition(ranges, "to")
+    edges = back.mapInArrow(tidy(_prefixes(ranges)), _PACKED).repartition(ranges, "to").mapInArrow(tidy(_stars), "u long, v long")
     return components(edges, "jaccard-blocks")
 
 
@@ -342,7 +342,7 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _tiles(rows: DataFrame, ranges: int) -> DataFrame:
     rows = rows.select("tile", "node", "label", "set")
-    return rows.repartition(ranges, "tile").sortWithinPartitions("tile", "node").mapInArrow(_searched, "u long, v long")
+    return rows.repartition(ranges, "tile").sortWithinPartitions("tile", "node").mapInArrow(tidy(_searched), "u long, v long")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +362,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark: SparkSession = docs.sparkSession
     ranges = partitions(spark)
     texts = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    info = staged(texts.mapInArrow(_described, "id long, n long, digest long"), "jaccard-info")
+    info = staged(texts.mapInArrow(tidy(_described), "id long, n long, digest long"), "jaccard-info")
     classes = staged(info.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep")), "jaccard-classes")
 
     blocks = _blocks(texts, ranges)
@@ -373,7 +373,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = staged(blocks.join(classes, F.col("node") == F.col("digest")).select("node", "block", "leaves", "rep"), "jaccard-members")
     n = members.count()
     sets = texts.join(_small(members, n), F.col("id") == F.col("rep")).select("node", "block", "leaves", "text")
-    sets = sets.mapInArrow(_sets, "node long, block long, leaves long, n long, digest long, set binary").where("digest = node")  # another text of the same identifier
+    sets = sets.mapInArrow(tidy(_sets), "node long, block long, leaves long, n long, digest long, set binary").where("digest = node")  # another text of the same identifier
     # leaves by size first, so that neighbours are alike
     by_size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR)))
     leaf = F.concat_ws("-", F.lpad(by_size.cast("string"), 4, "0"), F.lpad(F.pmod(F.xxhash64("node"), F.col("leaves")).cast("string"), 9, "0"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Roller, bounded, word_bounds
+from .common import Roller, bounded, tidy, word_bounds
 from .training import calibrate, dual_coordinate_descent, fold, labelled_sample
 
 BITS = 18
@@ -142,7 +142,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", f
     """One row per row of ``docs``: id, held_out, score, predicted."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label, folds, held_out, most, id_col, text_col))
     rows = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    scored = rows.mapInArrow(_scores(model), "id long, score double")
+    scored = rows.mapInArrow(tidy(_scores(model)), "id long, score double")
     return scored.select(F.col("id").alias(id_col), F.coalesce(fold(F.col("id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -150,5 +150,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", folds:
     """``docs`` without the rows that score below 0.5, all columns as they were."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label, folds, held_out, most, id_col, text_col))
     rows = bounded(docs).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
-    scored = rows.mapInArrow(_scores(model), rows.select("row").schema.add("score", "double")).where("score >= 0.5")
+    scored = rows.mapInArrow(tidy(_scores(model)), rows.select("row").schema.add("score", "double")).where("score >= 0.5")
     return scored.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
