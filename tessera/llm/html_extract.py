@@ -5,9 +5,11 @@ cost for either label; these costs are the capacities to the two terminals of a
 blocks under the same parent, are joined by edges that weaken with their distance in the document tree. The
 maximum flow separates content from boilerplate at the least total cost.
 
-Character references are decoded, white space inside a block becomes one space, and the content blocks are joined in
-page order by a line feed. A null or empty page, or one without content, gives an empty text. Pages of any length are
-taken whole and one by one, repeated rows too; other columns do not matter.
+Scripts, styles, titles and text fields are left out up to their closing tag or the end of the page; drawings, formulas,
+buttons, lists of choices, embedded and unscripted parts up to their own closing tag, and where that is missing only the
+tag itself is. Character references are decoded, white space inside a block becomes one space, and the content blocks are
+joined in page order by a line feed. A null or empty page, or one without content, gives an empty text. Pages of any
+length are taken whole and one by one, repeated rows too; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -25,10 +27,14 @@ from pyspark.sql import functions as F
 from .common import bounded
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|math|textarea|select|button|title|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[a-zA-Z][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[a-zA-Z][^>]*>",
     re.S | re.I,
 )
+#: Elements whose text is no markup: up to the closing tag, or the end of the page.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "title", "textarea")}
+#: Elements left out as a whole; without a closing tag of their own, only the tag goes.
+LEFT_OUT = frozenset({"noscript", "template", "iframe", "svg", "math", "select", "button", "object"})
+FOREIGN = frozenset({"svg", "math"})  # here a tag that ends in a slash is an element without content
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset({"hr"})
@@ -77,6 +83,38 @@ def _hints(tag: str, attributes: str, within: bool) -> tuple[bool, bool, bool]:
     return apart, tag in CONTENT_TAGS, named and not apart
 
 
+def tags(html: str) -> list[tuple[int, int, str, bool, str]]:
+    """Start, end, name, whether it closes, and attributes of each tag; what is left out is one tag without a name."""
+    out: list[tuple[int, int, str, bool, str]] = []
+    opened: dict[str, list[int]] = {}
+    until: dict[int, int] = {}  # the tag that closes an element left out
+    at = 0
+    while m := TOKEN.search(html, at):
+        at = m.end()
+        tag, closing, attributes = (m[2] or "").lower(), bool(m[1]), m[3] or ""
+        empty = attributes.endswith("/") and (tag in FOREIGN or (tag in RAW and any(opened.get(t) for t in FOREIGN)))
+        if tag in RAW and not closing:
+            if not empty:
+                end = RAW[tag].search(html, at)
+                at = end.end() if end else len(html)
+            tag = ""
+        elif tag in LEFT_OUT:
+            if not closing and not empty:
+                opened.setdefault(tag, []).append(len(out))
+            elif closing and opened.get(tag):
+                until[opened[tag].pop()] = len(out)
+            tag = ""
+        out.append((m.start(), at, tag, closing, attributes))
+    if not until:
+        return out
+    kept, i = [], 0
+    while i < len(out):
+        last = until.get(i, i)
+        kept.append((out[i][0], out[last][1], *out[i][2:]))
+        i = last + 1
+    return kept
+
+
 def blocks(html: str) -> list[Block]:
     """Blocks of text in page order, with what their ancestors tell."""
     stack: list[tuple[str, bool, bool, bool, int]] = [("", False, False, False, 0)]
@@ -98,13 +136,11 @@ def blocks(html: str) -> list[Block]:
         if links:
             open_.linked += len(raw.strip())
 
-    for m in TOKEN.finditer(html):
-        text(html[at : m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
+    for start, end, tag, closing, attributes in tags(html):
+        text(html[at:start])
+        at = end
         if not tag:
             continue
-        closing = bool(m[2])
         if tag == "a":
             links = max(0, links - 1) if closing else 1
         elif tag == "br":
@@ -120,7 +156,7 @@ def blocks(html: str) -> list[Block]:
                     stack.pop()
                 if tag not in VOID:
                     _, apart, inside, named, _ = stack[-1]
-                    a, i, n = _hints(tag, m[4] or "", inside)
+                    a, i, n = _hints(tag, attributes, inside)
                     serial += 1
                     stack.append((tag, apart or a, inside or i, named or n, serial))
         elif tag == "img" and open_ is not None:

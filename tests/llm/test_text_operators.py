@@ -165,6 +165,19 @@ def test_main_text(spark):
     assert got[6].text.startswith("<plain") and extract(spark.createDataFrame([], pages.schema)).count() == 0
 
 
+def test_text_after_elements_left_out():
+    rest = "This is the article and it has enough words to be kept as the main text of the page."
+    for before in ('<svg-icon name="x"></svg-icon>', "<button-group>", "<title-bar>", "<svg/>", '<math class="a" />', "<button>", "<select>", "<iframe src=x>", "<button><p>Open</p><button>Menu</button>", "<svg><title/></svg>", "<svg><path/></svg>", "<svg><svg></svg><text>drawn words</text></svg>"):
+        got = main_text(f"{before}<p>{rest}</p>").split("\n")
+        assert got[-1] == rest and not {"Menu", "drawn words"} & set(got), before
+        got = main_text(f"<p>{rest}</p>{before}<p>{rest}</p><button>Menu</button><svg></svg>").split("\n")
+        assert got[0] == got[-1] == rest, before
+    for before in ("<script>", "<style>", "<title>", "<textarea>", "<noscript>", "<object>"):
+        hidden = before.replace("<", "</")
+        assert main_text(f"{before}<p>{rest} Hidden.</p>{hidden}<p>{rest}</p>") == rest
+    assert main_text(f"<p>{rest}</p><script>var a = '<p>{rest}</p>'") == rest
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(6)
     for _ in range(30):
