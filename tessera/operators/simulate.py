@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,27 +130,30 @@ def plan(candidates: DataFrame, hold: int, max_pos: int = 0, max_new: int = 0, l
     A day first frees the places that end by then, leaves out entities already held, and takes the rest in order of
     ``key`` (null last, then row order) as far as places, new positions a day or the ladder's next step allow. What finds
     no place is not bought later. The choice of a day depends on all days before, so a scenario is one ordered fold
-    over its candidates; scenarios run side by side. ``candidates``: scenario, code, day, row, key.
+    over its candidates; scenarios run side by side. Of a day only the first candidates reach the fold: no more of them
+    than are held can be left out before the last place is given. ``candidates``: scenario, code, day, row, key.
     """
     steps = []
     for s in ladder or ():
         steps.append(s + (steps[-1] if steps else 0))
     places = steps[-1] if steps else (max_pos or 1 << 40)
     weight = 1.0 / places if steps else 1.0
+    new = max(ladder) if steps else max_new or max_pos  # of a day; 0: all
+    held_most = min(places, new * (hold + 1))
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["day", "key", "code"], na_position="last", kind="stable")
         held: dict[int, int] = {}  # code: exit day
         taken: list[tuple] = []
         scenario = rows["scenario"].iloc[0]
-        for day, group in rows.groupby("day", sort=True):
+        for day, group in groupby(zip(rows["day"].tolist(), rows["code"].tolist(), rows["row"].tolist(), strict=True), itemgetter(0)):
             held = {c: x for c, x in held.items() if x > day}
             room = places - len(held)
             if steps:
                 want = next((s for s in steps if s > len(held)), len(held)) - len(held)
             else:
                 want = min(room, max_new or room)
-            for code, row in zip(group["code"], group["row"]):
+            for _, code, row in group:
                 if want <= 0 or room <= 0:
                     break
                 if code in held:
@@ -157,7 +163,12 @@ def plan(candidates: DataFrame, hold: int, max_pos: int = 0, max_new: int = 0, l
                 want, room = want - 1, room - 1
         return pd.DataFrame(taken, columns=["scenario", "entry_day", "exit_day", "code", "day", "row", "weight"]).astype({"scenario": object})
 
-    return candidates.select("scenario", "code", "day", "row", F.col("key").cast("double").alias("key")).groupBy("scenario").applyInPandas(fold, PLAN)
+    key = F.col("key").cast("double")
+    rows = candidates.select("scenario", "code", "day", "row", F.when(~F.isnan(key), key).alias("key"))
+    if new:
+        first = Window.partitionBy("scenario", "day").orderBy(F.asc_nulls_last("key"), "code")
+        rows = rows.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= held_most + new).drop("_k")
+    return rows.groupBy("scenario").applyInPandas(fold, PLAN)
 
 
 def planned_portfolio(holds: DataFrame, days: DataFrame, hold: int, cost: float = COST, basis: str = "invested", places: int = 0) -> DataFrame:

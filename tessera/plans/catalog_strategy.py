@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import entity, lead, ratio
 from ..operators import cross as X
 from ..operators import simulate as D
+from ..sources.files import staged
 from ..sources.panel import calendar, panel
 from . import query as Q
 from . import sql as S
@@ -390,29 +391,40 @@ def drawdown_depth(spark, sf):
 # ---- plans under a capacity, beyond SQL -------------------------------------------------------------------------------
 
 
-def _candidates(spark, sf, seeds: int = 0) -> DataFrame:
-    sig = D.with_path(prepared(spark, sf), HOLD).where("signal")
-    one = sig.select(F.lit("deep").alias("scenario"), "code", "day", "row", F.col("px_ma60_pct").alias("key"), "path")
+#: Random plans beside the deepest-first one, as many as the reference draws.
+DRAWS = 200
+
+
+def _signals(spark, sf) -> DataFrame:
+    return D.with_path(prepared(spark, sf), HOLD).where("signal").select("code", "day", "row", "px_ma60_pct", "path")
+
+
+def _candidates(sig: DataFrame, seeds: int = 0) -> DataFrame:
+    """The deepest first, and ``seeds`` random orders; dealt by day, so that a day's candidates are trimmed where they are made."""
     if not seeds:
-        return one
-    rand = sig.select(F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"), "code", "day", "row", "path")
-    rand = rand.select(F.concat(F.lit("rand"), F.col("seed")).alias("scenario"), "code", "day", "row", F.xxhash64("code", "day", "seed").cast("double").alias("key"), "path")
-    return one.unionByName(rand)
+        return sig.select(F.lit("deep").alias("scenario"), "code", "day", "row", F.col("px_ma60_pct").alias("key"))
+    each = sig.select("code", "day", "row", "px_ma60_pct").repartition("day").withColumn("seed", F.explode(F.sequence(F.lit(-1), F.lit(seeds - 1))))
+    deep = F.col("seed") < 0
+    name = F.when(deep, "deep").otherwise(F.concat(F.lit("rand"), F.col("seed")))
+    return each.select(name.alias("scenario"), "code", "day", "row", F.when(deep, F.col("px_ma60_pct")).otherwise(F.xxhash64("code", "day", "seed").cast("double")).alias("key"))
 
 
 @query("capacity_plan")
 def capacity_plan(spark, sf):
-    return D.plan(_candidates(spark, sf), HOLD, max_pos=10, max_new=2)
+    return D.plan(_candidates(_signals(spark, sf)), HOLD, max_pos=10, max_new=2)
 
 
 @query("ladder_plan")
 def ladder_plan(spark, sf):
-    return D.plan(_candidates(spark, sf), HOLD, ladder=(1, 2, 2, 2, 3))
+    return D.plan(_candidates(_signals(spark, sf)), HOLD, ladder=(1, 2, 2, 2, 3))
 
 
 def _planned(spark, sf, seeds: int = 0, **how):
-    c = _candidates(spark, sf, seeds)
-    return D.plan(c, HOLD, **how).join(c.select("scenario", "code", "row", "path"), ["scenario", "code", "row"])
+    sig = _signals(spark, sf)
+    if seeds:
+        sig = staged(sig, "control-signals")
+    holds = D.plan(_candidates(sig, seeds), HOLD, **how).join(sig.select("code", "row", "path"), ["code", "row"])
+    return staged(holds, "control-holds") if seeds else holds
 
 
 @query("capacity_nav")
@@ -427,7 +439,7 @@ def capacity_occupancy(spark, sf):
 
 @query("random_control")
 def random_control(spark, sf):
-    nav = D.planned_portfolio(_planned(spark, sf, 20, max_pos=10, max_new=2), _days(spark, sf), HOLD, basis="capital", places=10)
+    nav = D.planned_portfolio(_planned(spark, sf, DRAWS, max_pos=10, max_new=2), _days(spark, sf), HOLD, basis="capital", places=10)
     return D.random_control(D.annual_stats(nav, ["scenario"]), "deep")
 
 

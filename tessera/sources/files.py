@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +58,24 @@ def write_version(df: DataFrame, root: str) -> str:
     return path
 
 
+_own_dir: list[str] = []
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write rows that are needed twice once, to spark.checkpoint.dir or what else all executors share, and read them back."""
+    spark = df.sparkSession
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
+    if not root:
+        if not _own_dir:
+            _own_dir.append(tempfile.mkdtemp(prefix="tessera-"))
+            atexit.register(shutil.rmtree, _own_dir[0], True)
+        root = "file://" + _own_dir[0]
+    path = write_version(df, f"{root.rstrip('/')}/{label}")
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
     """CSV with a header and a byte-order mark before the first name, which spreadsheets look for."""
     out = df.select(*(columns or df.columns))
