@@ -8,6 +8,9 @@ matrix, and a linear support vector machine (squared hinge loss) over these is f
 word of a clean sentence is clean, and a toxic sentence has a witness, at first the word that sets toxic documents
 apart, then the word that the model finds worst. Sentences of toxic documents without a witness stay out of the fit.
 
+A word of more than LONGEST letters is as bad as the worst of what lies between its joints and of its overlapping
+stretches. Letters of all scripts count; a script without spaces is read in such stretches too.
+
 A sentence is as bad as its worst word. A text scores by its worst sentence and by how much badness its sentences
 hold together, calibrated to a probability on whole documents.
 
@@ -25,6 +28,7 @@ import types
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +42,8 @@ DECAY, SPAN, LONGEST = 0.6, 6, 32
 MARKED, PLAIN = 96, 16  # landmarks of either kind
 EDGE = 2.0
 ACCENTED = "éèêëäâàáöôóòüûúùßçñíîïì"  # letters of their own; others with marks count as their base
-SYMBOLS = 27 + len(ACCENTED)
-CODES = SYMBOLS**3
+POINT = 21  # bits of a code point
+SHORT = (8, 16)  # a word over LONGEST letters is also read in stretches as short as these
 CLOSE = 0.4  # kernel values below this count as none
 POWER = 4  # a power of a kernel is a kernel, and a sharper one
 CHANCE = 26.0  # a marker's gain in log likelihood; no chance word of a vocabulary of a million comes near
@@ -49,44 +53,81 @@ KNOWN = 400_000  # words of one generation; a worker remembers two
 #: Letters that stand for others.
 LEET = str.maketrans("013457@$!|", "oieastasil")
 SPELLED = re.compile(rb"(?<![^\s])[A-Za-z0-9@$](?:[\s.*_-]+[A-Za-z0-9@$]){2,}(?![^\s])")
+JOINT = re.compile(r"[\W_]+")
 STOP = (b".", b"!", b"?", b":", b";")
 
 
-def letters(word: bytes) -> str:
-    """A word's letters: punctuation around and joints within dropped, look-alikes put back."""
-    w = word.decode("utf-8", "replace").lower().strip(".,;:!?\"'()[]{}<>#*$%&|=~^_+-/\\")
+class _Alphabet(dict):
+    """What each character counts as: a letter of any script, with the vowel signs that some scripts write as marks."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        whole = c if c in ACCENTED else unicodedata.normalize("NFD", c)
+        self[point] = out = "".join(x for x in whole if x.isalpha() or (0x900 <= ord(x) < 0xFE00 and unicodedata.category(x) in ("Mn", "Mc") and not unicodedata.combining(x)))
+        return out
+
+
+ALPHABET = _Alphabet()
+
+
+def _spelt(w: str) -> str:
     if not (w.isascii() and w.isalpha()):
         if any(c.isalpha() for c in w):
             w = w.translate(LEET)
-        w = "".join(c if c in ACCENTED else unicodedata.normalize("NFD", c)[0] for c in unicodedata.normalize("NFC", w))
-        w = "".join(c for c in w if "a" <= c <= "z" or c in ACCENTED)
-    return w[:LONGEST] if len(w) <= 3 * LONGEST else ""
+        w = unicodedata.normalize("NFC", w).translate(ALPHABET)
+    return w
+
+
+def _bare(word: bytes) -> str:
+    return word.decode("utf-8", "replace").lower().strip(".,;:!?\"'()[]{}<>#*$%&|=~^_+-/\\")
+
+
+def letters(word: bytes) -> str:
+    """A word's letters: punctuation around and joints within dropped, look-alikes put back."""
+    return _spelt(_bare(word))
+
+
+def stretches(word: bytes) -> Iterator[str]:
+    """What is compared of a word: its letters, or those between its joints and overlapping stretches of LONGEST and fewer letters where it has more."""
+    whole = letters(word)
+    if len(whole) <= LONGEST:
+        yield whole
+        return
+    for part in JOINT.split(_bare(word)):
+        if 3 <= len(one := _spelt(part)) <= LONGEST:
+            yield one
+    for n in (*SHORT, LONGEST):
+        step = n // 4
+        for i in range(0, len(whole) - n + step, step):
+            yield whole[i : i + n]
 
 
 def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word number, triple code and weight of all distinct triples of the words."""
-    size = max(map(len, words), default=0)
-    size += 1
-    code_of = np.full(256, -1, np.int16)
-    code_of[97:123] = range(26)
-    code_of[list(ACCENTED.encode("latin-1"))] = range(27, SYMBOLS)
-    grid = np.full((len(words), size + SPAN), -1, np.int16)
-    grid[:, 0] = 26  # the start
-    for i, w in enumerate(words):
-        grid[i, 1 : len(w) + 1] = code_of[np.frombuffer(w.encode("latin-1"), np.uint8)]
+    """Word number, triple code and weight of all distinct triples of the words, each of LONGEST letters at most; a code is three code points."""
+    length = np.array([len(w) for w in words], int)
+    size = length.max(initial=0) + 1
+    points, symbol = np.unique(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    points = np.concatenate([[0], points.astype(np.int64)])  # the start
+    symbols = len(points)  # at most 2000 * LONGEST, so that keys have less than 63 bits
+    grid = np.full((len(words), size + SPAN), -1, np.int32)
+    grid[:, 0] = 0
+    grid[:, 1 : size][np.arange(size - 1) < length[:, None]] = symbol + 1
     who, code, weight = [], [], []
     for j in range(1, SPAN - 1):
         for k in range(j + 1, SPAN):
             a, b, c = grid[:, :size], grid[:, j : size + j], grid[:, k : size + k]
             at = np.nonzero((a >= 0) & (c >= 0))
             who.append(at[0])
-            code.append((a[at].astype(np.int64) * SYMBOLS + b[at]) * SYMBOLS + c[at])
+            code.append((a[at].astype(np.int64) * symbols + b[at]) * symbols + c[at])
             weight.append(np.where(at[1] == 0, EDGE, 1.0) * DECAY ** (k + 1))
-    if not who:
+    if not words:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    key = np.concatenate(who).astype(np.int64) * CODES + np.concatenate(code)
+    codes = symbols**3
+    key = np.concatenate(who).astype(np.int64) * codes + np.concatenate(code)
     keys, inverse = np.unique(key, return_inverse=True)
-    return keys // CODES, keys % CODES, np.bincount(inverse, np.concatenate(weight), len(keys))
+    who, code = keys // codes, keys % codes
+    code = (points[code // symbols**2] << 2 * POINT) | (points[code // symbols % symbols] << POINT) | points[code % symbols]
+    return who, code, np.bincount(inverse, np.concatenate(weight), len(keys))
 
 
 class Landmarks:
@@ -96,8 +137,9 @@ class Landmarks:
         self.words = words
         who, code, weight = triples(words)
         norm = np.sqrt(np.bincount(who, weight**2, len(words)))
-        self.table = np.zeros((CODES, len(words)), np.float32)
-        self.table[code, who] = weight / np.where(norm > 0, norm, 1)[who]
+        self.codes, row = np.unique(code, return_inverse=True)
+        self.table = np.zeros((len(self.codes) + 1, len(words)), np.float32)  # the last row: any other triple
+        self.table[row, who] = weight / np.where(norm > 0, norm, 1)[who]
         self.most = self.table.max(axis=1, initial=0.0)
 
     def kernel(self, words: list[str]) -> np.ndarray:
@@ -108,6 +150,8 @@ class Landmarks:
             if not len(who):
                 continue
             norm = np.sqrt(np.bincount(who, weight**2, len(part)))
+            row = np.searchsorted(self.codes, code)
+            code = np.where(np.append(self.codes, -1)[row] == code, row, len(self.codes))
             may = np.bincount(who, weight * self.most[code], len(part)) >= CLOSE * norm  # no value can pass this sum
             some = may[who]
             who, code, weight = who[some], code[some], weight[some]
@@ -139,15 +183,27 @@ class Reader:
             if w not in known:
                 if w in older:
                     known[w] = older[w]
+                elif len(s := letters(w)) <= LONGEST:
+                    new.append((w, s))
                 else:
-                    new.append((w, letters(w)))
+                    known[w] = self.worst(stretches(w))
         open_ = sorted({s for _, s in new if len(s) >= 3 and s not in near})
         if open_:
-            values = self.marks.kernel(open_)
-            margin, some = (values @ self.weight + self.bias).tolist(), values.any(axis=1).tolist()
-            near.update((s, m if x else None) for s, m, x in zip(open_, margin, some, strict=True))
+            near.update(zip(open_, self.margins(open_), strict=True))
         known.update((w, near.get(s)) for w, s in new)
 
+    def margins(self, words: list[str]) -> list[float | None]:
+        values = self.marks.kernel(words)
+        margin, some = (values @ self.weight + self.bias).tolist(), values.any(axis=1).tolist()
+        return [m if x else None for m, x in zip(margin, some, strict=True)]
+
+    def worst(self, words: Iterator[str]) -> float | None:
+        """The worst margin of a long word's stretches, a bounded number at a time."""
+        out = None
+        while part := sorted(set(islice(words, 2000))):
+            out = max((m for m in (out, *self.margins(part)) if m is not None), default=None)
+        return out
+
     def sentences(self, texts: list[bytes]) -> Iterator[list[float]]:
         """For each text, the margins of its sentences that hold a word near a landmark."""
         for begin in range(0, len(texts), 128):
@@ -211,12 +267,12 @@ def fit(texts: list[bytes], y: np.ndarray, totals: dict[int, int]) -> tuple[list
     flat = np.array([0.0, 0.0, np.log(prior / (1 - prior)) if 0 < prior < 1 else 0.0])
     if len(set(y)) < 2:
         return [], np.zeros(0), 0.0, flat * 0
-    spelt: dict[bytes, str] = {}
+    spelt: dict[bytes, tuple[str, ...]] = {}
     bags: list[set[str]] = []
     for t in texts:
         words = set(t.split())
-        spelt |= {w: letters(w) for w in words if w not in spelt}
-        bags.append({s for w in words if len(s := spelt[w]) >= 3})
+        spelt |= {w: tuple(stretches(w)) for w in words if w not in spelt}
+        bags.append({s for w in words for s in spelt[w] if len(s) >= 3})
     found = _markers(bags, y)
     if not found:
         return [], np.zeros(0), 0.0, flat
@@ -232,7 +288,7 @@ def fit(texts: list[bytes], y: np.ndarray, totals: dict[int, int]) -> tuple[list
     pairs, vectors = np.linalg.eigh(marks.kernel(marks.words).astype(float) + 1e-3 * np.eye(len(marks.words)))
     root = vectors @ np.diag(np.maximum(pairs, 1e-3) ** -0.5) @ vectors.T
     z = np.hstack([values @ root, np.ones((len(values), 1))])
-    toxic = [[at[s] for s in {spelt.get(w) or letters(w) for w in sentence.split()} if s in at] for t, label in zip(texts, y, strict=True) if label for sentence in re.split(rb"[.!?;:\n]", t)]
+    toxic = [[at[s] for s in {s for w in sentence.split() for s in spelt.get(w) or stretches(w)} if s in at] for t, label in zip(texts, y, strict=True) if label for sentence in re.split(rb"[.!?;:\n]", t)]
     rank = {at[w]: r for r, w in enumerate(found) if w in at}
     first = Counter(min(ks, key=lambda k: rank.get(k, len(found))) for ks in toxic if any(k in rank for k in ks))
     other = [ks for ks in toxic if ks and not any(k in rank for k in ks)]

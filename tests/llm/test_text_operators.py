@@ -228,6 +228,22 @@ def test_held_out_fold_is_crc32(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
 
 
+def test_words_of_any_length_and_script():
+    rng = random.Random(5)
+    clean = ["".join(rng.choice(parts) for _ in range(rng.randint(2, 3))) for parts in (["ta", "lo", "mi", "ren", "sel"], ["та", "ло", "ми", "рен", "сел"]) for _ in range(150)]
+    bad = ["грубиян", "vexwort", "zankbub"]
+    texts = [" ".join([*rng.sample(clean, 30), *([bad[i % 3]] if i % 2 else [])]).encode() for i in range(400)]
+    words, weight, bias, _ = X.fit(texts, np.array([i % 2 for i in range(400)]), {0: 200, 1: 200})
+    reader = X.Reader(X.Landmarks(words), weight, bias)
+    long = "talomirenseltalorenmi" * 8
+    cases = ["грубиян", f"{long}_vexwort", f"{long}vexwort{long}", f"{long}\u200bvexwort", f"{'/'.join([long] * 3)}-zankbub.{long}", " ".join(long[:40]) + " " + " ".join("vexwort")]
+    found = list(reader.sentences([t.encode() for t in cases]))
+    for t, x in zip(cases, found, strict=True):
+        assert x and max(x) > 0, t
+    assert all(m <= 0 for x in reader.sentences([long.encode(), texts[0]]) for m in x)
+    assert letters("ПРИВЕТ".encode()) == "привет" and letters("λόγος".encode()) == "λογος" and letters("क्या".encode()) and letters("你好吗".encode()) == "你好吗"
+
+
 def test_string_kernel_equals_its_definition():
     def kernel(s, t):
         def features(w):
