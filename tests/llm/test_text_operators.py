@@ -140,6 +140,8 @@ def test_encoding_equals_the_library(spark):
     rng = random.Random(2)
     texts = ["", "it's DON'T we'll x9y 12", "a<|endoftext|>b <|STARTOFTEXT|>", "café café ΑΣ ßİ 😀😀 \x1c\x85z 你好123", "!!!!??", "z" * 3000, "a b c"]
     texts += ["".join(rng.choice("abcdehilnorstuz éß'0!-") for _ in range(rng.randint(1, 60))) for _ in range(400)]
+    odd = ["<|endoftext|>", "<|STARTOFTEXT|>", "<|startoftext|>", " ", "\xa0", "\x1c", "\x85", "\u0301", "é", "É", "😀", "你", "'S", "1", "²", "½", "İ", "ı", "ſ", "ß", "Σ", "ς", "the", "ing", "ŉ", "\u200b", "|", "<", "!", "€", "…", "ª", "\n", "\x00", "\x7f", "ǅ", "ﬁ", "क्", "ｆ", "x" * 40]
+    texts += ["".join(rng.choice(odd) for _ in range(rng.randint(1, 40))) for _ in range(1000)]
     for text, (code, decoded) in zip(texts, own.encode_batch([t.encode() for t in texts]), strict=True):
         want = library.encode(text, add_special_tokens=False).ids
         assert list(np.frombuffer(code, "<u4")) == want and decoded.decode() == library.decode(want, skip_special_tokens=False) == own.decode(want)
