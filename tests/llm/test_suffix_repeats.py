@@ -83,20 +83,53 @@ def test_edge_cases(spark):
     assert repeated_spans(empty).count() == 0 and drop_repeats(empty).count() == 0
     passage = " ".join(f"p{i}" for i in range(55))
     rows = docs(spark, [passage, passage, passage, "x " + passage, "À é"], [3, 3, None, None, 9])
-    assert {tuple(r) for r in repeated_spans(rows).collect()} == {(None, 0, 56, 56, 55), (3, 0, 55, 55, 55)} or {r.doc_id for r in repeated_spans(rows).collect()} == {None, 3}
-    alone = docs(spark, [passage, passage], [3, 3])  # one document, twice
-    assert repeated_spans(alone).count() == 0
-    assert drop_repeats(rows).count() == 5 and drop_repeats(rows).columns == ["doc_id", "text", "key", "n_chars"]
+    assert {tuple(r) for r in repeated_spans(rows).collect()} == {(3, 0, 55, 55, 0), (None, 0, 55, 55, 55), (None, 1, 56, 55, 55)}
+    assert sorted((r.doc_id or 0, r.text) for r in drop_repeats(rows).collect()) == [(0, ""), (0, "x "), (3, passage), (3, passage), (9, "À é")]
+    assert drop_repeats(rows).columns == ["doc_id", "text", "key", "n_chars"]
+    alone = docs(spark, [passage, passage, passage + " y", None, None], [3, 3, 3, None, None])  # one document, three times
+    assert repeated_spans(alone).count() == 0 and sorted(r.text or "" for r in drop_repeats(alone).collect()) == ["", "", passage, passage, passage + " y"]
+
+
+def test_positions_of_one_row_leave_others_of_its_identifier_alone(spark):
+    unique = " ".join(f"u{i}" for i in range(200))
+    passage = " ".join(f"p{i}" for i in range(120))
+    rows = docs(spark, [passage, passage, unique, unique + " z", passage[:-1] + "x"], [1, 5, 5, None, None])
+    got = sorted((r.doc_id or 0, r.text) for r in drop_repeats(rows).collect())
+    assert got == sorted([(1, passage), (5, ""), (5, unique), (0, "z"), (0, passage.split()[-1][:-1] + "x")])
+    spans = {tuple(r) for r in repeated_spans(rows).collect()}
+    assert spans == {(1, 0, 120, 120, 0), (5, 0, 120, 120, 120), (5, 0, 200, 200, 0), (None, 0, 200, 200, 200), (None, 0, 119, 119, 119)}
+
+
+def test_repeated_and_missing_identifiers_equal_brute_force(spark):
+    texts = corpus(5, 20)
+    rng = random.Random(6)
+    ids = [rng.choice([None, i, i, i // 4]) for i in range(len(texts))]
+    whose = {}  # a row's document: its identifier, or else its text
+    for k, (i, t) in enumerate(zip(ids, texts)):
+        whose[k] = ("id", i) if i is not None else ("text", t)
+    words = [(t or "").encode().lower().split() for t in texts]
+    where = {}
+    for k, w in enumerate(words):
+        for s in range(len(w) - 19):
+            where.setdefault(tuple(w[s : s + 20]), set()).add(whose[k])
+    want = set()
+    for k, w in enumerate(words):
+        hit = {s + x for s in range(len(w) - 19) if len(where[tuple(w[s : s + 20])]) > 1 for x in range(20)}
+        want |= {(ids[k], s, e) for s in hit if s - 1 not in hit for e in [next(x for x in range(s, len(w) + 1) if x not in hit)]}
+    rows = docs(spark, texts, ids).repartition(5)
+    assert {tuple(r)[:3] for r in repeated_spans(rows, min_words=20).collect()} == want
+    left = [r.text for r in drop_repeats(rows, min_words=20).collect()]
+    assert len(left) == len(texts) and {x for t in left for x in (t or "").lower().split()} == {x.decode() for w in words for x in w}
 
 
 @pytest.mark.parametrize("batch", [1, 2, 3, 7, 1000])
 def test_scan_does_not_depend_on_batches(batch):
     rng = np.random.default_rng(batch)
-    rows = rng.integers(0, [12, 3, 4, 3, 1, 1], (400, 6), np.int64)
+    rows = rng.integers(0, [12, 3, 4, 2, 3, 1, 1], (400, 7), np.int64)
     rows[:150, :2] = [4, 1]  # a hot run
     rows = rows[np.lexsort(rows.T[::-1])]
     names = COLUMNS
-    parts = [pa.RecordBatch.from_arrays([pa.array(rows[i : i + batch, k]) for k in range(6)], names=names) for i in range(0, len(rows), batch)]
+    parts = [pa.RecordBatch.from_arrays([pa.array(rows[i : i + batch, k]) for k in range(7)], names=names) for i in range(0, len(rows), batch)]
     got = pa.Table.from_batches(scan(iter(parts))).to_pandas()
     docs_of = lambda *k: {tuple(r[list(k)]): set() for r in rows}
     by_key, by_run = docs_of(0), docs_of(0, 1)
@@ -106,5 +139,6 @@ def test_scan_does_not_depend_on_batches(batch):
     assert len(got) == len(rows) - sum(len(by_key[(r[0],)]) == 1 and r[0] not in (rows[0, 0], rows[-1, 0]) for r in rows)
     assert (got.key_multi == [len(by_key[(k,)]) > 1 for k in got.key]).all()
     assert (got.multi == [len(by_run[k]) > 1 for k in zip(got.key, got.reach)]).all()
-    assert (got.later == got.duplicated(["key", "reach"])).all()
+    head = got.groupby(["key", "reach"])[["doc", "row", "lo"]].transform("first")
+    assert (got.later == (head != got[["doc", "row", "lo"]]).any(axis=1)).all()
     assert got.key_edge.iloc[0] and got.edge.iloc[0] and got.key_edge.iloc[-1] and got.edge.iloc[-1]
