@@ -1,12 +1,16 @@
 """URL filters: rules by host and path, and for the rest a naive Bayes verdict on segmented names.
 
-Host names are cut into words by a unigram Viterbi pass; the unigram counts come from the words of all pages. A
-multinomial naive Bayes model scores the words of host and path. It learns from the URLs that the rules decide
-(without the words that the rules themselves consist of) and from a few labelled phrases. Counts are made by
-Spark over all rows; only the ``vocabulary`` most frequent words and their class counts reach the driver.
+Runs of letters in host and path are cut into words by a unigram Viterbi pass. The unigram counts are those of all words
+of all pages; of these, each distinct run is joined with the words that occur in it, so nothing is cut to a most
+frequent part and no vocabulary leaves Spark's tables. A multinomial naive Bayes model scores the words.
 
-A null url, or one without ``://``, has an empty host and path, fits no rule and is allowed. Repeated rows are judged
-one by one; other columns do not matter.
+It learns from the URLs that the rules decide, and from a few labelled phrases. What a rule decides by is no evidence: the last
+labels of the host and the first segments of the path, as many as any rule names, are left out when learning. A word
+counts once a host and class, and a URL is scored without what its own host has taught: whether another path of its
+host meets a rule does not change its verdict. Words without any evidence weigh nothing.
+
+A null url, or one without ``://``, has an empty host and path, fits no rule and is allowed. Hosts and paths of any length
+are read whole. Repeated rows are judged one by one; an empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -20,18 +24,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded
+from .common import bounded, staged
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Labelled phrases, each worth PHRASE_WEIGHT rows.
+#: Labelled phrases, each worth PHRASE_WEIGHT hosts.
 PHRASES = {
-    "block": ("ads track", "adult x", "ads click banner", "tracker pixel ads", "porn xxx", "adult video x", "casino bet win", "cheap pills", "spam ads", "malware download", "phishing login", "sex cam adult", "gambling slots", "affiliate ads track"),
-    "allow": ("blog", "news article", "www", "m", "school science", "library book", "forum help", "docs guide", "museum history", "health research", "weather report", "data page html"),
+    "block": ("ads track", "adult x", "ads click banner", "tracker pixel ads", "porn xxx", "adult video x", "casino bet win", "cheap pills", "spam ads", "malware download", "phishing login", "sex cam adult", "gambling slots", "affiliate ads track", "poker bets jackpot", "viagra pharmacy pills", "escort dating hookup", "warez crack torrent"),
+    "allow": ("news article", "school science", "library book", "forum help", "docs guide", "museum history", "health research", "weather report", "data page html"),
 }
 PHRASE_WEIGHT = 50
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LONGEST = 24  # letters of a word that segmentation may choose
+#: Runs that are no names.
+PLAIN = frozenset({"http", "https", "html", "com"})
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -51,6 +56,10 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
     return name, verdict
 
 
+def letter_runs(text: Column) -> Column:
+    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit("[a-z]+"), F.lit(0))
+
+
 def _page_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word counts, summed up before the shuffle."""
     seen: Counter = Counter()
@@ -62,89 +71,126 @@ def _page_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for x in b.column(0).cast(pa.binary()).to_pylist():
-            seen.update(w for w in re.findall(rb"[a-z]+", (x or b"").lower()) if len(w) <= LONGEST)
+            seen.update(re.findall(rb"[a-z]+", (x or b"").lower()))
         if len(seen) > 500_000:
             yield packed()
     yield packed()
 
 
-class Segmenter:
-    """Cuts a run of letters into its likeliest words; a letter outside any known word stands alone at a high cost."""
-
-    def __init__(self, counts: dict[str, int]) -> None:
-        total = sum(counts.values()) + 1
-        self.cost = {w: math.log(total / n) for w, n in counts.items()}
-        self.unknown = 2 + math.log(total)
-        self.known: dict[str, list[str]] = {}
-
-    def words(self, run: str) -> list[str]:
-        if run in self.known:
-            return self.known[run]
-        best, back = [0.0] + [math.inf] * len(run), [0] * (len(run) + 1)
-        for end in range(1, len(run) + 1):
-            for start in range(max(0, end - LONGEST), end):
-                cost = self.cost.get(run[start:end], self.unknown if end - start == 1 else math.inf)
-                if best[start] + cost < best[end]:
-                    best[end], back[end] = best[start] + cost, start
-        out, end = [], len(run)
-        while end:
-            out.append(run[back[end] : end])
-            end = back[end]
-        out.reverse()
-        if len(self.known) > 200_000:
-            self.known.clear()
-        self.known[run] = out
-        return out
+def best_words(run: str, cost: dict[tuple[int, int], float], unknown: float) -> list[str]:
+    """The cheapest cut of a run, of equal ones that whose last words are longest; a letter that is no word stands alone at the cost ``unknown``."""
+    ends: dict[int, list[tuple[int, float]]] = {}
+    for (start, end), c in cost.items():
+        ends.setdefault(end, []).append((start, c))
+    best, back = [0.0] + [math.inf] * len(run), [0] * (len(run) + 1)
+    for end in range(1, len(run) + 1):
+        words = sorted(ends.get(end, ()))
+        if (end - 1, end) not in cost:
+            words.append((end - 1, unknown))
+        for start, c in words:
+            if best[start] + c < best[end]:
+                best[end], back[end] = best[start] + c, start
+    out, end = [], len(run)
+    while end:
+        out.append(run[back[end] : end])
+        end = back[end]
+    return out[::-1]
+
+
+def _parts(lengths: list[int]) -> Callable:
+    """Every part of a run that is as long as some word."""
 
-    def tokens(self, host: str, path: str, skip: frozenset[str]) -> list[str]:
-        return [w for run in re.findall(r"[a-z]+", f"{host} {path}".lower()) if run not in skip for w in self.words(run)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[str, int, str]] = []
 
+        def packed() -> pa.RecordBatch:
+            runs, starts, words = zip(*out, strict=True)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(runs, pa.string()), pa.array(starts, pa.int64()), pa.array(words, pa.string())], names=["run", "start", "word"])
 
-def _class_counts(counts: dict[str, int], skip: frozenset[str]) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, seen = Segmenter(counts), Counter()
         for b in batches:
-            for host, path, verdict in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                seen.update((w, verdict) for w in cut.tokens(host, path, skip) if len(w) > 2 and w in counts)  # shorter ones are language codes and the like
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen], pa.string()), pa.array([v for _, v in seen], pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "verdict", "n"])
+            for r in b.column(0).to_pylist():
+                for n in lengths:
+                    for s in range(len(r) - n + 1):
+                        out.append((r, s, r[s : s + n]))
+                        if len(out) >= 20_000:
+                            yield packed()
+        if out:
+            yield packed()
 
     return run
 
 
-def _scored(counts: dict[str, int], weight: dict[str, float], skip: frozenset[str]) -> Callable:
+def _cut(total: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = Segmenter(counts)
         for b in batches:
-            found = [cut.tokens(h, p, skip) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)]
-            odds = pa.array([sum(weight.get(w, 0.0) for w in ws) for ws in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([" ".join(ws) for ws in found], pa.string()), odds], names=[*b.schema.names, "tokens", "log_odds"])
+            out = []
+            for r, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                cost = {(x["start"], x["start"] + x["size"]): math.log(total / x["n"]) for x in found or ()}
+                out.append(best_words(r, cost, 2 + math.log(total)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], names=["run", "words"])
 
     return run
 
 
-def url_filter(pages: DataFrame, rules: tuple = RULES, id_col: str = "page_id", url_col: str = "url", text_col: str | None = "html", vocabulary: int = 50_000, margin: float = 2.0) -> DataFrame:
+def word_counts(texts: DataFrame, phrases: dict[str, tuple[str, ...]] = PHRASES) -> DataFrame:
+    """(word, n) of one text column; the words of the phrases count as a hundredth of the commonest word at least."""
+    counts = staged(bounded(texts).mapInArrow(_page_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "url-words")
+    most = counts.agg(F.max("n")).first()[0] or 1
+    own = texts.sparkSession.createDataFrame([(w, max(1, most // 100)) for w in sorted({w for ps in phrases.values() for p in ps for w in p.split()})], "word string, n long")
+    return counts.unionByName(own).groupBy("word").agg(F.max("n").alias("n"))
+
+
+def segments(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(run, words) of distinct runs."""
+    totals = counts.groupBy(F.length("word").alias("size")).agg(F.sum("n").alias("n")).collect()  # a row per word length
+    total = sum(r.n for r in totals) + 1
+    parts = runs.mapInArrow(_parts(sorted(r["size"] for r in totals)), "run string, start long, word string")
+    # a run's own parts, so no more than its letters allow
+    known = parts.join(counts, "word").groupBy("run").agg(F.collect_list(F.struct("start", F.length("word").alias("size"), "n")).alias("found"))
+    return runs.join(known, "run", "left").select("run", "found").mapInArrow(_cut(total), "run string, words array<string>")
+
+
+def url_filter(pages: DataFrame, rules: tuple = RULES, id_col: str = "page_id", url_col: str = "url", text_col: str | None = "html", margin: float = 2.0) -> DataFrame:
     """One row per row of ``pages``: id, host, path, rule, verdict, tokens, log_odds (of block)."""
-    skip = frozenset(re.findall(r"[a-z]+", " ".join(h + p for _, h, p in rules))) | {"http", "https", "html", "com"}
-    words = bounded(pages).select(F.col(text_col or url_col).cast("string").alias("text")).mapInArrow(_page_words, "word string, n long")
-    top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(vocabulary)
-    counts: dict[str, int] = {r.word: r.n for r in top.collect()}  # ``vocabulary`` rows at most
-    common = max(counts.values(), default=1)
-    for phrase in [p for ps in PHRASES.values() for p in ps]:
-        for w in phrase.split():
-            counts[w] = max(counts.get(w, 0), common // 100, 1)
-
-    host, path = split_url(F.col(url_col).cast("string"))
-    urls = pages.select(F.col(id_col).cast("long").alias("id"), host.alias("host"), path.alias("path"))
+    spark = pages.sparkSession
+    skip = sorted(frozenset(re.findall(r"[a-z]+", " ".join(h + p for _, h, p in rules))) | PLAIN)
+    labels = max((h.count(".") + 1 for _, h, _ in rules), default=0)
+    steps = max((p.count("/") - 1 for _, _, p in rules), default=0)
+    host, path = split_url(F.col(f"`{url_col}`").cast("string"))
+    urls = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     urls = urls.withColumns({"rule": name, "ruled": verdict})
-    by_class = urls.where("ruled IS NOT NULL").select("host", "path", "ruled").mapInArrow(_class_counts(counts, skip), "word string, verdict string, n long").groupBy("word", "verdict").agg(F.sum("n").alias("n"))
-    seen = {(r.word, r.verdict): float(r.n) for r in by_class.collect()}  # words of the vocabulary, twice at most
-    for v, phrases in PHRASES.items():
-        for w in " ".join(phrases).split():
-            seen[w, v] = seen.get((w, v), 0.0) + PHRASE_WEIGHT
-    vocab = {w for w, _ in seen}
-    total = {v: sum(n for (_, x), n in seen.items() if x == v) + len(vocab) for v in ("block", "allow")}
-    weight = {w: math.log((seen.get((w, "block"), 0) + 1) / total["block"]) - math.log((seen.get((w, "allow"), 0) + 1) / total["allow"]) for w in vocab}
-    scored = urls.mapInArrow(_scored(counts, weight, skip), "id long, host string, path string, rule string, ruled string, tokens string, log_odds double")
-    judged = F.coalesce(F.col("ruled"), F.when(F.col("log_odds") > margin, "block").otherwise("allow"))
-    return scored.select(F.col("id").alias(id_col), "host", "path", "rule", judged.alias("verdict"), "tokens", "log_odds")
+
+    # distinct names, their runs of letters, and those among them that no rule looks at
+    names = urls.select("host", "path", "ruled").distinct()
+    inner_host = F.regexp_replace("host", rf"(^|\.)[^.]*(\.[^.]*){{0,{max(0, labels - 1)}}}$", "") if labels else F.col("host")
+    inner_path = F.regexp_replace("path", rf"^(/[^/]*){{0,{steps}}}", "")
+    names = names.select("host", "path", "ruled", letter_runs(F.concat_ws(" ", "host", "path")).alias("runs"), letter_runs(F.concat_ws(" ", inner_host, inner_path)).alias("inner"))
+    names = staged(names, "url-names")
+    runs = names.select(F.explode("runs").alias("run")).distinct().where(~F.col("run").isin(skip))
+    cut = staged(segments(runs, word_counts(pages.select(F.col(f"`{text_col or url_col}`").cast("string").alias("text")))), "url-runs")
+
+    # words by host and class: a host counts once
+    taught = names.where("ruled IS NOT NULL").select("host", "ruled", F.explode("inner").alias("run")).distinct()
+    taught = taught.join(cut, "run").select("host", "ruled", F.explode("words").alias("word")).distinct()
+    own = staged(taught.groupBy("host", "word").agg(F.count(F.when(F.col("ruled") == "block", 1)).alias("own_block"), F.count(F.when(F.col("ruled") == "allow", 1)).alias("own_allow")), "url-evidence")
+    said = Counter((w, v) for v, ps in PHRASES.items() for p in ps for w in p.split())
+    phrases = spark.createDataFrame([(w, PHRASE_WEIGHT * n * (v == "block"), PHRASE_WEIGHT * n * (v == "allow")) for (w, v), n in said.items()], "word string, block long, allow long")
+    counts = own.groupBy("word").agg(F.sum("own_block").alias("block"), F.sum("own_allow").alias("allow")).unionByName(phrases).groupBy("word").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"))
+    counts = staged(counts, "url-counts")
+    by_host = own.groupBy("host").agg(F.sum("own_block").alias("host_block"), F.sum("own_allow").alias("host_allow"))
+    all_block, all_allow = counts.agg(F.sum("block"), F.sum("allow")).first()
+    size = cut.select(F.explode("words").alias("word")).unionByName(phrases.select("word")).distinct().count()  # of the vocabulary
+
+    words = names.select("host", "path", F.posexplode("runs").alias("at", "run")).join(cut, "run").select("host", "path", "at", F.posexplode("words").alias("place", "word"))
+    words = words.join(counts, "word", "left").join(own, ["host", "word"], "left").join(by_host, "host", "left")
+    block, allow, host_block, host_allow = (F.coalesce(a, F.lit(0)) - F.coalesce(b, F.lit(0)) for a, b in (("block", "own_block"), ("allow", "own_allow"), (F.lit(all_block), "host_block"), (F.lit(all_allow), "host_allow")))
+    odds = F.log((block + 1) / (host_block + size)) - F.log((allow + 1) / (host_allow + size))
+    words = words.withColumn("odds", F.when(block + allow > 0, odds).otherwise(0.0))
+    place = F.struct("at", "place", "word", "odds")
+    scored = words.groupBy("host", "path").agg(F.array_sort(F.collect_list(place)).alias("told"))  # the words of one name
+    told = scored.select(F.col("host").alias("h"), F.col("path").alias("p"), F.array_join("told.word", " ").alias("tokens"), F.aggregate("told.odds", F.lit(0.0), lambda a, x: a + x).alias("log_odds"))
+    judged = urls.join(told, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
+    log_odds = F.coalesce("log_odds", F.lit(0.0))
+    return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", F.when(log_odds > margin, "block").otherwise("allow")).alias("verdict"), F.coalesce("tokens", F.lit("")).alias("tokens"), log_odds.alias("log_odds"))

@@ -1,5 +1,6 @@
 """Repetition, URLs, mixing, encoding, extraction and the classifiers: brute force, exact round trips, held-out accuracy."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -15,7 +16,8 @@ from tessera.llm.mixing import mix, mix_counts
 from tessera.llm.quality import keep_good, quality_scores
 from tessera.llm.repetition import repetition
 from tessera.llm.toxicity import letters, toxicity_scores
-from tessera.llm.url_filter import Segmenter, url_filter
+from tessera.llm import url_filter as U
+from tessera.llm.url_filter import best_words, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -71,7 +73,9 @@ def test_url_rules_and_names(spark):
 
 def test_segmentation_is_the_best_of_all():
     counts = {"ab": 5, "abc": 2, "c": 3, "d": 1, "cd": 4, "a": 1}
-    cut = Segmenter(counts)
+    total = sum(counts.values()) + 1
+    price = {w: math.log(total / n) for w, n in counts.items()}
+    unknown = 2 + math.log(total)
 
     def all_cuts(s):
         if not s:
@@ -80,9 +84,70 @@ def test_segmentation_is_the_best_of_all():
             if s[:k] in counts or k == 1:
                 yield from ([s[:k], *rest] for rest in all_cuts(s[k:]))
 
-    cost = lambda ws: sum(cut.cost.get(w, cut.unknown) for w in ws)
+    cost = lambda ws: sum(price.get(w, unknown) for w in ws)
     for run in ("abcd", "abcabcd", "zzabz", "a", ""):
-        assert abs(cost(cut.words(run)) - min(map(cost, all_cuts(run)))) < 1e-9 and "".join(cut.words(run)) == run
+        found = best_words(run, {(i, j): price[run[i:j]] for i in range(len(run)) for j in range(i + 1, len(run) + 1) if run[i:j] in price}, unknown)
+        assert abs(cost(found) - min(map(cost, all_cuts(run)))) < 1e-9 and "".join(found) == run
+
+
+PAGES = "page_id long, url string, html string"
+
+
+def some_urls():
+    rng = random.Random(4)
+    names = ["museumhistory", "casinowin", "greenriver", "riverhistory", "ads-track", "green", "x" * 40 + "river"]
+    out = [f"http://{rng.choice(['', 'www.', 'm.'])}{rng.choice(names)}.example.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['en', 'fr', 'de', 'es'])}/{rng.choice(['river', 'green-deal', '77', ''])}" for _ in range(150)]
+    return [*out, out[0], None, "", "no scheme", "http://" + "longrun" * 2000 + ".com/en/"]
+
+
+def test_url_verdicts_equal_brute_force(spark):
+    urls, html = some_urls(), "<p>museum history casino win green river deal river green ads track</p>"
+    got = {r.page_id: r for r in url_filter(spark.createDataFrame([(i, u, html) for i, u in enumerate(urls)], PAGES).repartition(3)).collect()}
+    skip = {"net", "example", "en", "com", "de", "org", "fr", "http", "https", "html"}
+    counts = Counter(w for _ in urls for w in re.findall("[a-z]+", html))
+    for ps in U.PHRASES.values():
+        for w in " ".join(ps).split():
+            counts[w] = max(counts[w], max(1, 2 * len(urls) // 100))
+    total = sum(counts.values()) + 1
+
+    def cut(text):
+        out = []
+        for run in re.findall("[a-z]+", text.lower()):
+            if run not in skip:
+                places = {(i, i + len(w)): math.log(total / n) for w, n in counts.items() for i in range(len(run)) if run.startswith(w, i)}
+                out += best_words(run, places, 2 + math.log(total))
+        return out
+
+    taught, vocabulary = {}, {w for r in got.values() for w in cut(f"{r.host} {r.path}")}
+    vocabulary |= {w for ps in U.PHRASES.values() for p in ps for w in p.split()}
+    for r in got.values():
+        if r.rule:
+            for w in cut(".".join(r.host.split(".")[:-2]) + " " + "/".join(r.path.split("/")[2:])):
+                taught.setdefault((w, r.verdict), set()).add(r.host)
+    said = Counter((w, v) for v, ps in U.PHRASES.items() for p in ps for w in p.split())
+
+    def times(w, v, host):
+        return U.PHRASE_WEIGHT * said[w, v] + len(taught.get((w, v), set()) - {host})
+
+    judged = Counter()
+    for r in got.values():
+        size = {v: len(vocabulary) + sum(times(w, v, r.host) for w in vocabulary) for v in ("block", "allow")}
+        words = cut(f"{r.host} {r.path}")
+        odds = sum(math.log((times(w, "block", r.host) + 1) / size["block"]) - math.log((times(w, "allow", r.host) + 1) / size["allow"]) for w in words if times(w, "block", r.host) + times(w, "allow", r.host))
+        assert r.tokens.split() == words and abs(r.log_odds - odds) < 1e-6, r
+        if r.rule is None:
+            judged[r.verdict] += 1
+            assert r.verdict == ("block" if odds > 2 else "allow")
+    assert min(judged["block"], judged["allow"]) > 5 and len(got) == len(urls)
+
+
+def test_verdict_does_not_depend_on_other_paths_of_its_host(spark):
+    urls = some_urls()
+    clean = "http://blog.greenriver.example.com/en/1"
+    rows = [(i, u, "<p>green river blog</p>") for i, u in enumerate([clean, *urls])]
+    more = rows + [(1000 + i, f"http://blog.greenriver.example.com/de/green-{i}", "<p>green river blog</p>") for i in range(60)]
+    one, two = ([(r.verdict, r.rule) for r in url_filter(spark.createDataFrame(x, PAGES)).where("page_id = 0").collect()] for x in (rows, more))
+    assert one == two == [("allow", None)]
 
 
 def brute_targets(sizes, weights):
