@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Roller, bounded, partitions, staged, tidy
@@ -42,6 +42,7 @@ NUMERATOR, DENOMINATOR = 3, 4
 CHUNK_TOKENS, CHUNK_DOCS = 500_000, 20_000
 LEAF = 48  # sets of a leaf of a large block
 NODE = 8  # sets of the lowest nodes of a tree
+RANGE_TOKENS = 2_000_000  # tokens of a range of hashes, about: what a task holds does not grow with the input
 BROADCAST_ROWS = 1_000_000  # identifiers sent to all executors at most (16 MB); beyond, they are joined by shuffle
 
 
@@ -58,8 +59,8 @@ def _digest(tokens: np.ndarray) -> int:
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     roll = Roller()
     for b in batches:
-        sets = [shingles(x or b"", roll) for x in b.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.int64())], names=["id", "n", "digest"])
+        sets = [shingles(x or b"", roll) for x in b.column(2).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.int64())], names=["id", "h", "n", "digest"])
 
 
 # ---- packed arrays: chunk -> range -> chunk -> range ---------------------------------------------------------------
@@ -353,16 +354,21 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*(b.schema.names[i] for i in keep), "n", "digest", "set"])
 
 
+def _text_hash(text: Column) -> Column:
+    """Tells the texts of one identifier apart."""
+    return F.xxhash64(F.lit(7), text.cast("string"))
+
+
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, n_classes (different sets in the component)."""
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, h (a hash of the text), n_shingles, component_id, n_classes of each row."""
     spark: SparkSession = docs.sparkSession
-    ranges = partitions(spark)
-    texts = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    info = staged(texts.mapInArrow(tidy(_described), "id long, n long, digest long"), "jaccard-info")
+    texts = bounded(docs).select(F.col(f"`{id_col}`").cast("long").alias("id"), _text_hash(F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    info = staged(texts.mapInArrow(tidy(_described), "id long, h long, n long, digest long"), "jaccard-info")
+    ranges = max(partitions(spark), (info.agg(F.sum("n")).first()[0] or 0) // RANGE_TOKENS)
     classes = staged(info.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep")), "jaccard-classes")
 
     blocks = _blocks(texts, ranges)
@@ -411,11 +417,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = staged(named.groupBy("group").agg(F.min("rep").alias("component_id"), F.count("*").alias("n_classes")), "jaccard-least")
     named = staged(named.join(least, "group").select(F.col("digest").alias("d"), "component_id", "n_classes"), "jaccard-named")
     joined = info.join(named, F.col("digest") == F.col("d"), "left")
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_classes", F.lit(1)).alias("n_classes"))
+    return joined.select("id", "h", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_classes", F.lit(1)).alias("n_classes"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id, n_classes (different sets in the component)."""
+    return _components(docs, id_col, text_col).select(F.col("id").alias(id_col), "n_shingles", "component_id", "n_classes")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest identifier; rows without identifier stay."""
-    found = jaccard_components(docs, id_col, text_col)
-    gone = staged(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")), "jaccard-gone")
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("gone"), "left_anti")
+    """``docs`` with one document of each component, the one with the smallest identifier; all columns as they were.
+
+    Rows without an identifier, without words, or without a partner stay, and so do all rows of the document that stays. Of
+    several texts under one identifier, only those go that are near another document. An empty table gives an empty one.
+    """
+    found = _components(docs, id_col, text_col).where("id <> component_id").select(F.col("id").alias("gone_id"), F.col("h").alias("gone_h")).distinct()
+    gone = staged(found, "jaccard-gone")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), _text_hash(F.col(f"`{text_col}`")).alias("h"))
+    left = rows.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("h") == F.col("gone_h")), "left_anti")
+    return left.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
