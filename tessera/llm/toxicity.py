@@ -94,7 +94,7 @@ def stretches(word: bytes) -> Iterator[str]:
         yield whole
         return
     for part in JOINT.split(_bare(word)):
-        if 3 <= len(one := _spelt(part)) <= LONGEST:
+        if 2 <= len(one := _spelt(part)) <= LONGEST:
             yield one
     for n in (*SHORT, LONGEST):
         step = n // 4
@@ -187,7 +187,7 @@ class Reader:
                     new.append((w, s))
                 else:
                     known[w] = self.worst(stretches(w))
-        open_ = sorted({s for _, s in new if len(s) >= 3 and s not in near})
+        open_ = sorted({s for _, s in new if len(s) >= 2 and s not in near})
         if open_:
             near.update(zip(open_, self.margins(open_), strict=True))
         known.update((w, near.get(s)) for w, s in new)
@@ -272,7 +272,7 @@ def fit(texts: list[bytes], y: np.ndarray, totals: dict[int, int]) -> tuple[list
     for t in texts:
         words = set(t.split())
         spelt |= {w: tuple(stretches(w)) for w in words if w not in spelt}
-        bags.append({s for w in words for s in spelt[w] if len(s) >= 3})
+        bags.append({s for w in words for s in spelt[w] if len(s) >= 2})
     found = _markers(bags, y)
     if not found:
         return [], np.zeros(0), 0.0, flat
@@ -296,10 +296,10 @@ def fit(texts: list[bytes], y: np.ndarray, totals: dict[int, int]) -> tuple[list
     for _ in range(2):
         bad = np.zeros(len(z))
         for k, n in witness.items():
-            bad[k] = min(n, 50)
+            bad[k] = n**0.5
         use = np.concatenate([np.flatnonzero(clean), np.flatnonzero(bad)])
         signs = np.concatenate([-np.ones(int((clean > 0).sum())), np.ones(int((bad > 0).sum()))])
-        mass = np.concatenate([np.minimum(clean[clean > 0], 50), bad[bad > 0]])
+        mass = np.concatenate([np.sqrt(clean[clean > 0]), bad[bad > 0]])
         mass *= len(signs) * np.where(signs > 0, 2 / mass[signs > 0].sum(), CLEAN / mass[signs < 0].sum())
         w = squared_hinge(z[use], signs, mass)
         margin = z @ w
