@@ -1,9 +1,11 @@
 """Main text of web pages by minimum cut.
 
-A page is cut into blocks of text. A linear classifier over a block's length, links and ancestors gives each block a
-cost for either label; these costs are the capacities to the two terminals of a graph. Neighbouring blocks, and
-blocks under the same parent, are joined by edges that weaken with their distance in the document tree. The
-maximum flow separates content from boilerplate at the least total cost.
+A page is cut into blocks of text. Blocks and the elements above them are the nodes of a graph. A linear classifier gives
+each block a cost for either label, by its length, its links and how it begins; an element has one by what its tag,
+role or class tells, for each block that it holds. These costs are the capacities to the two terminals. Edges join blocks
+with the element that they stand in, elements with their parents, and neighbouring blocks, the weaker the further apart
+they are in the document tree. The maximum flow separates content from boilerplate at the least total cost: a mark
+reaches the blocks below it through edges only, so what a block looks like and what stands around it can outweigh it.
 
 Scripts, styles, titles and text fields are left out up to their closing tag or the end of the page; drawings, formulas,
 buttons, lists of choices, embedded and unscripted parts up to their own closing tag, and where that is missing only the
@@ -45,17 +47,22 @@ CONTENT_TAGS = frozenset({"article", "main"})
 APART_ROLES = frozenset({"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"})
 APART_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus feedback footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup privacy promo promotion recommended related replies reply share sharing sidebar sidebars signin signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split())
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
+#: Words before one of APART_WORDS that take its meaning away.
+NO_MARK = frozenset("has have no not with without hide hides after before under over".split())
 #: Classifier: weights of what is known of a block; above 0 speaks for content.
-LENGTH, LINKS, APART, INSIDE, NAMED, BIAS = 2.0, -4.0, -7.0, 3.0, 1.0, -0.4
-#: Smoothness: between neighbours, and between blocks next to each other under one parent.
-NEXT, SIBLING = 1.2, 0.8
+LENGTH, LINKS, NOTICE, BIAS = 2.0, -3.0, -4.0, -0.4
+#: Weights of an element's marks, for each block in it.
+APART, INSIDE, NAMED = -6.0, 3.0, 1.0
+#: Smoothness: along the document tree, and between neighbouring blocks.
+TREE, NEXT = 3.0, 1.0
+NOTICE_START = re.compile(r"(?:©|\(c\)\s|copyright\b)", re.I)
 
 
 class Block:
-    __slots__ = ("apart", "inside", "linked", "named", "path", "text")
+    __slots__ = ("linked", "path", "text")
 
-    def __init__(self, path: tuple[int, ...], apart: bool, inside: bool, named: bool) -> None:
-        self.path, self.apart, self.inside, self.named = path, apart, inside, named
+    def __init__(self, path: tuple[int, ...]) -> None:
+        self.path = path  # the elements around it, by their number on the page, 0 first
         self.text: list[str] = []
         self.linked = 0
 
@@ -67,7 +74,8 @@ def _hints(tag: str, attributes: str, within: bool) -> tuple[bool, bool, bool]:
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), next((x for x in m.groups()[1:] if x), "")
             if key in ("class", "id"):
-                words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+                found = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+                words = {w for before, w in zip(["", *found], found) if before not in NO_MARK}
                 named |= bool(words & CONTENT_WORDS)
                 bad = words & APART_WORDS
                 if bad and not (bad <= {"header", "tags"} and within) and tag not in ("html", "body"):
@@ -115,10 +123,11 @@ def tags(html: str) -> list[tuple[int, int, str, bool, str]]:
     return kept
 
 
-def blocks(html: str) -> list[Block]:
-    """Blocks of text in page order, with what their ancestors tell."""
-    stack: list[tuple[str, bool, bool, bool, int]] = [("", False, False, False, 0)]
+def blocks(html: str) -> tuple[list[Block], dict[int, float]]:
+    """Blocks of text in page order, and the weights of the elements' marks."""
+    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]  # tag, apart, inside, number
     out: list[Block] = []
+    marks: dict[int, float] = {}
     open_: Block | None = None
     serial, links, at = 0, 0, 0
 
@@ -129,8 +138,7 @@ def blocks(html: str) -> list[Block]:
         if open_ is None:
             if raw.isspace():
                 return
-            top = stack[-1]
-            open_ = Block(tuple(f[4] for f in stack), top[1], top[2], top[3])
+            open_ = Block(tuple(f[3] for f in stack))
             out.append(open_)
         open_.text.append(raw)
         if links:
@@ -155,19 +163,23 @@ def blocks(html: str) -> list[Block]:
                 while stack[-1][0] in CLOSES.get(tag, ()):
                     stack.pop()
                 if tag not in VOID:
-                    _, apart, inside, named, _ = stack[-1]
+                    _, apart, inside, _ = stack[-1]
                     a, i, n = _hints(tag, attributes, inside)
                     serial += 1
-                    stack.append((tag, apart or a, inside or i, named or n, serial))
+                    if a:
+                        marks[serial] = APART
+                    elif not apart and (i or n):  # what lies apart holds no content, whatever it is called
+                        marks[serial] = INSIDE * i + NAMED * n
+                    stack.append((tag, apart or a, (inside or i) and not a, serial))
         elif tag == "img" and open_ is not None:
             open_.text.append(" ")
     text(html[at:])
-    return out
+    return out, marks
 
 
-def evidence(b: Block, words: int, chars: int) -> float:
+def evidence(text: str, linked: int) -> float:
     """How much more it costs to call a block boilerplate than to call it content."""
-    return BIAS + LENGTH * math.tanh(words / 12) + LINKS * min(1.0, b.linked / max(1, chars)) + APART * b.apart + INSIDE * b.inside + NAMED * b.named
+    return BIAS + LENGTH * math.tanh((text.count(" ") + 1) / 12) + LINKS * min(1.0, linked / max(1, len(text))) + NOTICE * bool(NOTICE_START.match(text))
 
 
 def min_cut(content: list[float], boilerplate: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -243,30 +255,48 @@ def _apart_by(a: tuple[int, ...], b: tuple[int, ...]) -> int:
     return len(a) + len(b) - 2 * same
 
 
+def page_graph(paths: list[tuple[int, ...]], own: list[float], marks: dict[int, float]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Evidence of all nodes (blocks first) and edges. Elements without a mark and with one node below are passed over."""
+    below: dict[int, set[int]] = {}  # elements below an element, as negative numbers, and blocks
+    held: dict[int, int] = {}
+    for i, path in enumerate(paths):
+        inner = i
+        for e in reversed(path):
+            held[e] = held.get(e, 0) + 1
+            known = below.setdefault(e, set())
+            known.add(inner)
+            inner = -1 - e
+    node: dict[int, int] = {}
+    weight, edges = list(own), []
+    for e in below:
+        if e in marks or len(below[e]) > 1:
+            node[e] = len(weight)
+            weight.append(marks.get(e, 0.0) * held[e])
+    seen: set[int] = set()
+    for i, path in enumerate(paths):
+        at = i
+        for e in reversed(path):
+            if e in node:
+                edges.append((at, node[e], TREE))
+                at = node[e]
+                if at in seen:
+                    break
+                seen.add(at)
+        if i:
+            edges.append((i - 1, i, NEXT / (1 + _apart_by(paths[i - 1], path) / 2)))
+    return weight, edges
+
+
 def main_text(html: str) -> str:
-    found = []
-    for b in blocks(html):
+    cut, marks = blocks(html)
+    found: list[tuple[Block, str]] = []
+    for b in cut:
         text = " ".join(unescape("".join(b.text)).split())
         if text:
-            found.append((b, text, evidence(b, text.count(" ") + 1, len(text))))
-    # neighbours under one parent that lean the same way are one node
-    nodes: list[list] = []  # path, evidence, members
-    for k, (b, _, e) in enumerate(found):
-        if nodes and nodes[-1][0][:-1] == b.path[:-1] and (nodes[-1][1] > 0) == (e > 0):
-            nodes[-1][1] += e
-            nodes[-1][2].append(k)
-        else:
-            nodes.append([b.path, e, [k]])
-    edges, last = [], {}
-    for i, (path, _, _) in enumerate(nodes):
-        if i:
-            edges.append((i - 1, i, NEXT / (1 + _apart_by(nodes[i - 1][0], path) / 2)))
-        before = last.get(path[:-1])
-        if before is not None and before != i - 1:
-            edges.append((before, i, SIBLING))
-        last[path[:-1]] = i
-    keep = min_cut([max(0.0, e) for _, e, _ in nodes], [max(0.0, -e) for _, e, _ in nodes], edges)
-    return "\n".join(found[k][1] for i, node in enumerate(nodes) if keep[i] for k in node[2])
+            found.append((b, text))
+    weight, edges = page_graph([b.path for b, _ in found], [evidence(text, b.linked) for b, text in found], marks)
+    keep = min_cut([max(0.0, e) for e in weight], [max(0.0, -e) for e in weight], edges)
+    return "\n".join(text for (_, text), k in zip(found, keep) if k)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,7 @@ import pytest
 from tessera.llm import mixing as M
 from tessera.llm import toxicity as X
 from tessera.llm.bpe import TrieBpe, encode, tokenizer_path
+from tessera.llm import html_extract as H
 from tessera.llm.html_extract import extract, main_text, min_cut
 from tessera.llm.mixing import mix, mix_counts
 from tessera.llm.quality import keep_good, quality_scores
@@ -256,6 +257,43 @@ def test_min_cut_is_minimal():
         assert abs(cost(min_cut(a, b, edges)) - best) < 1e-6
 
 
+LONG = "This is a paragraph of the article and it has enough words to be kept as its text."
+
+
+def test_the_cut_decides():
+    # a short block goes with what stands around it, and a mark reaches the blocks below it through edges
+    assert main_text(f"<div><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div>") == f"{LONG}\nShort.\n{LONG}"
+    assert main_text(f"<p>Short.</p><nav><p>{LONG}</p></nav>") == ""
+    # boilerplate without a mark beside marked content
+    assert main_text(f"<article><h1>A title</h1><p>{LONG}</p></article><div>&copy; 2024 The Company, all rights reserved everywhere</div><div><a href=/a>One</a> <a href=/b>Two</a></div>") == f"A title\n{LONG}"
+    assert main_text(f"<article><h1><a href=x>A linked title</a></h1><p>{LONG}</p><ul><li><a href=/1>Related one</a><li><a href=/2>Related two</a></ul></article>") == f"A linked title\n{LONG}"
+    # words of a layout are no marks, and marks inside an article are
+    assert main_text(f"<div class='layout with-sidebar'><article><p>{LONG}</p><div class=promo><p>{LONG} Buy it.</p></div><p>{LONG}</p></article></div>") == f"{LONG}\n{LONG}"
+    assert main_text(f"<article><p>{LONG}</p><section class=comments><article><p>{LONG} I say.</p></article><article><p>{LONG} So do I.</p></article></section></article>") == LONG
+
+
+def test_cut_of_whole_pages_is_minimal():
+    rng = random.Random(3)
+    moved = 0
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            tag = rng.choice(["div", "article", "nav", "div class=ad", "section", "aside"])
+            inner = "".join(f"<p>{'<a>' * (rng.random() < 0.3)}{' '.join(['word'] * rng.choice([1, 4, 20]))}</a></p>" for _ in range(rng.randint(1, 2)))
+            parts.append(f"<{tag}>{inner}</{tag.split()[0]}>")
+        cut, marks = H.blocks("".join(parts))
+        texts = ["".join(b.text) for b in cut]
+        own = [H.evidence(x, b.linked) for b, x in zip(cut, texts)]
+        weight, edges = H.page_graph([b.path for b in cut], own, marks)
+        n = len(weight)
+        cost = lambda keep: sum(-min(w, 0) if k else max(w, 0) for w, k in zip(weight, keep)) + sum(c for i, j, c in edges if keep[i] != keep[j])
+        got = min_cut([max(0.0, w) for w in weight], [max(0.0, -w) for w in weight], edges)
+        if n <= 14:
+            assert abs(cost(got) - min(cost([m >> i & 1 for i in range(n)]) for m in range(1 << n))) < 1e-6
+        moved += sum(k != (w > 0) for k, w in zip(got, own))
+    assert moved > 20
+
+
 def labelled(spark):
     rng = random.Random(9)
     clean = ["".join(rng.choice(["ta", "lo", "mi", "ren", "sel"]) for _ in range(rng.randint(1, 3))) for _ in range(300)]
