@@ -59,7 +59,7 @@ def signal_mask(spark, sf):
 CONFIRMED = Q.Params(ranges={"ret20": (1, 4), "hv20": (None, 9)}, size=(9, 1), market="bull", volatility="low", breadth=(0.2, 0.9), deep=False, confirm=("ma5", "volup", "up2"))
 
 
-@query("signal_mask_confirmed", S.with_(ROWS, "SELECT code, date FROM rws WHERE d_ret20 BETWEEN 1 AND 4 AND d_hv20 BETWEEN 1 AND 9 AND size_grp BETWEEN 1 AND 9 AND bull AND mkt_hv20 <= hv_med AND breadth >= 0.2 AND breadth <= 0.9 AND close > ma5 AND vt_5_20 > 1.2 AND oret > 0"))
+@query("signal_mask_confirmed", S.with_(ROWS, "SELECT code, date FROM rws WHERE d_ret20 BETWEEN 1 AND 4 AND d_hv20 BETWEEN 1 AND 9 AND size_grp BETWEEN 1 AND 9 AND bull AND mkt_hv20 <= hv_med AND breadth >= 0.2 AND breadth <= 0.9 AND close > ma5 AND rvol20 > 1.2 AND oret > 0"))
 def signal_mask_confirmed(spark, sf):
     return prepared(spark, sf).where(Q.predicate(CONFIRMED)[0]).select("code", "date")
 
@@ -135,7 +135,10 @@ def trade_summary(spark, sf):
     return D.trade_summary(_excess(spark, sf)).select("n", *r6("mean", "std", "best", "worst", "p25", "p75", "pf", "avg_excess", "excess_win"), "n_stock", "first", "last")
 
 
-_HB = " ".join(f"WHEN v >= {D.EDGES[i]} AND v {'<=' if i == len(D.EDGES) - 2 else '<'} {D.EDGES[i + 1]} THEN {i}" for i in range(len(D.EDGES) - 1))
+#: Written out, apart from the code that it checks.
+_HB = """WHEN v >= -1 AND v < -0.5 THEN 0 WHEN v >= -0.5 AND v < -0.3 THEN 1 WHEN v >= -0.3 AND v < -0.2 THEN 2 WHEN v >= -0.2 AND v < -0.1 THEN 3
+    WHEN v >= -0.1 AND v < -0.05 THEN 4 WHEN v >= -0.05 AND v < 0 THEN 5 WHEN v >= 0 AND v < 0.05 THEN 6 WHEN v >= 0.05 AND v < 0.1 THEN 7
+    WHEN v >= 0.1 AND v < 0.2 THEN 8 WHEN v >= 0.2 AND v < 0.3 THEN 9 WHEN v >= 0.3 AND v < 0.5 THEN 10 WHEN v >= 0.5 AND v < 1 THEN 11 WHEN v >= 1 AND v <= 2 THEN 12"""
 
 
 @query("trade_hist", S.with_(ROWS, f"SELECT bin, count(*) AS n FROM (SELECT CASE {_HB} END AS bin FROM (SELECT round(net, 9) AS v FROM tr)) WHERE bin IS NOT NULL GROUP BY bin"))
@@ -289,7 +292,7 @@ def _variant_stats(spark, sf, masks):
 
 _FUNNEL = {f"{i}_{k}": " AND ".join(list(_PARTS.values())[: i + 1]) for i, k in enumerate(_PARTS)}
 _ABLATION = {f"without_{k}": " AND ".join(v for j, v in _PARTS.items() if j != k) for k in _PARTS} | {f"only_{k}": v for k, v in _PARTS.items()}
-_CONFIRM = {"baseline": "signal", "ma5": "signal AND close > ma5", "ma10": "signal AND close > ma10", "ma20": "signal AND close > ma20", "volup": "signal AND vt_5_20 > 1.2", "up2": "signal AND oret > 0"}
+_CONFIRM = {"baseline": "signal", "ma5": "signal AND close > ma5", "ma10": "signal AND close > ma10", "ma20": "signal AND close > ma20", "volup": "signal AND rvol20 > 1.2", "up2": "signal AND oret > 0"}
 _BENCH = {"all": "true", "small": "size_grp <= 2", "cheap20": "d_px_ma60_pct <= 2", "strong20": "d_px_ma60_pct >= 9", "losers": "d_ret60 = 1", "winners": "d_ret60 = 10", "calm": "d_hv20 <= 2", "wild": "d_hv20 >= 9", "quiet": "d_rvol20 <= 2"}
 _STAGES = {"1_oversold": "d_ret60 <= 2", "2_drying": "d_ret60 <= 2 AND vt_5_20 < 1", "3_reversal": "d_ret60 <= 2 AND vt_5_20 < 1 AND close > ma5"}
 

@@ -14,8 +14,11 @@ RANGED = ("ret5", "ret10", "ret20", "ret40", "ret60", "px_ma20_pct", "px_ma60_pc
 CONFIRM = {
     "ma5": lambda: F.col("close") > F.col("ma5"), "ma10": lambda: F.col("close") > F.col("ma10"), "ma20": lambda: F.col("close") > F.col("ma20"),
     # looks one bar ahead, as the rule it stands for does
-    "up2": lambda: F.col("oret") > 0, "volup": lambda: F.col("vt_5_20") > 1.2,
+    "up2": lambda: F.col("oret") > 0, "volup": lambda: F.col("rvol20") > 1.2,
+    "ma5up": lambda: F.col("ma5") > F.col("ma5_prev"), "histpos": lambda: F.col("hist") > 0, "difdea": lambda: F.col("dif") > F.col("dea"), "histup3": lambda: F.col("hist_upstreak") >= 3,
 }
+#: Figures of the latest published report that take a range.
+FIGURES = ("rev", "np", "rev_yoy", "np_yoy")
 BOARDS = {"BJ": "BJ", "STAR": "STAR", "CHINEXT": "CHINEXT", "MAIN": "MAIN", "北交所": "BJ", "科创板": "STAR", "创业板": "CHINEXT", "主板": "MAIN"}
 
 
@@ -32,6 +35,14 @@ class Params:
     breadth: tuple[float | None, float | None] = (None, None)
     deep: bool = False
     confirm: tuple[str, ...] = ()
+    #: ranges of FIGURES, both ends included, None for no bound; and the quarter that the latest report must be of
+    finance: dict[str, tuple[float | None, float | None]] = field(default_factory=dict)
+    quarter: int | None = None
+    #: what is left out: "financial" (a yearly loss with revenue below the floor), "loss2y" (two yearly losses), "penny" (closes below par)
+    delist: tuple[str, ...] = ()
+    rev_floor: float = 1e8
+    board_floors: dict[str, float] = field(default_factory=dict)  # floors of single boards
+    penny_days: int = 20
     hold: int = 20
     max_pos: int = 0
     max_new: int = 3
@@ -114,6 +125,20 @@ def digitise(c: Column, edges: tuple[float, ...] = (-1.0, 0.0, 1.0, 2.0)) -> Col
     return out
 
 
+def _at_risk(p: Params, name: str) -> Column:
+    """What speaks for a delisting by what is known on the row's day; unknown figures do not."""
+    if name == "financial":
+        floor = F.lit(p.rev_floor)
+        for board, other in p.board_floors.items():
+            floor = F.when(F.col("board") == board, other).otherwise(floor)
+        return (F.col("ann_np") < 0) & (F.col("ann_rev") < floor)
+    if name == "loss2y":
+        return (F.col("np_y1") < 0) & (F.col("np_y2") < 0)
+    if name == "penny":
+        return F.col("below_par") >= min(p.penny_days, 20)
+    raise ValueError(f"unknown risk {name}")
+
+
 def predicate(p: Params) -> tuple[Column, list[str]]:
     """The conjunction of all active conditions over decile columns and the market's state, and their labels."""
     parts: list[tuple[str, Column]] = []
@@ -135,6 +160,15 @@ def predicate(p: Params) -> tuple[Column, list[str]]:
         if bound is not None:
             parts.append((f"{name} {bound}", test(F.col("breadth"), bound)))
     parts += [(f"confirm {c}", CONFIRM[c]()) for c in p.confirm]
+    if p.quarter:
+        parts.append((f"report of quarter {p.quarter}", F.col("q") == p.quarter))
+    for name, (low, high) in p.finance.items():
+        if name not in FIGURES:
+            raise ValueError(f"unknown figure {name}")
+        for bound, word, test in ((low, "from", lambda c, b: c >= b), (high, "to", lambda c, b: c <= b)):
+            if bound is not None:
+                parts.append((f"{name} {word} {bound:g}", test(F.col(name), F.lit(bound))))
+    parts += [(f"without {name}", ~F.coalesce(_at_risk(p, name), F.lit(False))) for name in p.delist]
     return reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(False)) for _, c in parts], F.lit(True)), [n for n, _ in parts]
 
 
