@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded, tidy
 
-KNOWN = 150_000  # pieces of one generation; a task remembers two, so frequent pieces stay
-BORDERS = 500_000  # pairs of neighbouring tokens that a task remembers
+KNOWN = 60_000  # pieces of one generation; a task remembers two, so frequent pieces stay
+BORDERS = 250_000  # pairs of neighbouring tokens that a task remembers
 RUN = 1 << 20  # characters of texts that are cut and encoded together
 
 #: Texts of these characters only are cut by PIECE; of others, each chunk goes through the tokenizer file's own steps.
