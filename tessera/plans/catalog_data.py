@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -194,7 +195,7 @@ def incremental_merge(spark, sf):
 def stream_tumbling(spark, sf):
     """The hourly windows from a stream: each micro-batch hands over the windows that it changed, and the latest of each stays."""
     at = tempfile.mkdtemp(prefix="tessera-stream-") if spark.sparkContext.master.startswith("local[") else spark.sparkContext.getConf().get("spark.checkpoint.dir", spark.conf.get("spark.sql.warehouse.dir"))
-    at = f"{at}/tumbling-{spark.sparkContext.applicationId}-{id(object())}"
+    at = f"{at}/tumbling-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     source = I.late_tolerant(I.read_events(spark, sf, table(spark, sf, "events").schema))
     I.run_once(I.tumbling(source), lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{at}/out"), f"{at}/checkpoint")
     out = spark.read.parquet(f"{at}/out").groupBy("start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("v"))
