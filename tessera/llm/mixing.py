@@ -181,8 +181,12 @@ def _first_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([texts, b.column("rest")], names=["text", "rest"])
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, block: int = BLOCK) -> DataFrame:
-    """The mix itself: ``docs`` with each row as often as it is taken, the last copy cut where its source's target ends."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, block: int = BLOCK, whole: bool = False) -> DataFrame:
+    """The mix itself: ``docs`` with each row as often as it is taken.
+
+    At the end of its source's target the last copy is cut there; with ``whole`` it is taken whole if at least half of it
+    lies before the end, and else not at all, so that no text is cut and a source misses its target by half a document at most.
+    """
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("rest")
     rows = bounded(docs).select(F.col(text_col).cast("string").alias("text"), rest)
     keyed = staged(rows.select(F.monotonically_increasing_id().alias("row"), "text", "rest"), "mix-rows")
@@ -190,7 +194,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = staged(sized.mapInArrow(_sizes, "row long, id long, source string, size long"), "mix-sizes")
     taken, _ = _taken(sized, seed, block)
     copies = taken.join(sized.select("row", "size"), "row").where("taken > 0")
-    copies = copies.select("row", F.explode(F.expr("transform(sequence(1, cast(ceil(taken / size) as int)), k -> if(k * size <= taken, -1L, taken % size))")).alias("most"))
-    schema = keyed.drop("row").schema
-    cut = keyed.join(copies, "row").select("text", "rest", "most").mapInArrow(_first_words, schema)
-    return cut.select(*(F.col("text").alias(text_col) if c == text_col else F.col("rest").getField(c).alias(c) for c in docs.columns))
+    if whole:
+        times = copies.select("row", F.expr("cast((2 * taken + size) div (2 * size) as int)").alias("times")).where("times > 0")
+        out = keyed.join(times.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))), "row")
+    else:
+        copies = copies.select("row", F.explode(F.expr("transform(sequence(1, cast(ceil(taken / size) as int)), k -> if(k * size <= taken, -1L, taken % size))")).alias("most"))
+        out = keyed.join(copies, "row").select("text", "rest", "most").mapInArrow(_first_words, keyed.drop("row").schema)
+    return out.select(*(F.col("text").alias(text_col) if c == text_col else F.col("rest").getField(c).alias(c) for c in docs.columns))

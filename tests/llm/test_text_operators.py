@@ -192,6 +192,24 @@ def test_mix_counts(spark):
     assert mix_counts(spark.createDataFrame([], SCHEMA)).count() == 0 and mix(docs(spark, [None, ""])).count() == 0
 
 
+def test_mix_of_whole_documents(spark):
+    rng = random.Random(5)
+    texts = [f"t{i} " + " ".join("w" for _ in range(rng.choice([0, 3, 40, 400]))) for i in range(200)] + [None, "", "x " * 3000]
+    sources = [rng.choice(["hot"] * 6 + ["a", "b", None]) for _ in texts]
+    table = docs(spark, texts, sources)
+    taken = {r.doc_id: (r.taken, r.size, r.target, r.source) for r in mix_counts(table).collect()}
+    got = Counter((r.doc_id, r.text) for r in mix(table, whole=True).collect())
+    assert all(texts[i] == t for i, t in got)  # no text is cut
+    assert {i: n for (i, _), n in got.items()} == {i: n for i, (k, size, _, _) in taken.items() if size and (n := (2 * k + size) // (2 * size))}
+    longest = {s: max(size for _, size, _, x in taken.values() if x == s) for s in set(sources)}
+    words = Counter()
+    for (i, _), n in got.items():
+        words[sources[i]] += n * taken[i][1]
+    for _, _, target, s in taken.values():
+        assert abs(words[s] - target) <= longest[s] / 2 + 1
+    assert mix(docs(spark, [None, ""]), whole=True).count() == 0 and mix(spark.createDataFrame([], SCHEMA), whole=True).count() == 0
+
+
 def test_schedule_counts_in_closed_form():
     points = M._radical(np.arange(3000))
     bounds = [0, 1 << 60, 3 << 61, 1 << 63, (1 << 64) - 1, 1 << 64]
