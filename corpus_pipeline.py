@@ -28,8 +28,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target takes them, a copy a row."""
-    return mix(docs)
+    """Whole documents as often as their source's target takes them, a copy a row."""
+    return mix(docs, whole=True)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
