@@ -93,14 +93,20 @@ def streak(flag: Column) -> Column:
 
 
 def ewm(c: str, span: int) -> Column:
-    """Exponential mean with weight 2 / (span + 1), started at the first value; needs one row per (code, date).
+    """Exponential mean with weight 2 / (span + 1), started at the first value; needs one row per (code, date) and no gaps.
 
-    The running list holds what is left of the past: weights below 1e-17 do not change a double.
+    A running sum of the values, each scaled by the inverse of its weight, gives the mean within a block of rows; the last
+    mean of the block before is carried in, and what is older has a weight below 1e-17, which does not change a double.
     """
     alpha = 2.0 / (span + 1)
-    reach = int(-40 / _log(1 - alpha)) + 1
-    past = F.collect_list(F.struct(F.col(c).alias("v"))).over(entity().rowsBetween(-reach, 0))
-    return F.aggregate(F.slice(past, 2, reach + 1), past[0]["v"], lambda s, x: s * (1 - alpha) + x["v"] * alpha)
+    block = int(-40 / _log(1 - alpha)) + 1
+    at = F.row_number().over(entity()) - 1
+    pos, fade = at % block, F.lit(1 - alpha)
+    scaled = F.col(c) * F.when(at == 0, 1.0).otherwise(alpha) * F.pow(fade, -pos)
+    inside = Window.partitionBy("code", F.floor(at / block)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    here = F.sum(scaled).over(inside) * F.pow(fade, pos)
+    carried = F.last(F.when(pos == block - 1, here), ignorenulls=True).over(entity().rowsBetween(Window.unboundedPreceding, -1))
+    return here + F.coalesce(carried * F.pow(fade, pos + 1), F.lit(0.0))
 
 
 def _log(x: float) -> float:

@@ -51,6 +51,15 @@ def test_ewm_equals_recursive_mean(two):
     np.testing.assert_allclose(got.e, by_code(got, lambda g: g.close.ewm(span=12, adjust=False).mean()), rtol=1e-12)
 
 
+def test_ewm_over_many_blocks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(code, d, float(x)) for code, n in ((1, 900), (2, 181), (3, 182), (4, 1)) for d, x in zip(days(n), rng.normal(0, 5, n))]
+    df = spark.createDataFrame(rows, "code int, date date, x double")
+    got = pdf(df, "x", *(C.ewm("x", n).alias(f"e{n}") for n in (2, 9, 26)))
+    for n in (2, 9, 26):
+        np.testing.assert_allclose(got[f"e{n}"], by_code(got, lambda g: g.x.ewm(span=n, adjust=False).mean()), rtol=1e-9, atol=1e-12)
+
+
 def test_streak_counts_runs(spark):
     df = spark.createDataFrame([(1, d, x) for d, x in zip(days(8), [1, 2, 3, 2, 3, None, 4, 5])], "code int, date date, x int")
     got = pdf(df, C.streak(F.col("x") > C.lag("x")).alias("s"))
