@@ -33,15 +33,18 @@ def group_returns(df: DataFrame, by: list[str], spans: tuple[int, ...] = (5, 10,
     return means.withColumns({f"{name}_ret{k}": F.col("nav") / F.lag("nav", k).over(w) - 1 for k in spans}).drop("nav")
 
 
-def market_states(df: DataFrame, ret: str = "ret") -> DataFrame:
+def market_states(df: DataFrame, ret: str = "ret", indices: tuple = INDICES) -> DataFrame:
     """By index variant, average length and day: value, average, distance, bull flag, volatility and its full-sample median.
 
-    ``df``: code rows with day, size_grp and returns. A value without an average yet is not a bull day. The result has a row
-    for each of 18 variants and period.
+    ``df``: code rows with day, size_grp (where a variant asks for it) and returns. A value without an average yet is not a
+    bull day. All variants come from one aggregation by day; the result has three rows for each variant and period.
     """
-    names = F.array(*(F.when(F.lit(lo is None) | F.col("size_grp").between(lo or 0, 9 if hi is None else hi), F.lit(k)) for k, lo, hi in INDICES))
-    each = df.select("day", "date", ret, F.explode(F.array_compact(names)).alias("index"))
-    daily = each.groupBy("index", "day", "date").agg(F.avg(ret).alias("r"), F.avg(F.when(F.col(ret).isNotNull(), (F.col(ret) > 0).cast("double"))).alias("breadth"))
+    variants = []
+    for name, low, high in indices:
+        inside = F.lit(True) if low is None else F.col("size_grp").between(low, high)
+        rising = F.when(inside & F.col(ret).isNotNull(), (F.col(ret) > 0).cast("double"))
+        variants.append(F.struct(F.lit(name).alias("index"), F.avg(F.when(inside, F.col(ret))).alias("r"), F.avg(rising).alias("breadth"), F.count(F.when(inside, 1)).alias("rows")))
+    daily = df.groupBy("day", "date").agg(F.array(*variants).alias("v")).select("day", "date", F.inline("v")).where("rows > 0").drop("rows")
     w = Window.partitionBy("index").orderBy("day")
     r = F.coalesce("r", F.lit(0.0))
     daily = daily.withColumn("nav", F.product(1 + r).over(w.rowsBetween(Window.unboundedPreceding, 0)))

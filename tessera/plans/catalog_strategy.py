@@ -12,7 +12,7 @@ from ..sources.files import staged
 from ..sources.panel import calendar, panel
 from . import query as Q
 from . import sql as S
-from .catalog_cross import STATES, deciled, r6, states
+from .catalog_cross import STATES, deciled, features, r6, states
 from .catalog_windows import base
 
 QUERIES: dict = {}
@@ -33,13 +33,16 @@ def query(name: str, oracle: str | None = None):
 
 
 def market(spark, sf, index: str = "all", ma: int = 60) -> DataFrame:
-    return states(spark, sf).where((F.col("index") == index) & (F.col("ma_len") == ma)).select("day", "bull", F.col("hv20").alias("mkt_hv20"), "hv_med", "breadth")
+    """One index variant; that of all rows needs neither factors nor size groups."""
+    rows = base(spark, sf) if index == "all" else deciled(spark, sf, "ret5")
+    each = X.market_states(rows, indices=tuple(i for i in X.INDICES if i[0] == index))
+    return each.where(F.col("ma_len") == ma).select("day", "bull", F.col("hv20").alias("mkt_hv20"), "hv_med", "breadth")
 
 
 def prepared(spark, sf) -> DataFrame:
-    """Rows with deciles, market state, fills and the flagship's signal."""
-    df = deciled(spark, sf).withColumn("oret", F.round(lead("open") / F.col("open") - 1, 10)).withColumn("oret_sig", lead("open", 2) / lead("open") - 1)
-    df = D.with_fills(df, HOLD).join(F.broadcast(market(spark, sf)), "day", "left")  # a row per period
+    """Rows with deciles, market state, fills and the flagship's signal; what runs along time comes before the ranks, in one shuffle."""
+    df = features(spark, sf).withColumns({"oret": F.round(lead("open") / F.col("open") - 1, 10), "oret_sig": lead("open", 2) / lead("open") - 1})
+    df = X.with_deciles(D.with_fills(df, HOLD)).join(F.broadcast(market(spark, sf)), "day", "left")  # a row per period
     return df.withColumn("signal", Q.predicate(DEEP)[0])
 
 
