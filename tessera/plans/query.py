@@ -194,4 +194,5 @@ def score() -> Column:
 
 
 #: Keys of the daily choice, smallest first.
-PICKS = {"deep": lambda: F.col("px_ma60_pct"), "amount": lambda: -F.col("turnover"), "small": lambda: F.col("size_grp").cast("double"), "big": lambda: -F.col("size_grp").cast("double"), "drop60": lambda: F.col("ret60"), "none": lambda: F.col("code").cast("double")}
+PICKS = {"deep": lambda: F.col("px_ma60_pct"), "amount": lambda: -F.col("turnover"), "small": lambda: F.col("size_grp").cast("double"), "big": lambda: -F.col("size_grp").cast("double"), "drop60": lambda: F.col("ret60"), "none": lambda: F.col("code").cast("double"),
+         "rand": lambda: F.conv(F.substring(F.md5(F.concat_ws("|", "code", "day", F.lit("7"))), 1, 12), 16, 10).cast("double")}

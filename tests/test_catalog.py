@@ -7,7 +7,7 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-NAMES = ["panel_adapter", "macd_events", "price_location", "limit_regime", "market_states", "decile_bins", "asof_financials", "adjusted_prices", "trade_stats", "portfolio_nav", "stop_loss_close", "union_dedupe_latest", "event_sessions", "stream_tumbling", "scan_latest", "trade_hist", "confirm_grid", "signal_mask_confirmed", "signal_momentum", "signal_financial", "signal_quarter", "signal_without_risks", "signal_deep"]
+NAMES = ["panel_adapter", "macd_events", "price_location", "limit_regime", "market_states", "decile_bins", "asof_financials", "adjusted_prices", "trade_stats", "portfolio_nav", "stop_loss_close", "union_dedupe_latest", "event_sessions", "stream_tumbling", "scan_latest", "trade_hist", "confirm_grid", "signal_mask_confirmed", "signal_momentum", "signal_financial", "signal_quarter", "signal_without_risks", "signal_deep", "pick_rules", "trades_filtered", "exit_indicators", "event_catalogue", "ledger_totals", "positions_marked"]
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")

@@ -206,3 +206,16 @@ def test_stops(spark):
     got = D.with_bars(df, 3).select("date", D.stop_return(3, 0.1, "close").alias("c"), D.stop_return(3, 0.1, "intraday").alias("i")).orderBy("date").collect()
     assert abs(got[0].c - (8 / 10 - 1)) < 1e-9  # close of row 2 is at the line, sold at the open of row 3
     assert abs(got[0].i + 0.1) < 1e-9  # the open of row 2 is at the line
+
+
+def test_trade_page_filters_orders_and_clamps(spark):
+    rows = [(i, dt.date(2020, 1, 1), dt.date(2020 + i % 2, 2, 1), dt.date(2020, 3, 1 + i), (i - 3) / 10, None if i == 2 else -i / 10) for i in range(7)]
+    df = spark.createDataFrame(rows, "code int, date date, entry_date date, exit_date date, net double, excess double")
+    codes = lambda d: [r.code for r in d.collect()]
+    assert codes(D.trade_page(df, size=3)) == [6, 5, 4]  # latest exits first
+    assert codes(D.trade_page(df, "excess", "asc", page=1, size=0)) == [6]
+    assert codes(D.trade_page(df, "excess", "desc", size=2)) == [2, 0] and codes(D.trade_page(df, "excess", "asc", page=9, size=4)) == [1, 0, 2]
+    assert codes(D.trade_page(df, "unknown", page=-1, size=2)) == [6, 5]
+    assert sorted(codes(D.filtered_trades(df, win=True))) == [4, 5, 6] and sorted(codes(D.filtered_trades(df, win=False, year=2020))) == [0, 2]
+    assert sorted(codes(D.filtered_trades(df, least=-0.1, most=0.1))) == [2, 3, 4] and codes(D.filtered_trades(df, code=5)) == [5]
+    assert codes(D.trade_page(df.where("code > 99"))) == []
