@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,21 +138,31 @@ def with_deciles(df: DataFrame, columns: tuple[str, ...] = DECILED) -> DataFrame
 
 
 def fama_macbeth(df: DataFrame, factors: list[str], target: str, least: int = 30) -> DataFrame:
-    """Daily regressions of the target on z-scored factors; mean coefficients and their t. A day is one small group."""
-    import numpy as np
-    import pandas as pd
-
-    columns = ["day", target, *factors]
-
-    def one(day: pd.DataFrame) -> pd.DataFrame:
-        x = day[factors].to_numpy(float)
-        sd = x.std(axis=0, ddof=1)
-        if len(day) < least or not (sd > 0).all():
-            return pd.DataFrame({"factor": pd.Series([], dtype=object), "beta": pd.Series([], dtype=float)})
-        z = np.column_stack([np.ones(len(x)), (x - x.mean(axis=0)) / sd])
-        return pd.DataFrame({"factor": pd.Series(factors, dtype=object), "beta": np.linalg.lstsq(z, day[target].to_numpy(float), rcond=None)[0][1:]})
+    """Daily regressions of the target on z-scored factors; mean coefficients and their t.
 
-    betas = df.select(*columns).dropna().groupBy("day").applyInPandas(one, "factor string, beta double")
+    A day is aggregated to its correlations, so none of its rows are gathered; the small systems are solved a batch of
+    days at a time. Days with fewer rows, or with a factor that does not vary, are left out.
+    """
+    k = len(factors)
+    pairs = [(i, j) for i in range(k) for j in range(i)]
+    some = df.select("day", F.col(target).alias("_y"), *factors).dropna()
+    days = some.groupBy("day").agg(
+        F.count("*").alias("rows"), F.array(*(F.corr(factors[i], factors[j]) for i, j in pairs)).alias("r"), F.array(*(F.corr(f, "_y") * F.stddev_samp("_y") for f in factors)).alias("c"), F.least(*(F.stddev_samp(f) for f in factors), F.lit(1.0)).alias("sd"),
+    )
+    days = days.where((F.col("rows") >= least) & (F.col("sd") > 0)).select("r", "c")
+
+    def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            gram = np.tile(np.eye(k), (len(b), 1, 1))
+            if pairs:
+                rows, columns = map(list, zip(*pairs, strict=True))
+                gram[:, rows, columns] = gram[:, columns, rows] = np.stack(b["r"].to_list())
+            c = np.nan_to_num(np.stack(b["c"].to_list()).astype(float))  # a target that does not vary
+            beta = np.einsum("nij,nj->ni", np.linalg.pinv(gram, hermitian=True), c)
+            yield pd.DataFrame({"factor": np.tile(np.array(factors, dtype=object), len(b)), "beta": beta.ravel()})
+
+    betas = days.mapInPandas(solved, "factor string, beta double")
     out = betas.groupBy("factor").agg(F.count("*").alias("days"), F.avg("beta").alias("mean_beta"), F.stddev_samp("beta").alias("sd"))
     return out.select("factor", "days", "mean_beta", ratio(F.col("mean_beta") * F.sqrt(F.col("days").cast("double")), "sd").alias("t"))
-

@@ -220,9 +220,19 @@ def pooled_depth_bins(spark, sf):
     return out.select("bin", *r6("mean", "med", "mean_ex"), "n")
 
 
-@query("fama_macbeth")
+def _eliminated(k: int) -> str:
+    """The normal equations of each day, solved by elimination: tables e0..ek of columns a<row>_<column>, column k the right side."""
+    cell = lambda i, j, p: f"a{i}_{j}" if i == p else f"a{i}_{j} - a{i}_{p} * a{p}_{j} / a{p}_{p}"
+    first = ", ".join(f"{f'corr({_F[i]}, {_F[j]})' if j < k else f'corr({_F[i]}, fwd20) * stddev_samp(fwd20)'} AS a{i}_{j}" for i in range(k) for j in range(k + 1))
+    out = f"""e0 AS (SELECT day, {first} FROM fw WHERE {' AND '.join(f'{f} IS NOT NULL' for f in [*_F, 'fwd20'])} GROUP BY day HAVING count(*) >= 30 AND {' AND '.join(f'stddev_samp({f}) > 0' for f in _F)})"""
+    for p in range(k):
+        out += f", e{p + 1} AS (SELECT day, " + ", ".join(f"{cell(i, j, p)} AS a{i}_{j}" for i in range(k) for j in range(k + 1)) + f" FROM e{p})"
+    return out
+
+
+@query("fama_macbeth", S.with_(FWD, f", {_eliminated(len(_F))}, bt AS (" + " UNION ALL ".join(f"SELECT '{f}' AS factor, a{i}_{len(_F)} / a{i}_{i} AS beta FROM e{len(_F)}" for i, f in enumerate(_F)) + ") SELECT factor, count(*) AS days, round(avg(beta), 6) AS mean_beta, round(avg(beta) * sqrt(count(*)) / nullif(stddev_samp(beta), 0), 5) AS t FROM bt GROUP BY factor"))
 def fama_macbeth(spark, sf):
-    return X.fama_macbeth(forward(spark, sf), _F, "fwd20")
+    return X.fama_macbeth(forward(spark, sf), _F, "fwd20").select("factor", "days", *r6("mean_beta"), F.round("t", 5).alias("t"))
 
 
 @query("calendar_days", S.with_(S.CLEAN, "SELECT date, day FROM cal"))

@@ -77,6 +77,12 @@ def ladder_steps(text: str | list | tuple | None, most: int = 50) -> tuple[int,
     return steps if steps and all(s >= 1 for s in steps) else None
 
 
+def even_stride(combinations: list, most: int) -> list:
+    """At most so many, at an even stride: a cut would lose whole values of the axes that change last."""
+    n = len(combinations)
+    return combinations if n <= most else [combinations[i * n // most] for i in range(most)]
+
+
 def code_list(text: str) -> list[str]:
     """Codes of a free text; six bare digits stand for either main exchange."""
     out: list[str] = []
