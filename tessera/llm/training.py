@@ -16,7 +16,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, may_train: C
     """Texts with a label, ``most`` documents at most, half of them of each class if there are as many; and all training labels by class.
 
     Only rows where ``may_train`` holds are looked at. The choice follows a hash of the identifier; of several labels
-    for one document the largest counts.
+    for one document the largest counts, of several texts the least, so that reruns fit the same model.
     """
     one = labels.where(may_train & F.col(label).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label).cast("int").alias("y")).where("id IS NOT NULL")
     totals = {r.y: r.n for r in one.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -24,7 +24,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, may_train: C
     chosen = [one.where(F.col("y") == y).orderBy(*order).limit(max(most // 2, most - totals.get(1 - y, 0))) for y in (0, 1)]
     few = F.broadcast(chosen[0].unionByName(chosen[1]))  # ``most`` rows at most
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(few, "id").dropDuplicates(["id"]), totals
+    return texts.join(few, "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("id", "text", "y"), totals
 
 
 def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, cost: np.ndarray, passes: int = 12, seed: int = 5) -> np.ndarray:

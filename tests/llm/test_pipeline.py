@@ -36,3 +36,64 @@ def test_stages(spark, tmp_path):
     assert set(seen["mix"]) <= set(seen["near"]) and max(map(seen["mix"].count, seen["mix"])) <= 2
     assert sorted(seen["mix"]) == sorted(seen["encode"])
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()) == sorted(seen["encode"])
+
+
+def test_run_equals_stages_by_hand(spark, tmp_path):
+    import hashlib
+    import struct
+    from collections import Counter
+
+    from tokenizers import Tokenizer
+
+    from tessera.llm.bpe import tokenizer_path
+    from test_exact_and_near import brute, lower
+    from test_text_operators import WORD, brute_targets
+
+    rng = random.Random(29)
+    words = ["".join(rng.choice(["ta", "lo", "mi", "ren", "sel", "or"]) for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(150):
+        junk = i % 4 == 0
+        text = " ".join(rng.choice(words) + ("&&&" if junk else "") for _ in range(rng.choice([30, 60, 120, 300])))
+        rows.append([text, f"src{i % 3}" if i % 7 else None])
+        labels.append((i, int(not junk), 0))
+    for _ in range(60):  # exact copies, near copies and copies of these
+        text, source = rng.choice(rows)
+        part = text.split(" ")
+        part[rng.randrange(len(part))] = "changed"
+        rows.append([rng.choice([text, text.title(), " ".join(part), f"{text} and more"]), source])
+    docs = [(i, t, "en", s, 1) for i, (t, s) in enumerate(rows)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = Counter(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+    good = [d for d in docs if "&&&" not in d[1]]  # what the labels teach
+    last = {}
+    for d in good:
+        last[lower(d[1])] = d  # the largest identifier of equal texts
+    left = sorted(last.values())
+    groups, _ = brute([d[1] for d in left])
+    left = [d for i, d in enumerate(left) if groups[i] == i]
+    assert 40 < len(left) < len(good) - 20
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    encoded = {}
+    for i, text, *_ in left:
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        encoded[i] = (i, len(ids), sha(struct.pack(f"<{len(ids)}I", *ids)), sha(tokenizer.decode(ids, skip_special_tokens=False).encode()))
+    assert set(got) <= set(encoded.values())  # each row is a whole document that the stages keep
+
+    size = {i: len(WORD.findall(text)) for i, text, *_ in left}
+    source = {d[0]: d[3] for d in left}
+    names = sorted(set(source.values()), key=lambda s: (s is None, s or ""))
+    totals = [sum(n for i, n in size.items() if source[i] == s) for s in names]
+    for s, target in zip(names, brute_targets(totals, [(3, 1, 2)[k % 3] for k in range(len(names))]), strict=True):
+        longest = max(n for i, n in size.items() if source[i] == s)
+        words_ = sum(k * size[r[0]] for r, k in got.items() if source[r[0]] == s)
+        assert abs(words_ - target) <= longest / 2 + 1
+        plays = [got[encoded[i]] for i in size if source[i] == s]
+        assert max(plays) - min(plays) <= 1  # in turn, none twice before all once
