@@ -19,6 +19,7 @@ from .repetition import repetition
 from .suffix_repeats import repeated_spans
 from .toxicity import toxicity_scores
 from .url_filter import url_filter
+from .warc import archived
 
 
 def op1_min_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +66,10 @@ def op11_harmonic_grid_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(planted(table(spark, sf_dir, "documents"))))
 
 
+def op12_segmented_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"))
+
+
 def op13_inverted_postings_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_segment_bayes": op9_url_segment_bayes,
     "op10_trie_bpe": op10_trie_bpe,
     "op11_harmonic_grid_runs": op11_harmonic_grid_runs,
+    "op12_segmented_warc": op12_segmented_warc,
     "op13_inverted_postings_resample": op13_inverted_postings_resample,
 }
 
@@ -127,6 +133,14 @@ ORACLE: dict[str, str] = {
                coalesce(runs_sha256, sha256('')) AS runs_sha256, coalesce(collapsed_sha256, sha256('')) AS collapsed_sha256
         FROM w LEFT JOIN o USING (r) LEFT JOIN b USING (r) LEFT JOIN c USING (r)
     """,
+    "op12_segmented_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest, min(page_id) OVER (PARTITION BY b) AS first FROM p),
+        r AS (SELECT *, payload_bytes >= 100 AND first <> page_id AS again FROM d)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN again THEN first END AS refers_to, true AS intact
+        FROM r
+    """,
     "op13_inverted_postings_resample": rf"""
         WITH l AS MATERIALIZED (
             SELECT side, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_A_TO_Z}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l
