@@ -33,7 +33,7 @@ from .common import bounded, partitions, staged, tidy
 
 BUCKETS, MOST, PERCENT, LEAST_WORDS, SEED = 10_000, 2, 25, 20, 7
 #: Ranges that the buckets are cut into, and features (about) in a cell of one range and one salt.
-RANGES, CELL = 16, 1 << 21
+RANGES, CELL = 16, 1 << 19
 #: Documents and features of an inverted segment.
 SEGMENT_DOCS, SEGMENT_FEATURES = 2_000, 1 << 20
 
