@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import groupby
-from operator import itemgetter
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import entity, lead, ratio
+from ..sources.files import staged
 from .cross import COST, YEAR
 from .indicators import first_sellable_open
 
@@ -63,10 +61,6 @@ def histogram(df: DataFrame, value: str = "net", edges: tuple[float, ...] = EDGE
     return df.select(bin_.alias("bin")).where("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("n"))
 
 
-#: What trades may be sorted by.
-SORTS = ("exit_date", "entry_date", "date", "code", "ind_name", "net", "r", "excess", "b", "buy_px", "sell_px", "hold", "rev", "rev_yoy", "np", "np_yoy", "weight")
-
-
 def filtered_trades(df: DataFrame, win: bool | None = None, year: int | None = None, code: int | str | None = None, least: float | None = None, most: float | None = None) -> DataFrame:
     """Trades won or lost, entered in a year, of a code, with a net return from ``least`` to ``most``."""
     tests = [] if win is None else [(F.col("net") > 0) == win]
@@ -80,14 +74,16 @@ def filtered_trades(df: DataFrame, win: bool | None = None, year: int | None = N
 
 
 def trade_page(df: DataFrame, sort: str = "exit_date", order: str = "desc", page: int = 1, size: int = 50) -> DataFrame:
-    """A page of trades: 1 to 500 a page, the last page for numbers beyond, exit dates for keys outside SORTS.
+    """A page of trades: 1 to 500 a page, the last page for numbers beyond, exit dates for keys that are no plain column of the listing.
 
-    A missing key stands first when falling and last when rising; ties follow code and signal. Counts the trades at once.
+    A missing key stands first when falling and last when rising; ties follow code and signal. The listing is written
+    once, and both its size and the page are read from there.
     """
-    size = max(1, min(size, 500))
-    last = max(1, -(-df.count() // size))
-    key = F.col(sort if sort in SORTS and sort in df.columns else "exit_date")
-    ordered = df.orderBy(key.asc_nulls_last() if order.lower() == "asc" else key.desc_nulls_first(), "code", "date")
+    plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct", "variant")]
+    listing, size = staged(df, "trade-listing"), max(1, min(size, 500))
+    last = max(1, -(-listing.count() // size))
+    key = F.col(sort if sort in plain else "exit_date")
+    ordered = listing.orderBy(key.asc_nulls_last() if order.lower() == "asc" else key.desc_nulls_first(), "code", "date")
     return ordered.offset((min(max(1, page), last) - 1) * size).limit(size)
 
 
@@ -149,86 +145,6 @@ def segments(daily: DataFrame, cuts: dict[str, tuple[int, int]]) -> DataFrame:
     return daily.agg(*(F.product(F.when(y.between(a, b), 1 + F.col("ret"))).alias(k) for k, (a, b) in cuts.items())).select(*((F.coalesce(k, F.lit(1.0)) - 1).alias(k) for k in cuts))
 
 
-# ---- capacity -------------------------------------------------------------------------------------------------------
-
-PLAN = "scenario string, entry_day long, exit_day long, code long, day long, row long, weight double"
-
-
-def plan(candidates: DataFrame, hold: int, max_pos: int = 0, max_new: int = 0, ladder: tuple[int, ...] | None = None) -> DataFrame:
-    """Which candidates get a place, day by day, in each scenario.
-
-    A day first frees the places that end by then, leaves out entities already held, and takes the rest in order of
-    ``key`` (null last, then row order) as far as places, new positions a day or the ladder's next step allow. What finds
-    no place is not bought later. The choice of a day depends on all days before, so a scenario is one ordered fold
-    over its candidates; scenarios run side by side. Of a day only the first candidates reach the fold: no more of them
-    than are held can be left out before the last place is given. ``candidates``: scenario, code, day, row, key.
-    """
-    steps = []
-    for s in ladder or ():
-        steps.append(s + (steps[-1] if steps else 0))
-    places = steps[-1] if steps else (max_pos or 1 << 40)
-    weight = 1.0 / places if steps else 1.0
-    new = max(ladder) if steps else max_new or max_pos  # of a day; 0: all
-    held_most = min(places, new * (hold + 1))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["day", "key", "code"], na_position="last", kind="stable")
-        held: dict[int, int] = {}  # code: exit day
-        taken: list[tuple] = []
-        scenario = rows["scenario"].iloc[0]
-        for day, group in groupby(zip(rows["day"].tolist(), rows["code"].tolist(), rows["row"].tolist(), strict=True), itemgetter(0)):
-            held = {c: x for c, x in held.items() if x > day}
-            room = places - len(held)
-            if steps:
-                want = next((s for s in steps if s > len(held)), len(held)) - len(held)
-            else:
-                want = min(room, max_new or room)
-            for _, code, row in group:
-                if want <= 0 or room <= 0:
-                    break
-                if code in held:
-                    continue
-                held[code] = day + 1 + hold
-                taken.append((scenario, day + 1, day + 1 + hold, code, day, row, weight))
-                want, room = want - 1, room - 1
-        return pd.DataFrame(taken, columns=["scenario", "entry_day", "exit_day", "code", "day", "row", "weight"]).astype({"scenario": object})
-
-    key = F.col("key").cast("double")
-    rows = candidates.select("scenario", "code", "day", "row", F.when(~F.isnan(key), key).alias("key"))
-    if new:
-        first = Window.partitionBy("scenario", "day").orderBy(F.asc_nulls_last("key"), "code")
-        rows = rows.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= held_most + new).drop("_k")
-    return rows.groupBy("scenario").applyInPandas(fold, PLAN)
-
-
-def planned_portfolio(holds: DataFrame, days: DataFrame, hold: int, cost: float = COST, basis: str = "invested", places: int = 0) -> DataFrame:
-    """Daily return and value of planned positions by scenario. ``holds`` carries ``path``.
-
-    Basis: ``invested`` (mean of what is held), ``capital`` (each place 1 / places), ``weight`` (as planned).
-    """
-    net = F.col("ret") - cost / hold
-    cells = holds.select("scenario", "day", "weight", F.posexplode(F.slice("path", 1, hold)).alias("j", "ret")).where("ret IS NOT NULL")
-    total = {"invested": F.avg(net), "capital": F.sum(net) / (places or 1), "weight": F.sum(net * F.col("weight"))}[basis]
-    daily = cells.groupBy("scenario", (F.col("day") + F.col("j")).alias("day")).agg(total.alias("ret"), F.count("*").alias("n"))
-    grid = days.select("day", "date").join(F.broadcast(holds.select("scenario").distinct()))
-    out = grid.join(daily, ["scenario", "day"], "left").withColumns({"ret": F.coalesce("ret", F.lit(0.0)), "n": F.coalesce("n", F.lit(0)).cast("long")})
-    return out.withColumn("nav", F.product(1 + F.col("ret")).over(Window.partitionBy("scenario").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))
-
-
-def occupancy(daily: DataFrame, places: int) -> DataFrame:
-    """How full a portfolio was: means, peaks, empty and full days."""
-    n = F.col("n")
-    return daily.groupBy("scenario").agg(F.avg(n.cast("double")).alias("avg_pos"), F.max(n).alias("max_pos"), F.avg((n == 0).cast("double")).alias("empty"), F.avg((n >= places).cast("double")).alias("full"), F.avg(F.least(n / places, F.lit(1.0))).alias("invested"))
-
-
-def random_control(stats: DataFrame, name: str, value: str = "cagr") -> DataFrame:
-    """Where one scenario stands among the others: their mean, spread, tails, and its percentile and z."""
-    one = stats.where(F.col("scenario") == name).select(F.col(value).alias("own"))
-    rest = stats.where(F.col("scenario") != name).crossJoin(F.broadcast(one))  # one row
-    out = rest.agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.percentile(value, 0.05).alias("p05"), F.percentile(value, 0.95).alias("p95"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg((F.col(value) < F.col("own")).cast("double")).alias("beaten"), F.max("own").alias("own"))
-    return out.withColumn("z", ratio(F.col("own") - F.col("mean"), "sd"))
-
-
 # ---- stops ------------------------------------------------------------------------------------------------------------
 
 

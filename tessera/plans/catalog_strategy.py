@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import entity, lead, ratio
 from ..operators import cross as X
 from ..operators import simulate as D
-from ..sources.files import staged
 from ..sources.panel import calendar, panel
+from ..sources.versions import reused
 from . import query as Q
 from . import sql as S
 from .catalog_cross import STATES, deciled, features, r6, states
@@ -39,13 +39,20 @@ def market(spark, sf, index: str = "all", ma: int = 60) -> DataFrame:
     return each.where(F.col("ma_len") == ma).select("day", "bull", F.col("hv20").alias("mkt_hv20"), "hv_med", "breadth")
 
 
-def prepared(spark, sf) -> DataFrame:
-    """Rows with deciles, market state, fills and the flagship's signal; what runs along time comes before the ranks, in one shuffle."""
+def _prepare(spark, sf) -> DataFrame:
     df = features(spark, sf).withColumns({"oret": F.round(lead("open") / F.col("open") - 1, 10), "oret_sig": lead("open", 2) / lead("open") - 1})
     df = X.with_deciles(D.with_fills(df, HOLD)).join(F.broadcast(market(spark, sf)), "day", "left")  # a row per period
     return df.withColumn("signal", Q.predicate(DEEP)[0])
 
 
+def prepared(spark, sf) -> DataFrame:
+    """Rows with deciles, market state, fills and the flagship's signal; what runs along time comes before the ranks, in one shuffle.
+
+    They are written once and read again by later queries, until one of the four files behind them changes.
+    """
+    return reused(spark, [f"{sf}/{t}.parquet" for t in ("lineitem", "supplier", "nation", "region")], "prepared", lambda: _prepare(spark, sf))
+
+
 ROWS = STATES + f""", f1 AS (SELECT dec.*, round({S.lead('open')} / open - 1, 10) AS oret, {S.lead('open', 2)} / {S.lead('open')} - 1 AS oret_sig,
     first_value(CASE WHEN can_sell THEN open END IGNORE NULLS) OVER ({S.E_} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS so FROM dec),
 f2 AS (SELECT f1.*, {S.lead('CASE WHEN can_buy THEN open END')} AS buy_px, {S.lead('so', 1 + HOLD)} AS sell_px, {S.lead('day')} AS entry_day, {S.lead('day', 1 + HOLD)} AS due_day, {S.lead('open')} IS NOT NULL AS has_entry, {S.lead('open', 1 + HOLD)} IS NOT NULL AS has_exit FROM f1),
@@ -394,61 +401,6 @@ def drawdown_depth(spark, sf):
     return out.where("n >= 20").select("bucket", "n", *r6("mean", "med"))
 
 
-# ---- plans under a capacity, beyond SQL -------------------------------------------------------------------------------
-
-
-#: Random plans beside the deepest-first one, as many as the reference draws.
-DRAWS = 200
-
-
-def _signals(spark, sf) -> DataFrame:
-    return D.with_path(prepared(spark, sf), HOLD).where("signal").select("code", "day", "row", "px_ma60_pct", "path")
-
-
-def _candidates(sig: DataFrame, seeds: int = 0) -> DataFrame:
-    """The deepest first, and ``seeds`` random orders; dealt by day, so that a day's candidates are trimmed where they are made."""
-    if not seeds:
-        return sig.select(F.lit("deep").alias("scenario"), "code", "day", "row", F.col("px_ma60_pct").alias("key"))
-    each = sig.select("code", "day", "row", "px_ma60_pct").repartition("day").withColumn("seed", F.explode(F.sequence(F.lit(-1), F.lit(seeds - 1))))
-    deep = F.col("seed") < 0
-    name = F.when(deep, "deep").otherwise(F.concat(F.lit("rand"), F.col("seed")))
-    return each.select(name.alias("scenario"), "code", "day", "row", F.when(deep, F.col("px_ma60_pct")).otherwise(F.xxhash64("code", "day", "seed").cast("double")).alias("key"))
-
-
-@query("capacity_plan")
-def capacity_plan(spark, sf):
-    return D.plan(_candidates(_signals(spark, sf)), HOLD, max_pos=10, max_new=2)
-
-
-@query("ladder_plan")
-def ladder_plan(spark, sf):
-    return D.plan(_candidates(_signals(spark, sf)), HOLD, ladder=(1, 2, 2, 2, 3))
-
-
-def _planned(spark, sf, seeds: int = 0, **how):
-    sig = _signals(spark, sf)
-    if seeds:
-        sig = staged(sig, "control-signals")
-    holds = D.plan(_candidates(sig, seeds), HOLD, **how).join(sig.select("code", "row", "path"), ["code", "row"])
-    return staged(holds, "control-holds") if seeds else holds
-
-
-@query("capacity_nav")
-def capacity_nav(spark, sf):
-    return D.planned_portfolio(_planned(spark, sf, max_pos=10, max_new=2), _days(spark, sf), HOLD, basis="capital", places=10).select("scenario", "day", "date", "n", "ret", "nav")
-
-
-@query("capacity_occupancy")
-def capacity_occupancy(spark, sf):
-    return D.occupancy(D.planned_portfolio(_planned(spark, sf, max_pos=10, max_new=2), _days(spark, sf), HOLD, basis="capital", places=10), 10)
-
-
-@query("random_control")
-def random_control(spark, sf):
-    nav = D.planned_portfolio(_planned(spark, sf, DRAWS, max_pos=10, max_new=2), _days(spark, sf), HOLD, basis="capital", places=10)
-    return D.random_control(D.annual_stats(nav, ["scenario"]), "deep")
-
-
 @query("tune_grid", S.with_(ROWS, "SELECT deep, small, market, count(*) AS n, round(avg(r - 0.003), 6) AS mean FROM rws JOIN (SELECT unnest([1, 2, 3]) AS deep) a ON d_px_ma60_pct <= deep JOIN (SELECT unnest([0, 2, 4]) AS small) b ON size_grp <= small JOIN (SELECT unnest(['any', 'bear', 'bull']) AS market) c ON market = 'any' OR bull = (market = 'bull') WHERE r IS NOT NULL GROUP BY ALL HAVING count(*) >= 200"))
 def tune_grid(spark, sf):
     """A grid of selections in one pass: each row joins the few combinations that it satisfies."""

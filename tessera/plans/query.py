@@ -78,7 +78,7 @@ def ladder_steps(text: str | list | tuple | None, most: int = 50) -> tuple[int,
 
 
 def even_stride(combinations: list, most: int) -> list:
-    """At most so many, at an even stride: a cut would lose whole values of the axes that change last."""
+    """At most so many, spread evenly over the whole list."""
     n = len(combinations)
     return combinations if n <= most else [combinations[i * n // most] for i in range(most)]
 

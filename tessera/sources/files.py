@@ -61,9 +61,8 @@ def write_version(df: DataFrame, root: str) -> str:
 _own_dir: list[str] = []
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write rows that are needed twice once, to spark.checkpoint.dir or what else all executors share, and read them back."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, else one in the warehouse, or one of our own with a local master."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root and not spark.sparkContext.master.startswith("local"):
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
@@ -72,8 +71,13 @@ def staged(df: DataFrame, label: str) -> DataFrame:
             _own_dir.append(tempfile.mkdtemp(prefix="tessera-"))
             atexit.register(shutil.rmtree, _own_dir[0], True)
         root = "file://" + _own_dir[0]
-    path = write_version(df, f"{root.rstrip('/')}/{label}")
-    return spark.read.schema(df.schema).parquet(path)
+    return root.rstrip("/")
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write rows that are needed twice once, to the shared folder, and read them back."""
+    path = write_version(df, f"{shared_dir(df.sparkSession)}/{label}")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:

@@ -11,6 +11,7 @@ from tessera.functions import columns as C
 from tessera.operators import asof as A
 from tessera.operators import cross as X
 from tessera.operators import indicators as I
+from tessera.operators import capacity as K
 from tessera.operators import simulate as D
 from tessera.plans import query as Q
 from tessera.sources import panel as P
@@ -162,11 +163,12 @@ def test_normalisers():
 
 def planned(spark, rows, **how):
     df = spark.createDataFrame([("s", c, d, 0, k) for c, d, k in rows], "scenario string, code long, day long, row long, key double")
-    return sorted((r.entry_day, r.exit_day, r.code, r.weight) for r in D.plan(df, **how).collect())
+    hold = how.pop("hold")
+    return sorted((r.entry_day, r.exit_day, r.code, r.weight) for r in K.plan(df, hold, K.Rhythm(**how)).collect())
 
 
 def test_plan_skips_held_names_and_frees_places(spark):
-    got = planned(spark, [(1, 0, 1.0), (2, 0, 2.0), (3, 0, 3.0), (1, 1, 1.0), (2, 1, 2.0), (3, 1, 3.0), (4, 6, None), (5, 6, 9.0)], hold=5, max_pos=2, max_new=1)
+    got = planned(spark, [(1, 0, 1.0), (2, 0, 2.0), (3, 0, 3.0), (1, 1, 1.0), (2, 1, 2.0), (3, 1, 3.0), (4, 6, None), (5, 6, 9.0)], hold=5, places=2, new=1)
     assert [(e, x, c) for e, x, c, _ in got] == [(1, 6, 1), (2, 7, 2), (7, 12, 5)]  # name 1 is held on day 1; of day 6, the known key first
 
 
@@ -181,7 +183,7 @@ def test_even_ladder_is_equal_weight(spark):
     rng = np.random.default_rng(5)
     rows = [(int(c), d, float(rng.random())) for d in range(60) for c in rng.choice(40, 14, replace=False)]  # enough for every step
     a = planned(spark, rows, hold=7, ladder=(2, 2, 2, 2, 2))
-    b = planned(spark, rows, hold=7, max_pos=10, max_new=2)
+    b = planned(spark, rows, hold=7, places=10, new=2)
     assert [x[:3] for x in a] == [x[:3] for x in b]
 
 
