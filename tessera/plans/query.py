@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Factors that take a decile range, by parameter name.
@@ -96,6 +96,29 @@ def code_list(text: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+#: Codes of a pool up to which they are handed to every executor.
+BROADCAST_CODES = 100_000
+
+
+def text_codes(texts: DataFrame, text: str = "text") -> DataFrame:
+    """The codes of free texts, a row each: upper-case words; six bare digits stand for themselves and for either main exchange."""
+    words = texts.select(F.explode(F.split(F.upper(F.col(text)), r"[\s,，;；]+")).alias("w")).where("w <> ''")
+    both = F.when(F.col("w").rlike(r"^\d{6}$"), F.array(F.col("w"), F.concat("w", F.lit(".SH")), F.concat("w", F.lit(".SZ")))).otherwise(F.array("w"))
+    return words.select(F.explode(both).alias("code")).distinct()
+
+
+def in_text_pool(df: DataFrame, texts: DataFrame, code: str = "code") -> DataFrame:
+    """Rows whose code the texts name. An error if they name none, or none that is there; broadcast only below a checked size."""
+    codes = text_codes(texts).withColumnRenamed("code", code)
+    n = codes.count()
+    if not n:
+        raise ValueError("no code given")
+    out = df.join(F.broadcast(codes) if n <= BROADCAST_CODES else codes, code, "left_semi")
+    if out.isEmpty():
+        raise ValueError(f"none of {n} codes is there")
+    return out
+
+
 def six_digits(c: Column) -> Column:
     return F.regexp_extract(F.upper(F.trim(c)), r"\d{6}", 0)
 

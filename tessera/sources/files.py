@@ -46,6 +46,42 @@ def read_series(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("date").agg(F.max_by(F.struct(*(c for c in rows.columns if c not in ("date", "seq"))), "seq").alias("r")).select("date", "r.*")
 
 
+def read_mixed_series(spark: SparkSession, path: str) -> DataFrame:
+    """series, date, close from a JSON document a line: bars as objects or as positions, a time in milliseconds or as a date; of repeated dates the last stays."""
+    doc = spark.read.text(path).select(F.parse_json("value").alias("v"))
+    bars = doc.select(F.variant_get("v", "$.series", "long").alias("series"), F.posexplode(F.variant_get("v", "$.klines", "array<variant>")).alias("at", "bar"))
+    got = lambda kind, *paths: F.coalesce(*(F.try_variant_get("bar", p, kind) for p in paths))
+    when = ("$.date_ms", "$.date", "$.day", "$.ts", "$[0]")
+    day = F.coalesce(F.to_date(F.timestamp_millis(got("long", *when))), F.to_date(F.substring(got("string", *when), 1, 10)))
+    rows = bars.select("series", "at", day.alias("date"), got("double", "$.close_price", "$.close", "$.c", "$[4]").alias("close"))
+    return rows.groupBy("series", "date").agg(F.max_by("close", "at").alias("close"))
+
+
+TREE = "groups array<struct<code:int,name:string,subs:array<string>,notes:array<string>>>, absent array<struct<code:int,name:string,why:string>>"
+
+
+def read_tree(spark: SparkSession, path: str) -> DataFrame:
+    """A nested tree of groups: kind (group or absent), code, name, sub; a row per member, and one per absent group."""
+    tree = spark.read.schema(TREE).json(path, multiLine=True)
+    members = tree.select(F.explode("groups").alias("g")).select(F.lit("group").alias("kind"), "g.code", "g.name", F.explode("g.subs").alias("sub"))
+    absent = tree.select(F.explode("absent").alias("g")).select(F.lit("absent").alias("kind"), "g.code", "g.name", F.lit(None).cast("string").alias("sub"))
+    return members.unionByName(absent)
+
+
+def grouped_members(tree: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """The names that ``rows`` (code, date, ``name``) really has, under the tree's groups: kind, code, name, n_sub, n_stock (entities of the last date), subs.
+
+    Groups keep only members that occur, and go without any; a name that no group claims is ``unlisted``, never lost.
+    """
+    end = rows.agg(F.max("date").alias("end"))
+    have = rows.crossJoin(F.broadcast(end)).groupBy(F.col(name).alias("sub")).agg(F.countDistinct(F.when(F.col("date") == F.col("end"), F.col("code"))).alias("n"))  # one row is broadcast
+    groups = tree.where("kind = 'group'").join(have, "sub")
+    listed = groups.groupBy("kind", "code", "name").agg(F.count("*").alias("n_sub"), F.sum("n").alias("n_stock"), F.array_join(F.array_sort(F.collect_list("sub")), ",").alias("subs"))
+    unlisted = have.join(groups.select("sub"), "sub", "left_anti").select(F.lit("unlisted").alias("kind"), F.lit(None).cast("int").alias("code"), F.col("sub").alias("name"), F.lit(1).cast("long").alias("n_sub"), F.col("n").alias("n_stock"), F.col("sub").alias("subs"))
+    absent = tree.where("kind = 'absent'").select("kind", "code", "name", F.lit(0).cast("long").alias("n_sub"), F.lit(0).cast("long").alias("n_stock"), F.lit(None).cast("string").alias("subs"))
+    return listed.unionByName(unlisted).unionByName(absent)
+
+
 def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     writer = df.write.mode("overwrite").option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)
