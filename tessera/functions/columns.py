@@ -49,6 +49,13 @@ def rolling(agg: Callable, c: Column | str, n: int, at_least: int | None = None,
     return F.when(F.count(col(c)).over(w) >= (n if at_least is None else at_least), agg(col(c)).over(w))
 
 
+def rolling_median(c: Column | str, n: int, past: bool = False) -> Column:
+    """The median of ``n`` rows, null with fewer values: sorted as an array, as a percentile over a moving frame builds a table of counts for every row."""
+    w = frame(n, past)
+    x = F.sort_array(F.collect_list(col(c)).over(w))
+    return F.when(F.count(col(c)).over(w) >= n, (F.get(x, F.lit((n - 1) // 2)) + F.get(x, F.lit(n // 2))) / 2)
+
+
 def lag(c: Column | str, k: int = 1) -> Column:
     return F.lag(col(c), k).over(entity())
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import period, bins, change, median, rank_pct, ratio, rolling
+from ..functions.columns import period, bins, change, rank_pct, ratio, rolling, rolling_median
 
 COST = 0.003  # of a round trip
 YEAR = 252  # periods
@@ -75,11 +75,23 @@ def excess_t(df: DataFrame, value: str, by: list[str] | None = None, least_rows:
     return out.where((F.col("n") >= least_rows) & (F.col("days") >= least_days)).withColumns({"t": ratio("mean", se), "lo": F.col("mean") - 1.96 * se, "hi": F.col("mean") + 1.96 * se}).drop("sd")
 
 
+def ranked_pairs(df: DataFrame, factors: list[str], target: str, by: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """A row per row and factor that both have a value: factor, x, y, rx, ry, with ``by`` and ``more``.
+
+    The ranks of all factors, and of the target among the rows that have the factor too, lie side by side over one
+    shuffle by period; rows are multiplied only behind it, so what is grouped by period next is not dealt out again.
+    """
+    y = F.col(target).cast("double")
+    some = df.select(by, *more, y.alias("_y"), *(F.col(f).cast("double").alias(f) for f in factors)).where("_y IS NOT NULL")
+    own = {f: F.when(F.col(f).isNotNull(), F.col("_y")) for f in factors}
+    ranked = some.withColumns({f"_x_{f}": rank_pct(f, [by]) for f in factors} | {f"_y_{f}": rank_pct(own[f], [by]) for f in factors})
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f).alias("x"), F.col(f"_x_{f}").alias("rx"), F.col(f"_y_{f}").alias("ry")) for f in factors))).alias("s")
+    return ranked.select(by, *more, F.col("_y").alias("y"), each).select(by, *more, "y", "s.*").where("x IS NOT NULL")
+
+
 def daily_ic(df: DataFrame, factors: list[str], target: str, least: int = 30) -> DataFrame:
     """By factor and day, the rank correlation with the target among rows that have both."""
-    stacked = df.select("day", "date", F.col(target).alias("y"), F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f).cast("double").alias("x")) for f in factors))).alias("s")).select("day", "date", "y", "s.factor", "s.x").where("x IS NOT NULL AND y IS NOT NULL")
-    ranked = stacked.withColumns({"rx": rank_pct("x", ["factor", "date"]), "ry": rank_pct("y", ["factor", "date"])})
-    return ranked.groupBy("factor", "day").agg(F.corr("rx", "ry").alias("ic"), F.count("*").alias("n")).where(F.col("n") >= least)
+    return ranked_pairs(df, factors, target, "day").groupBy("factor", "day").agg(F.corr("rx", "ry").alias("ic"), F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def ic_summary(ic: DataFrame) -> DataFrame:
@@ -123,7 +135,7 @@ def features(df: DataFrame) -> DataFrame:
         **{f"ret{k}": change("close", k) for k in (5, 10, 20, 40, 60)},
         **{f"px_ma{n}_pct": ratio("close", rolling(F.avg, "close", n)) - 1 for n in (20, 60, 120)},
         **{f"ma{n}": rolling(F.avg, "close", n) for n in (5, 10, 20)},
-        "rvol20": ratio("volume", rolling(median, "volume", 20, past=True)), "vt_5_20": ratio(rolling(F.avg, "volume", 5), rolling(F.avg, "volume", 20)),
+        "rvol20": ratio("volume", rolling_median("volume", 20, past=True)), "vt_5_20": ratio(rolling(F.avg, "volume", 5), rolling(F.avg, "volume", 20)),
         "hv20": rolling(F.stddev_samp, "ret", 20) * YEAR**0.5, "amt20_lag": rolling(F.avg, "turnover", 20, past=True),
     })
     return out.withColumns({c: F.round(c, 9) for c in ("ret5", "ret10", "ret20", "ret40", "ret60", "px_ma20_pct", "px_ma60_pct", "px_ma120_pct", "rvol20", "vt_5_20", "hv20", "ma5", "ma10", "ma20")} | {"amt20_lag": F.round("amt20_lag", 4)})

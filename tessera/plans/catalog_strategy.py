@@ -13,7 +13,7 @@ from ..sources.versions import reused
 from . import query as Q
 from . import sql as S
 from .catalog_cross import STATES, deciled, features, r6, states
-from .catalog_windows import base
+from .catalog_windows import base, sources
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -50,7 +50,7 @@ def prepared(spark, sf) -> DataFrame:
 
     They are written once and read again by later queries, until one of the four files behind them changes.
     """
-    return reused(spark, [f"{sf}/{t}.parquet" for t in ("lineitem", "supplier", "nation", "region")], "prepared", lambda: _prepare(spark, sf))
+    return reused(spark, sources(sf), "prepared", lambda: _prepare(spark, sf))
 
 
 ROWS = STATES + f""", f1 AS (SELECT dec.*, round({S.lead('open')} / open - 1, 10) AS oret, {S.lead('open', 2)} / {S.lead('open')} - 1 AS oret_sig,

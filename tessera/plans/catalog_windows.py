@@ -8,15 +8,21 @@ from pyspark.sql import functions as F
 from ..functions.columns import lag, lead, median, rolling
 from ..operators import indicators as I
 from ..sources.panel import clean, panel, with_day
+from ..sources.versions import reused
 from . import sql as S
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
+def sources(sf_dir: str) -> list[str]:
+    """The files behind the panel."""
+    return [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "supplier", "nation", "region")]
+
+
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean rows with their positions."""
-    return with_day(clean(panel(spark, sf_dir)))
+    """Clean rows with their positions, written once and read again by later queries until one of the files behind them changes."""
+    return reused(spark, sources(sf_dir), "base", lambda: with_day(clean(panel(spark, sf_dir))))
 
 
 def out(df: DataFrame, *exact: str, digits: int = 6, **rounded: Column | str) -> DataFrame:
