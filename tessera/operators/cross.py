@@ -178,3 +178,15 @@ def fama_macbeth(df: DataFrame, factors: list[str], target: str, least: int = 30
     betas = days.mapInPandas(solved, "factor string, beta double")
     out = betas.groupBy("factor").agg(F.count("*").alias("days"), F.avg("beta").alias("mean_beta"), F.stddev_samp("beta").alias("sd"))
     return out.select("factor", "days", "mean_beta", ratio(F.col("mean_beta") * F.sqrt(F.col("days").cast("double")), "sd").alias("t"))
+
+
+def pooled_rank(df: DataFrame, c: str, slices: int = 200) -> DataFrame:
+    """By distinct value of ``c`` in all rows: its average rank over their number, 0 < p <= 1.
+
+    Counts by value first; running counts in two levels, by slice of the value range and within it, so no task sees all values.
+    """
+    values = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_k")).withColumn("_s", F.floor(F.col(c) * slices))
+    whole = values.groupBy("_s").agg(F.sum("_k").alias("_m"))  # a row a slice
+    whole = whole.withColumns({"_before": F.sum("_m").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), "_all": F.sum("_m").over(Window.partitionBy())})
+    below = F.coalesce("_before", F.lit(0)) + F.coalesce(F.sum("_k").over(Window.partitionBy("_s").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return values.join(whole.select("_s", "_before", "_all"), "_s").select(c, ((below + 1 + (F.col("_k") - 1) / 2) / F.col("_all")).alias("p"))
