@@ -208,3 +208,48 @@ def pool_free_text(spark, sf):
     digits = lambda c: F.lpad(c.cast("string"), 6, "0")
     texts = table(spark, sf, "supplier").where("s_suppkey % 7 = 0").select(F.concat(digits(F.col("s_suppkey")), F.lit(" ,"), digits(F.col("s_suppkey") + 1), F.lit(".sz，none")).alias("text"))
     return Q.in_text_pool(df, texts, "thscode").groupBy("thscode").agg(F.count("*").alias("n"), F.avg("close").alias("mean")).select("thscode", "n", *r6("mean"))
+
+
+# ---- dimension files and sinks --------------------------------------------------------------------------------------------------
+
+
+@query("dimension_files", S.with_(S.PANEL, """, t AS (SELECT s_suppkey AS code, lpad(s_suppkey::VARCHAR, 6, '0') || CASE WHEN s_suppkey % 2 = 0 THEN '.SZ' ELSE '.SH' END AS thscode, s_name AS name, s_suppkey % 2 = 0 AS wrapped, s_suppkey % 5 = 0 AS missing, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey)
+    SELECT thscode, name, CASE WHEN wrapped THEN 'SZ' ELSE 'SH' END AS exchange, CASE WHEN NOT missing THEN n_name END AS ind_name, count(panel.code) AS n FROM t LEFT JOIN panel ON panel.code = t.code GROUP BY ALL"""))
+def dimension_files(spark, sf):
+    """Tickers from a plain and from a wrapped JSON list, and their industries from a JSON map in which some are missing, beside the panel's rows."""
+    key = F.col("s_suppkey")
+    thscode = F.concat(F.lpad(key.cast("string"), 6, "0"), F.when(key % 2 == 0, ".SZ").otherwise(".SH"))
+    rows = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).withColumn("thscode", thscode)
+    item = F.collect_list(F.struct("thscode", F.col("s_name").alias("name"), F.lit(None).cast("string").alias("list_date"), F.substring("thscode", 8, 2).alias("exchange")))
+    at = _folder(spark, "dimension")
+    # one file each, as the readers take them: a dimension, not the data
+    rows.where(key % 2 == 1).agg(F.to_json(item).alias("value")).write.text(f"{at}/list")
+    rows.where(key % 2 == 0).agg(F.to_json(F.struct(F.struct(item.alias("item")).alias("data"))).alias("value")).write.text(f"{at}/wrapped")
+    pairs = F.map_from_entries(F.collect_list(F.struct("thscode", F.struct(F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("name")))))
+    rows.where(key % 5 != 0).agg(F.to_json(pairs).alias("value")).write.text(f"{at}/map")
+    tickers = W.read_tickers(spark, f"{at}/list").unionByName(W.read_tickers(spark, f"{at}/wrapped"))
+    counts = panel(spark, sf).groupBy("code").agg(F.count("*").alias("n"))
+    out = tickers.join(W.read_code_map(spark, f"{at}/map"), "thscode", "left").withColumn("code", F.substring("thscode", 1, 6).cast("long")).join(counts, "code", "left")
+    return out.select("thscode", "name", "exchange", "ind_name", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+_SUNK = "SELECT '{0}' AS sink, count(*) AS n, count(ret) AS known, round(sum(close), 4) AS total, count(DISTINCT code) AS codes FROM w"
+
+
+@query("sinks", S.with_(S.CLEAN, ", w AS (SELECT code, date, round(close, 6) AS close, CASE WHEN code % 3 <> 0 THEN round(ret, 9) END AS ret FROM base) " + " UNION ALL ".join(_SUNK.format(k) for k in ("csv", "json", "parquet"))))
+def sinks(spark, sf):
+    """The same rows written as parquet by partitions, as CSV with a byte-order mark and as compressed JSON with nulls, and what is read back from each."""
+    from .catalog_windows import base
+
+    rows = W.staged(base(spark, sf).select("code", "date", F.round("close", 6).alias("close"), F.when(F.col("code") % 3 != 0, F.round("ret", 9)).alias("ret"), F.year("date").alias("year")), "sink-rows")
+    at = _folder(spark, "sinks")
+    W.write_parquet(rows, f"{at}/parquet", ["year"])
+    W.write_csv(rows, f"{at}/csv", ["code", "date", "close", "ret"])
+    W.write_json(rows.drop("year"), f"{at}/json")
+    names = "code long, date date, close double, ret double"
+    back = {"parquet": spark.read.parquet(f"{at}/parquet"), "csv": spark.read.schema(names).option("header", True).option("enforceSchema", True).csv(f"{at}/csv"), "json": spark.read.schema(names).json(f"{at}/json")}
+    out = None
+    for name, df in back.items():
+        one = df.agg(F.count("*").alias("n"), F.count("ret").alias("known"), F.round(F.sum("close"), 4).alias("total"), F.countDistinct("code").alias("codes")).select(F.lit(name).alias("sink"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
