@@ -7,7 +7,9 @@ frequent part and no vocabulary leaves Spark's tables. A multinomial naive Bayes
 It learns from the URLs that the rules decide, and from a few labelled phrases. What a rule decides by is no evidence: the last
 labels of the host and the first segments of the path, as many as any rule names, are left out when learning. A word
 counts once a host and class, and a URL is scored without what its own host has taught: whether another path of its
-host meets a rule does not change its verdict. Words without any evidence weigh nothing.
+host meets a rule does not change its verdict. Words without any evidence, single letters and repetitions within a name
+weigh nothing. Log-odds equal to the margin allow. Only letters a to z are read: a name in another script, and what is
+left of it in a coded host (xn--...), gives few words or none, and without evidence it is allowed.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule and is allowed. Hosts and paths of any length
 are read whole. Repeated rows are judged one by one; an empty table gives an empty result; other columns do not matter.
@@ -21,19 +23,19 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, staged
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Labelled phrases, each worth PHRASE_WEIGHT hosts.
+#: Labelled phrases; each of their words is worth PHRASE_WEIGHT hosts, in however many phrases it stands, so one of them alone does not reach the margin.
 PHRASES = {
-    "block": ("ads track", "adult x", "ads click banner", "tracker pixel ads", "porn xxx", "adult video x", "casino bet win", "cheap pills", "spam ads", "malware download", "phishing login", "sex cam adult", "gambling slots", "affiliate ads track", "poker bets jackpot", "viagra pharmacy pills", "escort dating hookup", "warez crack torrent"),
+    "block": ("ads track", "adult x", "ads click banner", "tracker pixel ads", "porn xxx", "adult video x", "casino bet win", "cheap pills", "spam ads", "malware download", "phishing login", "sex cam adult", "gambling slots", "affiliate ads track", "poker bets jackpot", "viagra pharmacy pills", "escort dating hookup", "warez crack torrent", "free bets bonus", "link farm spam"),
     "allow": ("news article", "school science", "library book", "forum help", "docs guide", "museum history", "health research", "weather report", "data page html"),
 }
-PHRASE_WEIGHT = 50
+PHRASE_WEIGHT = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs that are no names.
 PLAIN = frozenset({"http", "https", "html", "com"})
@@ -175,8 +177,8 @@ def url_filter(pages: DataFrame, rules: tuple = RULES, id_col: str = "page_id",
     taught = names.where("ruled IS NOT NULL").select("host", "ruled", F.explode("inner").alias("run")).distinct()
     taught = taught.join(cut, "run").select("host", "ruled", F.explode("words").alias("word")).distinct()
     own = staged(taught.groupBy("host", "word").agg(F.count(F.when(F.col("ruled") == "block", 1)).alias("own_block"), F.count(F.when(F.col("ruled") == "allow", 1)).alias("own_allow")), "url-evidence")
-    said = Counter((w, v) for v, ps in PHRASES.items() for p in ps for w in p.split())
-    phrases = spark.createDataFrame([(w, PHRASE_WEIGHT * n * (v == "block"), PHRASE_WEIGHT * n * (v == "allow")) for (w, v), n in said.items()], "word string, block long, allow long")
+    said = sorted({(w, v) for v, ps in PHRASES.items() for p in ps for w in p.split() if len(w) > 1})
+    phrases = spark.createDataFrame([(w, PHRASE_WEIGHT * (v == "block"), PHRASE_WEIGHT * (v == "allow")) for w, v in said], "word string, block long, allow long")
     counts = own.groupBy("word").agg(F.sum("own_block").alias("block"), F.sum("own_allow").alias("allow")).unionByName(phrases).groupBy("word").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"))
     counts = staged(counts, "url-counts")
     by_host = own.groupBy("host").agg(F.sum("own_block").alias("host_block"), F.sum("own_allow").alias("host_allow"))
@@ -187,7 +189,9 @@ def url_filter(pages: DataFrame, rules: tuple = RULES, id_col: str = "page_id",
     words = words.join(counts, "word", "left").join(own, ["host", "word"], "left").join(by_host, "host", "left")
     block, allow, host_block, host_allow = (F.coalesce(a, F.lit(0)) - F.coalesce(b, F.lit(0)) for a, b in (("block", "own_block"), ("allow", "own_allow"), (F.lit(all_block), "host_block"), (F.lit(all_allow), "host_allow")))
     odds = F.log((block + 1) / (host_block + size)) - F.log((allow + 1) / (host_allow + size))
-    words = words.withColumn("odds", F.when(block + allow > 0, odds).otherwise(0.0))
+    # a word counts once a name, as it does once a host in what is taught; a single letter, as a coded or cut name is full of, is no evidence
+    again = F.row_number().over(Window.partitionBy("host", "path", "word").orderBy("at", "place")) > 1
+    words = words.withColumn("odds", F.when((block + allow > 0) & (F.length("word") > 1) & ~again, odds).otherwise(0.0))
     place = F.struct("at", "place", "word", "odds")
     scored = words.groupBy("host", "path").agg(F.array_sort(F.collect_list(place)).alias("told"))  # the words of one name
     told = scored.select(F.col("host").alias("h"), F.col("path").alias("p"), F.array_join("told.word", " ").alias("tokens"), F.aggregate("told.odds", F.lit(0.0), lambda a, x: a + x).alias("log_odds"))

@@ -120,12 +120,12 @@ def test_url_verdicts_equal_brute_force(spark):
         return out
 
     taught, vocabulary = {}, {w for r in got.values() for w in cut(f"{r.host} {r.path}")}
-    vocabulary |= {w for ps in U.PHRASES.values() for p in ps for w in p.split()}
+    vocabulary |= {w for ps in U.PHRASES.values() for p in ps for w in p.split() if len(w) > 1}
     for r in got.values():
         if r.rule:
             for w in cut(".".join(r.host.split(".")[:-2]) + " " + "/".join(r.path.split("/")[2:])):
                 taught.setdefault((w, r.verdict), set()).add(r.host)
-    said = Counter((w, v) for v, ps in U.PHRASES.items() for p in ps for w in p.split())
+    said = Counter({(w, v): 1 for v, ps in U.PHRASES.items() for p in ps for w in p.split() if len(w) > 1})
 
     def times(w, v, host):
         return U.PHRASE_WEIGHT * said[w, v] + len(taught.get((w, v), set()) - {host})
@@ -134,12 +134,12 @@ def test_url_verdicts_equal_brute_force(spark):
     for r in got.values():
         size = {v: len(vocabulary) + sum(times(w, v, r.host) for w in vocabulary) for v in ("block", "allow")}
         words = cut(f"{r.host} {r.path}")
-        odds = sum(math.log((times(w, "block", r.host) + 1) / size["block"]) - math.log((times(w, "allow", r.host) + 1) / size["allow"]) for w in words if times(w, "block", r.host) + times(w, "allow", r.host))
+        odds = sum(math.log((times(w, "block", r.host) + 1) / size["block"]) - math.log((times(w, "allow", r.host) + 1) / size["allow"]) for w in sorted(set(words)) if len(w) > 1 and times(w, "block", r.host) + times(w, "allow", r.host))
         assert r.tokens.split() == words and abs(r.log_odds - odds) < 1e-6, r
         if r.rule is None:
             judged[r.verdict] += 1
             assert r.verdict == ("block" if odds > 2 else "allow")
-    assert min(judged["block"], judged["allow"]) > 5 and len(got) == len(urls)
+    assert min(judged["block"], judged["allow"]) > 3 and len(got) == len(urls)
 
 
 def test_verdict_does_not_depend_on_other_paths_of_its_host(spark):
@@ -151,6 +151,17 @@ def test_verdict_does_not_depend_on_other_paths_of_its_host(spark):
     assert one == two == [("allow", None)]
 
 
+def test_one_word_of_a_phrase_does_not_block(spark):
+    clean = ["essex-sex-education", "middlesex-county-hotels-cheap-flights", "banner-university", "winter-slots-schedule", "adult-learning", "dating-fossils", "xn--80ak6aa92e"]
+    bad = ["casino-win", "ads-track", "cheap-pills", "casinobetwin", "poker-jackpot"]
+    html = "<p>" + " ".join(clean).replace("-", " ") + " of the and history school county hotels flights learning museum river</p>"
+    urls = [f"http://{h}.example.com/en/1" for h in clean + bad] + ["http://x.com/pharmacy-guide", "http://example.net:80/en/x"]
+    got = {r.page_id: r.verdict for r in url_filter(spark.createDataFrame([(i, u, html) for i, u in enumerate([*urls, *(x for x in some_urls() if x and "casino" not in x and "ads" not in x)])], PAGES)).collect()}
+    n = len(clean)
+    assert [got[i] for i in range(n)] == ["allow"] * n and [got[i] for i in range(n, n + len(bad))] == ["block"] * len(bad)
+    assert got[n + len(bad)] == "allow"
+
+
 def brute_targets(sizes, weights):
     out, open_, left = [0.0] * len(sizes), {i for i, s in enumerate(sizes) if s}, 1.5 * sum(sizes)
     while open_ and left > 1e-9:
