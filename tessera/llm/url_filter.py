@@ -35,7 +35,7 @@ PHRASES = {
     "block": ("ads track", "adult x", "ads click banner", "tracker pixel ads", "porn xxx", "adult video x", "casino bet win", "cheap pills", "spam ads", "malware download", "phishing login", "sex cam adult", "gambling slots", "affiliate ads track", "poker bets jackpot", "viagra pharmacy pills", "escort dating hookup", "warez crack torrent", "free bets bonus", "link farm spam"),
     "allow": ("news article", "school science", "library book", "forum help", "docs guide", "museum history", "health research", "weather report", "data page html"),
 }
-PHRASE_WEIGHT = 3
+PHRASE_WEIGHT = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs that are no names.
 PLAIN = frozenset({"http", "https", "html", "com"})
