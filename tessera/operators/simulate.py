@@ -87,25 +87,19 @@ def trade_page(df: DataFrame, sort: str = "exit_date", order: str = "desc", page
     return ordered.offset((min(max(1, page), last) - 1) * size).limit(size)
 
 
-def slots(signals: DataFrame, hold: int, weight: Column | None = None) -> DataFrame:
+def slots(signals: DataFrame, rows: DataFrame, hold: int, *more: str) -> DataFrame:
     """Days and returns of each position: the j-th row after the signal counts for the j-th day after it.
 
-    ``signals`` carries ``path``, the open-to-open returns of the rows from the signal on, cut where the entity ends.
+    Only rows in reach of a signal are kept: ``signals`` (code, row, day and ``more``) are joined to ``rows`` (code, row, oret_sig).
     """
-    cell = F.posexplode(F.slice("path", 1, hold)).alias("j", "ret")
-    return signals.select((F.col("day")).alias("_d"), (F.lit(1.0) if weight is None else weight).alias("w"), cell).select((F.col("_d") + F.col("j")).alias("day"), "w", "ret").where("ret IS NOT NULL")
+    steps = signals.select("code", "row", "day", *more, F.explode(F.sequence(F.lit(0), F.lit(hold - 1))).alias("_j"))
+    steps = steps.select("code", (F.col("row") + F.col("_j")).alias("row"), (F.col("day") + F.col("_j")).alias("day"), *more)
+    return steps.join(rows.where("oret_sig IS NOT NULL").select("code", "row", F.col("oret_sig").alias("ret")), ["code", "row"]).select("day", "ret", *more)
 
 
-def with_path(df: DataFrame, hold: int) -> DataFrame:
-    """``path``: open-to-open returns of this row and the next ones, null where one is missing."""
-    step = F.struct((lead("open", 2) / lead("open") - 1).alias("x"))
-    out = df.withColumn("_step", step)
-    return out.withColumn("path", F.transform(F.collect_list("_step").over(entity().rowsBetween(0, hold - 1)), lambda s: s["x"])).drop("_step")
-
-
-def portfolio(signals: DataFrame, days: DataFrame, hold: int, cost: float = COST) -> DataFrame:
-    """Net daily return and value of overlapping tranches, all positions of a day alike; idle days earn nothing."""
-    daily = slots(signals, hold).groupBy("day").agg(F.avg("ret").alias("gross"), F.count("*").alias("n"))
+def portfolio(rows: DataFrame, days: DataFrame, hold: int, cost: float = COST) -> DataFrame:
+    """Net daily return and value of overlapping tranches of the rows with a signal, all positions of a day alike; idle days earn nothing."""
+    daily = slots(rows.where("signal"), rows, hold).groupBy("day").agg(F.avg("ret").alias("gross"), F.count("*").alias("n"))
     return _value(days.select("day", "date").join(daily, "day", "left").withColumn("ret", F.coalesce(F.col("gross") - cost / hold, F.lit(0.0))))
 
 
@@ -148,9 +142,16 @@ def segments(daily: DataFrame, cuts: dict[str, tuple[int, int]]) -> DataFrame:
 # ---- stops ------------------------------------------------------------------------------------------------------------
 
 
-def with_bars(df: DataFrame, hold: int, columns: tuple[str, ...] = ("open", "high", "low", "close")) -> DataFrame:
-    """``bars``: prices (or other columns) of the rows after this one, as far as a position of ``hold`` rows needs them."""
-    return df.withColumn("bars", F.collect_list(F.struct(*columns)).over(entity().rowsBetween(1, hold + 2)))
+def with_bars(df: DataFrame, hold: int, columns: tuple[str, ...] = ("open", "high", "low", "close"), which: str = "true") -> DataFrame:
+    """Of the rows ``which``, with ``bars``: prices (or other columns) of the rows after each, as far as a position of ``hold`` rows needs them; null without any.
+
+    Only those rows are joined to the ones that follow them, by code and row.
+    """
+    own = df.where(which)
+    steps = own.select("code", "row", F.explode(F.sequence(F.lit(1), F.lit(hold + 2))).alias("_j")).withColumn("_at", F.col("row") + F.col("_j"))
+    cells = steps.join(df.select("code", F.col("row").alias("_at"), *columns), ["code", "_at"])
+    bars = cells.groupBy("code", "row").agg(F.array_sort(F.collect_list(F.struct("_j", F.struct(*columns).alias("bar")))).alias("_b"))
+    return own.join(bars, ["code", "row"], "left").withColumn("bars", F.transform("_b", lambda x: x["bar"])).drop("_b")
 
 
 def stop_return(hold: int, stop: float, trigger: str = "close") -> Column:
@@ -175,10 +176,15 @@ def stop_return(hold: int, stop: float, trigger: str = "close") -> Column:
 
 
 def _leaving(hold: int, leaves: Callable[[Column, Column], Column]) -> Column:
-    """The first bar that ``leaves`` (bar, best close so far) holds for, from 1; 0 if there is none."""
-    entry, path = F.col("bars")[0]["open"], F.slice("bars", 1, hold)
-    tops = F.transform(F.sequence(F.lit(1), F.lit(hold)), lambda k: F.greatest(entry, F.array_max(F.transform(F.slice(path, 1, k), lambda b: b["close"]))))
-    return F.array_position(F.zip_with(path, tops, lambda b, t: F.coalesce(leaves(b, t), F.lit(False))), True)
+    """The first bar that ``leaves`` (bar, best close so far) holds for, from 1; 0 if there is none. One pass carries the best close."""
+    first = F.struct(F.col("bars")[0]["open"].alias("top"), F.lit(0).alias("hit"), F.lit(1).alias("k"))
+
+    def step(seen: Column, bar: Column) -> Column:
+        top = F.greatest(seen["top"], bar["close"])
+        out = (seen["hit"] == 0) & F.coalesce(leaves(bar, top), F.lit(False))
+        return F.struct(top.alias("top"), F.when(out, seen["k"]).otherwise(seen["hit"]).alias("hit"), (seen["k"] + 1).alias("k"))
+
+    return F.aggregate(F.slice("bars", 1, hold), first, step, lambda seen: seen["hit"])
 
 
 def exit_return(hold: int, leaves: Callable[[Column, Column], Column]) -> Column:

@@ -186,7 +186,7 @@ def _days(spark, sf):
 
 
 def _portfolio(spark, sf):
-    return D.portfolio(D.with_path(prepared(spark, sf), HOLD).where("signal"), _days(spark, sf), HOLD)
+    return D.portfolio(prepared(spark, sf), _days(spark, sf), HOLD)
 
 
 @query("portfolio_nav", S.with_(PORT, "SELECT day, date, n, round(ret, 6) AS ret, round(nav, 6) AS nav FROM nv"))
@@ -237,7 +237,7 @@ def _stop_sql(kind: str) -> str:
 
 
 def _stops(spark, sf, kind):
-    df = D.with_bars(prepared(spark, sf), HOLD).where("signal")
+    df = D.with_bars(prepared(spark, sf), HOLD, which="signal")
     grid = F.array(*(F.struct(F.lit(s).alias("stop"), D.stop_return(HOLD, s, kind).alias("r")) for s in (0.02, 0.05, 0.1)))
     out = df.select(F.explode(grid).alias("g")).select("g.*").groupBy("stop").agg(F.count("r").alias("n"), F.avg("r").alias("mean"), F.avg((F.col("r") > 0).cast("double")).alias("win"))
     return out.select("stop", "n", *r6("mean", "win"))
@@ -382,19 +382,15 @@ def compounding_bias(spark, sf):
     SELECT count(*) AS n, round(avg(r), 6) AS mean, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END), 6) AS win FROM o"""))
 def exit_rules(spark, sf):
     """A trailing stop: 4 % below the best close since the entry, sold at the next open."""
-    df = D.with_bars(prepared(spark, sf), HOLD).where("signal").where(F.size("bars") > HOLD)
-    entry = F.col("bars")[0]["open"]
-    path = F.slice("bars", 1, HOLD)
-    tops = F.transform(F.sequence(F.lit(1), F.lit(HOLD)), lambda k: F.greatest(entry, F.array_max(F.transform(F.slice(path, 1, k), lambda b: b["close"]))))
-    hit = F.array_position(F.zip_with(path, tops, lambda b, t: b["close"] <= t * 0.96 * (1 + 1e-9)), True)
-    r = F.get("bars", F.when(hit > 0, hit).otherwise(HOLD).cast("int"))["open"] / entry - 1
+    df = D.with_bars(prepared(spark, sf), HOLD, which="signal").where(F.size("bars") > HOLD)
+    r = D.exit_return(HOLD, lambda bar, top: bar["close"] <= top * 0.96 * (1 + 1e-9))
     return df.select(r.alias("r")).agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.avg((F.col("r") > 0).cast("double")).alias("win")).select("n", *r6("mean", "win"))
 
 
 @query("drawdown_depth", S.with_(ROWS, f""", e AS (SELECT tr.code, tr.date, tr.row, tr.buy_px, tr.net FROM tr), d AS (SELECT e.code, e.date, e.net, min(y.low) / any_value(e.buy_px) - 1 AS depth FROM e JOIN rws y ON y.code = e.code AND y.row BETWEEN e.row + 1 AND e.row + {HOLD} GROUP BY ALL)
     SELECT least(floor(round(-depth, 9) / 0.02), 7)::INTEGER AS bucket, count(*) AS n, round(avg(net), 6) AS mean, round(median(net), 6) AS med FROM d GROUP BY 1 HAVING count(*) >= 20"""))
 def drawdown_depth(spark, sf):
-    df = D.with_bars(prepared(spark, sf), HOLD).where("signal AND r IS NOT NULL")
+    df = D.with_bars(prepared(spark, sf), HOLD, which="signal AND r IS NOT NULL")
     depth = F.array_min(F.transform(F.slice("bars", 1, HOLD), lambda b: b["low"])) / F.col("buy_px") - 1
     bucket = F.least(F.floor(F.round(-depth, 9) / 0.02), F.lit(7)).cast("int")
     out = df.select(bucket.alias("bucket"), (F.col("r") - X.COST).alias("net")).groupBy("bucket").agg(F.count("*").alias("n"), F.avg("net").alias("mean"), F.percentile("net", 0.5).alias("med"))

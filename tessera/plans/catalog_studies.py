@@ -260,10 +260,11 @@ CASES = ROWS + f""", kinds AS (SELECT unnest(['any', 'bear', 'bull']) AS kind),
 
 def _cases(spark, sf) -> DataFrame:
     """Daily return and value of the flagship in any, a falling and a rising market: (kind, day, date, ret, idle, nav)."""
-    df = D.with_path(prepared(spark, sf), HOLD).where("d_px_ma60_pct BETWEEN 1 AND 3 AND size_grp BETWEEN 0 AND 2")
+    rows = prepared(spark, sf)
+    df = rows.where("d_px_ma60_pct BETWEEN 1 AND 3 AND size_grp BETWEEN 0 AND 2")
     tests = [(F.lit(True), {"kind": F.lit("any")}), (~F.col("bull"), {"kind": F.lit("bear")}), (F.col("bull"), {"kind": F.lit("bull")})]
-    cells = df.select("day", "path", _chosen(tests)).select("day", "g.kind", F.posexplode("path").alias("j", "ret")).where("ret IS NOT NULL")
-    daily = cells.groupBy("kind", (F.col("day") + F.col("j")).alias("day")).agg(F.avg("ret").alias("gross"))
+    chosen = df.select("code", "row", "day", _chosen(tests)).select("code", "row", "day", "g.kind")
+    daily = D.slots(chosen, rows, HOLD, "kind").groupBy("kind", "day").agg(F.avg("ret").alias("gross"))
     grid = _days(spark, sf).select("day", "date", F.explode(F.array(*map(F.lit, ("any", "bear", "bull")))).alias("kind"))
     out = grid.join(daily, ["kind", "day"], "left").select("kind", "day", "date", F.coalesce(F.col("gross") - X.COST / HOLD, F.lit(0.0)).alias("ret"), F.col("gross").isNull().alias("idle"))
     return out.withColumn("nav", F.product(1 + F.col("ret")).over(Window.partitionBy("kind").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))

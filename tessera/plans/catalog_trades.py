@@ -83,8 +83,8 @@ _ATR = f"greatest(high - low, abs(high - {S.lag('close')}), abs(low - {S.lag('cl
 def exit_indicators(spark, sf):
     """Stops at two and three true ranges and at 15 %, a trailing stop of 12 %, and the death cross; sold at the next open."""
     crossed = I.macd_events(rounded_macd(spark, sf)).select("code", "date", F.col("death_cross").alias("dead"))
-    df = I.ranges(prepared(spark, sf).drop("hv20")).select("code", "date", "open", "high", "low", "close", "atr14", "signal").join(crossed, ["code", "date"])
-    df = D.with_bars(df, HOLD, ("open", "close", "dead")).where("signal").where(F.size("bars") > HOLD)
+    df = I.ranges(prepared(spark, sf).drop("hv20")).select("code", "date", "row", "open", "high", "low", "close", "atr14", "signal").join(crossed, ["code", "date"])
+    df = D.with_bars(df, HOLD, ("open", "close", "dead"), "signal").where(F.size("bars") > HOLD)
     entry = F.col("bars")[0]["open"]
     rules = {
         "atr2": lambda b, top: b["close"] <= entry - 2 * F.col("atr14"), "atr3": lambda b, top: b["close"] <= entry - 3 * F.col("atr14"),

@@ -204,7 +204,7 @@ def test_annual_stats(spark):
 
 def test_stops(spark):
     px = [10.0, 10.0, 9.0, 8.0, 12.0, 13.0, 14.0, 15.0]
-    df = spark.createDataFrame([(1, d, x, x + 0.1, x - 0.1, x) for d, x in zip(days(8), px)], "code int, date date, open double, high double, low double, close double")
+    df = spark.createDataFrame([(1, i, d, x, x + 0.1, x - 0.1, x) for i, (d, x) in enumerate(zip(days(8), px))], "code int, row int, date date, open double, high double, low double, close double")
     got = D.with_bars(df, 3).select("date", D.stop_return(3, 0.1, "close").alias("c"), D.stop_return(3, 0.1, "intraday").alias("i")).orderBy("date").collect()
     assert abs(got[0].c - (8 / 10 - 1)) < 1e-9  # close of row 2 is at the line, sold at the open of row 3
     assert abs(got[0].i + 0.1) < 1e-9  # the open of row 2 is at the line
