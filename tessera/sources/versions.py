@@ -68,11 +68,15 @@ def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     return f"{got.n}:{got.size}:{got['sum']}"
 
 
-def reused(spark: SparkSession, paths: list[str], label: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """``build``'s rows, written once to the folder that all executors share and read from there until a source file changes."""
-    root, mark = f"{shared_dir(spark)}/reused/{label}", fingerprint(spark, paths)
+def reused(spark: SparkSession, paths: list[str], label: str, build: Callable[[], DataFrame], scope: str | None = None) -> DataFrame:
+    """``build``'s rows, written once to the folder that all executors share and read from there until a source file changes.
+
+    The files say nothing of the code that made the stage, so it is shared within a session only; ``scope``, such as the
+    name of a release, shares it between sessions that use the same one. No stage is removed while it may be read.
+    """
+    root, mark = f"{shared_dir(spark)}/reused/{scope or spark.sparkContext.applicationId}/{label}", fingerprint(spark, paths)
     found = current(spark, root, mark)
     if found is None:
-        publish(build(), root, mark, keep=4)
+        publish(build(), root, mark, keep=0)
         found = current(spark, root, mark)
     return found
