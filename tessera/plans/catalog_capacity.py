@@ -177,7 +177,7 @@ def _controls(rows: DataFrame, draws: int) -> DataFrame:
     rl(scenario, places, new, steps) AS (SELECT DISTINCT scenario, 10, 2, NULL::INTEGER[] FROM cd)""" + PLANNED + EARNED + """, al AS (SELECT scenario, round(cagr, 12) AS cagr FROM an WHERE basis = 'capital'), ow AS (SELECT cagr AS own FROM al WHERE scenario = 'deep')
     SELECT count(*) AS n, round(avg(cagr), 6) AS mean, round(stddev_samp(cagr), 6) AS sd, round(quantile_cont(cagr, 0.05), 6) AS p05, round(quantile_cont(cagr, 0.95), 6) AS p95, round(min(cagr), 6) AS low, round(max(cagr), 6) AS high, round(avg(CASE WHEN cagr < own THEN 1.0 ELSE 0.0 END), 6) AS beaten, round(max(own), 6) AS own, round((max(own) - avg(cagr)) / nullif(stddev_samp(cagr), 0), 5) AS z FROM al CROSS JOIN ow WHERE scenario <> 'deep'"""))
 def random_control(spark, sf):
-    """The plan among as many random ones as the reference draws."""
+    """The plan among DRAWS random ones."""
     rows = _rows(spark, sf)
     daily = K.daily_returns(K.plan(_controls(rows, DRAWS), HOLD, TEN), rows, _days(spark, sf), HOLD)
     stats = D.annual_stats(K.with_value(daily.withColumn("ret", F.col("capital")), "ret"), ["scenario"])
