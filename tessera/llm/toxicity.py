@@ -7,12 +7,16 @@ word is described by its kernel values for the landmarks, taken through the inve
 matrix, and a linear support vector machine (squared hinge loss) over these is fitted on labelled sentences: every
 word of a clean sentence is clean, and a toxic sentence has a witness, at first the word that sets toxic documents
 apart, then the word that the model finds worst. Sentences of toxic documents without a witness stay out of the fit.
+Altered spellings of the witnesses (a letter or two put in, one doubled, one left out) are toxic examples too, unless
+a clean document holds them.
 
 A word of more than LONGEST letters is as bad as the worst of what lies between its joints and of its overlapping
 stretches. Letters of all scripts count; a script without spaces is read in such stretches too.
 
-A sentence is as bad as its worst word. A text scores by its worst sentence and by how much badness its sentences
-hold together, calibrated to a probability on whole documents.
+A sentence is as bad as its worst word. What a sentence tells is the logarithm of how much oftener so bad a sentence
+stands in toxic documents than in clean ones, by a rising step function of the margin that is never below 0. A text's
+score is a rising function of the sum over its sentences, calibrated to a probability on whole documents, so that no
+sentence makes a text less toxic.
 
 Fitting takes a bounded sample of labelled rows (``most``); scoring is one narrow pass over whole texts. A worker
 remembers the words it has compared, within a bound. A null or empty text has no sentences and scores as one without
@@ -38,8 +42,8 @@ from pyspark.sql import functions as F
 from .common import bounded
 from .training import fold, labelled_sample, logistic, squared_hinge
 
-DECAY, SPAN, LONGEST = 0.6, 6, 32
-MARKED, PLAIN = 96, 16  # landmarks of either kind
+DECAY, SPAN, LONGEST = 0.8, 7, 32  # gaps cost little, so that a letter put in leaves a word closer than any chance word
+MARKED, PLAIN = 96, 48  # landmarks of either kind
 EDGE = 2.0
 ACCENTED = "éèêëäâàáöôóòüûúùßçñíîïì"  # letters of their own; others with marks count as their base
 POINT = 21  # bits of a code point
@@ -47,7 +51,8 @@ SHORT = (8, 16)  # a word over LONGEST letters is also read in stretches as shor
 CLOSE = 0.4  # kernel values below this count as none
 POWER = 4  # a power of a kernel is a kernel, and a sharper one
 CHANCE = 26.0  # a marker's gain in log likelihood; no chance word of a vocabulary of a million comes near
-CLEAN = 40.0  # weight of all clean words together; that of the witnesses is 2
+CLEAN = 200.0  # weight of all clean words together; that of the witnesses is 2
+OTHER = 0.03  # weight of altered spellings beside the sentences of toxic documents
 ALIKE = 0.9  # a marker this close to one already chosen is no landmark of its own
 KNOWN = 400_000  # words of one generation; a worker remembers two
 #: Letters that stand for others.
@@ -226,11 +231,39 @@ class Reader:
                 yield found
 
 
-def summary(sentences: list[float], bias: float) -> tuple[float, float]:
-    """The worst sentence, and the badness of all together."""
-    if not sentences:
-        return bias, 0.0
-    return max(bias, *sentences), float(np.log1p(sum(m for m in sentences if m > 0)))
+class Evidence:
+    """What margins tell: a rising step function, summed over a text's sentences."""
+
+    def __init__(self, cut: np.ndarray, gain: np.ndarray) -> None:
+        self.cut, self.gain = cut, gain
+
+    def __call__(self, sentences: list[float]) -> float:
+        """0 where no sentence is as bad as the least step."""
+        at = np.searchsorted(self.cut, np.array(sentences, float), side="right")
+        return float(np.append(0.0, self.gain)[at].sum())
+
+    @classmethod
+    def of(cls, sentences: list[list[float]], y: np.ndarray, other: list[float] = ()) -> Evidence:
+        """By isotonic regression: the log of a margin's share among toxic documents' sentences over that among clean ones', where it is above 0.
+
+        ``other``: margins of toxic sentences that do not occur in the sample, which together weigh OTHER of those that do.
+        """
+        margin = np.array([m for s in sentences for m in s] + list(other))
+        label = np.array([c for s, c in zip(sentences, y, strict=True) for _ in s] + [1] * len(other), bool)
+        seen = len(margin) - len(other)
+        n1, n0 = max(1, int(label[:seen].sum())), max(1, int((~label).sum()))
+        values, place = np.unique(margin, return_inverse=True)
+        mass = np.append(np.ones(seen), np.full(len(other), OTHER * n1 / max(1, len(other))))
+        bad, good = np.bincount(place, mass * label, len(values)) / n1, np.bincount(place, mass * ~label, len(values)) / n0
+        blocks: list[list[float]] = []
+        for least, b, g in zip(values.tolist(), bad.tolist(), good.tolist(), strict=True):
+            blocks.append([b, g, least])
+            while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+                b, g, _ = blocks.pop()
+                blocks[-1][0] += b
+                blocks[-1][1] += g
+        gain = np.array([np.log((b + 0.5 / n1) / (g + 0.5 / n0)) for b, g, _ in blocks])
+        return cls(np.array([least for *_, least in blocks]), np.maximum(np.maximum.accumulate(gain), 0.0) if blocks else gain)
 
 
 def _markers(bags: list[set[str]], y: np.ndarray) -> list[str]:
@@ -250,23 +283,43 @@ def _markers(bags: list[set[str]], y: np.ndarray) -> list[str]:
 
 
 def _apart(words: list[str], most: int) -> list[str]:
-    """The first words none of which is much like another."""
-    words = words[: 8 * most]
-    taken: list[int] = []
-    if words:
-        alike = Landmarks(words).kernel(words) > ALIKE**POWER
-        for i in range(len(words)):
-            if len(taken) < most and not alike[i, taken].any():
-                taken.append(i)
-    return [words[i] for i in taken]
-
-
-def fit(texts: list[bytes], y: np.ndarray, totals: dict[int, int]) -> tuple[list[str], np.ndarray, float, np.ndarray]:
-    """Landmarks, weights by landmark, bias, and the calibration of a text's summary."""
+    """The first words none of which is much like another, looked for in the whole list."""
+    taken: list[str] = []
+    for begin in range(0, len(words), 8 * most):
+        part = words[begin : begin + 8 * most]
+        if taken:
+            part = [w for w, near in zip(part, (Landmarks(taken).kernel(part) > ALIKE**POWER).any(axis=1), strict=True) if not near]
+        alike = Landmarks(part).kernel(part) > ALIKE**POWER
+        own: list[int] = []
+        for i in range(len(part)):
+            if len(taken) + len(own) < most and not alike[i, own].any():
+                own.append(i)
+        taken += [part[i] for i in own]
+        if len(taken) == most:
+            break
+    return taken
+
+
+def altered(word: str, alphabet: str) -> list[str]:
+    """Spellings with a letter doubled, one or two put in, or one left out, at every place of the word; which letters go in follows the place."""
+    n, out = len(word), set()
+    pick = lambda k: alphabet[k % len(alphabet)]
+    for i in range(1, n + 1):
+        one, two = pick(7 * i + n), pick(11 * i + 5)
+        wide, j = word[:i] + one + word[i:], (i + 2) % n or 1
+        out |= {wide, word[:i] + word[i - 1] + word[i:], word[:i] + one + two + word[i:], wide[:j] + two + wide[j:]}
+        if n > 4 and i < n:
+            out.add(word[:i] + word[i + 1 :])
+    return sorted(w for w in out - {word} if len(w) <= LONGEST)
+
+
+def fit(texts: list[bytes], y: np.ndarray, totals: dict[int, int]) -> tuple[list[str], np.ndarray, float, Evidence, np.ndarray]:
+    """Landmarks, weights by landmark, bias, what margins tell, and the calibration of a text's evidence: slope (never below 0) and constant."""
     prior = totals.get(1, 0) / max(1, sum(totals.values()))
-    flat = np.array([0.0, 0.0, np.log(prior / (1 - prior)) if 0 < prior < 1 else 0.0])
+    none = Evidence(np.zeros(0), np.zeros(0))
+    flat = np.array([0.0, np.log(prior / (1 - prior)) if 0 < prior < 1 else 0.0])
     if len(set(y)) < 2:
-        return [], np.zeros(0), 0.0, flat * 0
+        return [], np.zeros(0), 0.0, none, flat * 0
     spelt: dict[bytes, tuple[str, ...]] = {}
     bags: list[set[str]] = []
     for t in texts:
@@ -275,12 +328,14 @@ def fit(texts: list[bytes], y: np.ndarray, totals: dict[int, int]) -> tuple[list
         bags.append({s for w in words for s in spelt[w] if len(s) >= 2})
     found = _markers(bags, y)
     if not found:
-        return [], np.zeros(0), 0.0, flat
+        return [], np.zeros(0), 0.0, none, flat
     marked = _apart(found, MARKED)
     in_clean = Counter(w for bag, label in zip(bags, y, strict=True) if not label for w in bag)
-    plain = [w for w, _ in sorted(in_clean.items(), key=lambda x: (-x[1], x[0])) if len(w) >= 4 and w not in marked][:PLAIN]
-    marks = Landmarks(marked + plain)
     vocabulary = sorted(set(in_clean) | set(found) | {w for bag in bags for w in bag})
+    surest = set(found)
+    nearest = Landmarks(marked).kernel(vocabulary).max(axis=1)
+    usual = sorted((-in_clean[w] * float(k) ** 0.5, w) for w, k in zip(vocabulary, nearest, strict=True) if k and in_clean[w] and w not in surest)
+    marks = Landmarks(marked + [w for _, w in usual[:PLAIN]])
     values = marks.kernel(vocabulary)
     some = np.flatnonzero(values.any(axis=1))
     at, values = {vocabulary[i]: k for k, i in enumerate(some)}, values[some].astype(float)
@@ -293,22 +348,32 @@ def fit(texts: list[bytes], y: np.ndarray, totals: dict[int, int]) -> tuple[list
     first = Counter(min(ks, key=lambda k: rank.get(k, len(found))) for ks in toxic if any(k in rank for k in ks))
     other = [ks for ks in toxic if ks and not any(k in rank for k in ks)]
     witness = first
+    alphabet = "".join(sorted(set("".join(found))))
+    spelling = {w: [v for v in altered(w, alphabet) if v not in in_clean] for w in found if w in at and first[at[w]]}
+    more = [v for vs in spelling.values() for v in vs]
+    z_more = np.hstack([marks.kernel(more).astype(float) @ root, np.ones((len(more), 1))])
+    mass_more = np.array([first[at[w]] ** 0.5 / len(vs) for w, vs in spelling.items() for _ in vs])
     for _ in range(2):
         bad = np.zeros(len(z))
         for k, n in witness.items():
             bad[k] = n**0.5
         use = np.concatenate([np.flatnonzero(clean), np.flatnonzero(bad)])
-        signs = np.concatenate([-np.ones(int((clean > 0).sum())), np.ones(int((bad > 0).sum()))])
-        mass = np.concatenate([np.sqrt(clean[clean > 0]), bad[bad > 0]])
-        mass *= len(signs) * np.where(signs > 0, 2 / mass[signs > 0].sum(), CLEAN / mass[signs < 0].sum())
-        w = squared_hinge(z[use], signs, mass)
+        signs = np.concatenate([-np.ones(int((clean > 0).sum())), np.ones(int((bad > 0).sum()) + len(more))])
+        mass = np.concatenate([np.sqrt(clean[clean > 0]), bad[bad > 0], mass_more])
+        mass *= len(signs) * np.where(signs > 0, 2 / mass[signs > 0].sum(), CLEAN / max(mass[signs < 0].sum(), 1e-9))
+        w = squared_hinge(np.vstack([z[use], z_more]), signs, mass)
         margin = z @ w
         witness = first + Counter(k for ks in other if margin[k := max(ks, key=lambda j: margin[j])] > 0)
     weight, bias = root @ w[:-1], float(w[-1])
     reader = Reader(marks, weight, bias)
-    x = np.array([summary(s, bias) for s in reader.sentences(texts)])
-    importance = np.where(y == 1, totals[1] / (y == 1).sum(), totals[0] / (y == 0).sum())
-    return marks.words, weight, bias, logistic(x, y, importance / importance.mean())
+    sentences = list(reader.sentences(texts))
+    evidence = Evidence.of(sentences, y, [m for m in reader.margins(more) if m is not None])
+    cut = [[max(s)] if s else s for s, label in zip(sentences, y, strict=True) if label]  # to its worst sentence, a toxic document is toxic still
+    x = np.array([[evidence(s)] for s in [*sentences, *cut]])
+    importance = np.where(y == 1, totals[1] / (2 * len(cut)), totals[0] / (y == 0).sum())
+    importance = np.append(importance, importance[y == 1])
+    slope, constant = logistic(x, np.append(y, np.ones(len(cut))), importance / importance.mean())
+    return marks.words, weight, bias, evidence, np.array([slope, constant]) if slope > 0 else flat
 
 
 def _worker_reader(words: list[str], weight: np.ndarray, bias: float) -> Reader:
@@ -322,13 +387,12 @@ def _worker_reader(words: list[str], weight: np.ndarray, bias: float) -> Reader:
 
 def _scores(model) -> Callable:  # noqa: ANN001 (a broadcast)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, weight, bias, c = model.value
+        words, weight, bias, evidence, c = model.value
         reader = _worker_reader(words, weight, bias) if words else None
         for b in batches:
             texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
-            found = reader.sentences(texts) if reader else ([] for _ in texts)
-            x = np.array([summary(s, bias) for s in found]).reshape(-1, 2)
-            score = 1 / (1 + np.exp(-np.clip(x @ c[:2] + c[2], -30, 30)))
+            x = np.array([evidence(s) for s in reader.sentences(texts)] if reader else [0.0] * len(texts))
+            score = 1 / (1 + np.exp(-np.clip(c[0] * x + c[1], -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], names=["id", "score"])
 
     return run

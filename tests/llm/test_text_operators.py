@@ -367,7 +367,7 @@ def test_words_of_any_length_and_script():
     clean = ["".join(rng.choice(parts) for _ in range(rng.randint(2, 3))) for parts in (["ta", "lo", "mi", "ren", "sel"], ["та", "ло", "ми", "рен", "сел"]) for _ in range(150)]
     bad = ["грубиян", "vexwort", "zankbub"]
     texts = [" ".join([*rng.sample(clean, 30), *([bad[i % 3]] if i % 2 else [])]).encode() for i in range(400)]
-    words, weight, bias, _ = X.fit(texts, np.array([i % 2 for i in range(400)]), {0: 200, 1: 200})
+    words, weight, bias, *_ = X.fit(texts, np.array([i % 2 for i in range(400)]), {0: 200, 1: 200})
     reader = X.Reader(X.Landmarks(words), weight, bias)
     long = "talomirenseltalorenmi" * 8
     cases = ["грубиян", f"{long}_vexwort", f"{long}vexwort{long}", f"{long}\u200bvexwort", f"{'/'.join([long] * 3)}-zankbub.{long}", " ".join(long[:40]) + " " + " ".join("vexwort")]
@@ -378,6 +378,37 @@ def test_words_of_any_length_and_script():
     assert letters("ПРИВЕТ".encode()) == "привет" and letters("λόγος".encode()) == "λογος" and letters("क्या".encode()) and letters("你好吗".encode()) == "你好吗"
 
 
+def test_one_insult_or_its_altered_spelling_is_enough():
+    rng = random.Random(8)
+    clean = ["".join(rng.choice(["ta", "lo", "mi", "ren", "sel", "grum", "ort"]) for _ in range(rng.randint(1, 3))) for _ in range(400)]
+    bad = ["grumpfog", "vexwort", "zankbub", "quisling"]
+    texts = [". ".join(" ".join([*rng.sample(clean, 8), *([rng.choice(bad)] if i % 4 == 0 and k < 2 else [])]) for k in range(6)).encode() for i in range(600)]
+    y = np.array([int(i % 4 == 0) for i in range(600)])
+    words, weight, bias, evidence, (slope, constant) = X.fit(texts, y, {0: 450, 1: 150})
+    reader = X.Reader(X.Landmarks(words), weight, bias)
+    toxic = lambda t: slope * evidence(next(reader.sentences([t]))) + constant >= 0
+    fresh = [" ".join(rng.sample(clean, 40)).encode() for _ in range(100)]
+    assert slope > 0 and sum(map(toxic, fresh)) <= 1 and all(toxic(fresh[0] + b" " + w.encode()) for w in bad)
+    wide = [w[:i] + c + w[i:] for w in bad for i in range(1, len(w)) for c in "xq*"]
+    assert np.mean([toxic(fresh[1] + b" " + w.encode()) for w in wide]) >= 0.9
+    # a sentence more never makes a text less toxic
+    assert (np.diff(evidence.gain) >= 0).all() and (evidence.gain >= 0).all()
+    for t in [*texts[:40], *fresh[:20]]:
+        assert evidence(next(reader.sentences([t + b". " + wide[0].encode() + b"."]))) >= evidence(next(reader.sentences([t])))
+
+
+def test_steps_of_evidence_and_spellings():
+    got = X.Evidence.of([[0.1, 0.9], [0.1, 0.1, 0.5], [0.9]], np.array([1, 0, 1]))
+    brute = [np.log((b + 0.5 / 3) / (g + 0.5 / 3)) for b, g in ((1 / 3, 1.0), (2 / 3, 0.0))]  # 0.1 and 0.5 pool, 0.9 stands alone
+    assert got.cut.tolist() == [0.1, 0.9] and np.allclose(got.gain, np.maximum(brute, 0))
+    assert got([]) == 0 and got([-1.0]) == 0 and np.isclose(got([0.9, 0.9, 0.2]), 2 * brute[1])
+    assert X.Evidence.of([[], []], np.array([0, 1]))([3.0]) == 0
+    out = set(X.altered("idiot", "xyz"))
+    assert {"idiiot", "idot", "idiott"} <= out and "idiot" not in out and len({len(w) for w in out}) == 4 - 1
+    words = [f"{'ab' if i % 2 else 'kl'}{chr(0x4E00 + i)}{chr(0x5E00 + i)}{chr(0x6E00 + i)}" for i in range(40)]
+    assert X._apart([*["grumpfog"] * 30, *words], 5) == ["grumpfog", *words[:4]]  # looks past the first 8 * most
+
+
 def test_string_kernel_equals_its_definition():
     def kernel(s, t):
         def features(w):
