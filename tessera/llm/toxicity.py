@@ -142,29 +142,24 @@ class Landmarks:
         self.words = words
         who, code, weight = triples(words)
         norm = np.sqrt(np.bincount(who, weight**2, len(words)))
-        self.codes, row = np.unique(code, return_inverse=True)
-        self.table = np.zeros((len(self.codes) + 1, len(words)), np.float32)  # the last row: any other triple
-        self.table[row, who] = weight / np.where(norm > 0, norm, 1)[who]
-        self.most = self.table.max(axis=1, initial=0.0)
+        order = np.lexsort((who, code))
+        who, code, weight = who[order], code[order], (weight / np.where(norm > 0, norm, 1)[who])[order]
+        self.codes, self.begin, self.count = np.unique(code, return_index=True, return_counts=True)
+        self.mark, self.weight = who, weight  # by code, one entry a landmark that holds it
 
     def kernel(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.words)), np.float32)
-        for begin in range(0, len(words), 2000):
+        for begin in range(0, len(words) if len(self.codes) else 0, 2000):
             part = words[begin : begin + 2000]
             who, code, weight = triples(part)
-            if not len(who):
-                continue
             norm = np.sqrt(np.bincount(who, weight**2, len(part)))
-            row = np.searchsorted(self.codes, code)
-            code = np.where(np.append(self.codes, -1)[row] == code, row, len(self.codes))
-            may = np.bincount(who, weight * self.most[code], len(part)) >= CLOSE * norm  # no value can pass this sum
-            some = may[who]
-            who, code, weight = who[some], code[some], weight[some]
-            if not len(who):
-                continue
-            values = self.table[code] * (weight / norm[who]).astype(np.float32)[:, None]
-            first = np.flatnonzero(np.diff(who, prepend=-1))
-            out[begin + who[first]] = np.add.reduceat(values, first, axis=0)
+            row = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            known = self.codes[row] == code  # triples that no landmark has add nothing
+            who, row, weight = who[known], row[known], weight[known]
+            times = self.count[row]
+            entry = np.repeat(self.begin[row] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            value = np.repeat(weight / norm[who], times) * self.weight[entry]
+            out[begin : begin + len(part)] = np.bincount(np.repeat(who, times) * len(self.words) + self.mark[entry], value, out[begin : begin + len(part)].size).reshape(len(part), -1)
         out[out < CLOSE] = 0
         return out**POWER
 
