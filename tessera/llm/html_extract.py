@@ -3,9 +3,17 @@
 A page is cut into blocks of text. Blocks and the elements above them are the nodes of a graph. A linear classifier gives
 each block a cost for either label, by its length, its links and how it begins; an element has one by what its tag,
 role or class tells, for each block that it holds. These costs are the capacities to the two terminals. Edges join blocks
-with the element that they stand in, elements with their parents, and neighbouring blocks, the weaker the further apart
-they are in the document tree. The maximum flow separates content from boilerplate at the least total cost: a mark
-reaches the blocks below it through edges only, so what a block looks like and what stands around it can outweigh it.
+with the element that they stand in, elements with their parents (the stronger the more blocks they hold), and
+neighbouring blocks, the weaker the further apart they are in the document tree. Where no mark lies above, an edge is
+also the weaker the more a block differs from the others of its element. The maximum flow separates content from
+boilerplate at the least total cost: a mark reaches the blocks below it through edges only, so what a block looks like
+and what stands around it can outweigh it.
+
+A class or identifier is judged name by name. Its last telling word decides: ``related-posts`` lies apart,
+``social-studies-lesson`` holds a doubtful word only. Doubtful names, and names that another name of the element
+contradicts, cost little, so that long text overrules them. Where articles hold half of a page's letters or more, what
+lies outside of them, but for a first heading, is hardly content. Length counts words; two characters of a script that is
+written without spaces are one word.
 
 Scripts, styles, titles and text fields are left out up to their closing tag or the end of the page; drawings, formulas,
 buttons, lists of choices, embedded and unscripted parts up to their own closing tag, and where that is missing only the
@@ -47,48 +55,76 @@ CONTENT_TAGS = frozenset({"article", "main"})
 APART_ROLES = frozenset({"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"})
 APART_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus feedback footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup privacy promo promotion recommended related replies reply share sharing sidebar sidebars signin signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split())
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
+#: Those of APART_WORDS that no other name of the element takes back.
+SURE_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising comment comments cookie cookies disqus nav navbar navigation newsletter promo promotion sponsor sponsored subscribe".split())
+#: Words that say nothing of what a name stands for.
+PLAIN_WORDS = frozenset("area articles bar block bottom box button cell col column container elem element fixed form group holder icon inner item items left link links list lg md module news outer page panel posts products right row section site sm stories sub the this title top topics unit wide wrap wrapper xl xs".split())
 #: Words before one of APART_WORDS that take its meaning away.
 NO_MARK = frozenset("has have no not with without hide hides after before under over".split())
 #: Classifier: weights of what is known of a block; above 0 speaks for content.
-LENGTH, LINKS, NOTICE, BIAS = 2.0, -3.0, -4.0, -0.4
+LENGTH, LINKS, NOTICE, BIAS, OUTSIDE = 2.0, -3.0, -4.0, -0.4, -3.0
 #: Weights of an element's marks, for each block in it.
-APART, INSIDE, NAMED = -6.0, 3.0, 1.0
-#: Smoothness: along the document tree, and between neighbouring blocks.
-TREE, NEXT = 3.0, 1.0
+APART, DOUBT, INSIDE, NAMED = -6.0, -0.8, 3.0, 1.0
+#: Smoothness: along the document tree, for an element and for each block in it, between neighbouring blocks, and the
+#: difference of evidence that weakens an edge without a mark above by the factor e.
+TREE, TREE_EACH, NEXT, CONTRAST = 2.0, 1.0, 1.0, 1.5
+#: Scripts written without spaces: Thai to Burmese, Khmer, kana and Han.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 NOTICE_START = re.compile(r"(?:©|\(c\)\s|copyright\b)", re.I)
 
 
 class Block:
-    __slots__ = ("linked", "path", "text")
+    __slots__ = ("heading", "inside", "linked", "path", "text")
 
-    def __init__(self, path: tuple[int, ...]) -> None:
+    def __init__(self, path: tuple[int, ...], inside: bool, heading: bool) -> None:
         self.path = path  # the elements around it, by their number on the page, 0 first
+        self.inside, self.heading = inside, heading
         self.text: list[str] = []
         self.linked = 0
 
 
-def _hints(tag: str, attributes: str, within: bool) -> tuple[bool, bool, bool]:
-    """Is an element apart from the content, does it hold the content, is it named as if it did?"""
-    apart, named = tag in APART_TAGS or (tag == "header" and not within), False
+def _named(value: str, within: bool) -> tuple[float, bool]:
+    """The weight of a class or identifier that speaks of parts apart, and whether it speaks of content."""
+    weight, sure, content, pure = 0.0, False, False, False
+    for name in value.split():
+        found = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        words = [w for before, w in zip(["", *found], found) if before not in NO_MARK]
+        good = sum(w in CONTENT_WORDS for w in words)
+        bad = [w for w in words if w in APART_WORDS and not (within and w in ("header", "tags"))]
+        content |= good > 0
+        pure |= good > 0 and not bad
+        if not bad:
+            continue
+        telling = [w for w in words if w not in PLAIN_WORDS and w not in CONTENT_WORDS]
+        clear = telling[-1] in bad and len(bad) >= good
+        sure |= clear and telling[-1] in SURE_WORDS
+        weight = min(weight, APART if clear else DOUBT)
+    return (max(weight, DOUBT) if pure and not sure else weight), content
+
+
+def _hints(tag: str, attributes: str, within: bool) -> tuple[float, bool, bool]:
+    """How much speaks for an element lying apart (at most 0), does it hold the content, is it named as if it did?"""
+    apart, named = APART * (tag in APART_TAGS or (tag == "header" and not within)), False
     if attributes and not attributes.isspace():
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), next((x for x in m.groups()[1:] if x), "")
+            hidden = False
             if key in ("class", "id"):
-                found = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-                words = {w for before, w in zip(["", *found], found) if before not in NO_MARK}
-                named |= bool(words & CONTENT_WORDS)
-                bad = words & APART_WORDS
-                if bad and not (bad <= {"header", "tags"} and within) and tag not in ("html", "body"):
-                    apart = True
+                weight, content = _named(value, within)
+                named |= content
+                if tag not in ("html", "body"):
+                    apart = min(apart, weight)
             elif key == "role":
-                apart |= value.lower() in APART_ROLES
+                hidden = value.lower() in APART_ROLES
             elif key == "hidden" and not m[0].lower().startswith("aria"):
-                apart = True
+                hidden = True
             elif key == "aria-hidden":
-                apart |= value.lower() == "true"
+                hidden = value.lower() == "true"
             elif key == "style":
-                apart |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-    return apart, tag in CONTENT_TAGS, named and not apart
+                hidden = bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+            if hidden:
+                apart = APART
+    return apart, tag in CONTENT_TAGS, named and apart > APART
 
 
 def tags(html: str) -> list[tuple[int, int, str, bool, str]]:
@@ -138,7 +174,7 @@ def blocks(html: str) -> tuple[list[Block], dict[int, float]]:
         if open_ is None:
             if raw.isspace():
                 return
-            open_ = Block(tuple(f[3] for f in stack))
+            open_ = Block(tuple(f[3] for f in stack), stack[-1][2], any(f[0] == "h1" for f in stack))
             out.append(open_)
         open_.text.append(raw)
         if links:
@@ -166,11 +202,12 @@ def blocks(html: str) -> tuple[list[Block], dict[int, float]]:
                     _, apart, inside, _ = stack[-1]
                     a, i, n = _hints(tag, attributes, inside)
                     serial += 1
-                    if a:
-                        marks[serial] = APART
-                    elif not apart and (i or n):  # what lies apart holds no content, whatever it is called
-                        marks[serial] = INSIDE * i + NAMED * n
-                    stack.append((tag, apart or a, (inside or i) and not a, serial))
+                    clear = a <= APART
+                    if clear:
+                        marks[serial] = a
+                    elif a or (not apart and (i or n)):  # what lies apart holds no content, whatever it is called
+                        marks[serial] = a + (INSIDE * i + NAMED * n) * (not apart)
+                    stack.append((tag, apart or clear, (inside or i) and not (apart or clear), serial))
         elif tag == "img" and open_ is not None:
             open_.text.append(" ")
     text(html[at:])
@@ -179,7 +216,8 @@ def blocks(html: str) -> tuple[list[Block], dict[int, float]]:
 
 def evidence(text: str, linked: int) -> float:
     """How much more it costs to call a block boilerplate than to call it content."""
-    return BIAS + LENGTH * math.tanh((text.count(" ") + 1) / 12) + LINKS * min(1.0, linked / max(1, len(text))) + NOTICE * bool(NOTICE_START.match(text))
+    words = text.count(" ") + 1 + len(UNSPACED.findall(text)) / 2
+    return BIAS + LENGTH * math.tanh(words / 12) + LINKS * min(1.0, linked / max(1, len(text))) + NOTICE * bool(NOTICE_START.match(text))
 
 
 def min_cut(content: list[float], boilerplate: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -268,25 +306,42 @@ def page_graph(paths: list[tuple[int, ...]], own: list[float], marks: dict[int,
             inner = -1 - e
     node: dict[int, int] = {}
     weight, edges = list(own), []
+    mean = {e: 0.0 for e in below}
+    told = [o + sum(marks.get(e, 0.0) for e in path) for o, path in zip(own, paths)]
+    for i, path in enumerate(paths):
+        for e in path:
+            mean[e] += told[i] / held[e]
     for e in below:
         if e in marks or len(below[e]) > 1:
             node[e] = len(weight)
             weight.append(marks.get(e, 0.0) * held[e])
     seen: set[int] = set()
+    free: list[bool] = []  # blocks without a mark above
     for i, path in enumerate(paths):
-        at = i
+        at, n, like = i, 1, own[i]
+        marked = sum(e in marks for e in path)
+        free.append(not marked)
         for e in reversed(path):
             if e in node:
-                edges.append((at, node[e], TREE))
-                at = node[e]
+                edges.append((at, node[e], (TREE + TREE_EACH * n) * (1.0 if marked else math.exp(-abs(like - mean[e]) / CONTRAST))))
+                at, n, like = node[e], held[e], mean[e]
                 if at in seen:
                     break
                 seen.add(at)
+            marked -= e in marks
         if i:
-            edges.append((i - 1, i, NEXT / (1 + _apart_by(paths[i - 1], path) / 2)))
+            alike = math.exp(-abs(own[i] - own[i - 1]) / CONTRAST) if free[i] and free[i - 1] else 1.0
+            edges.append((i - 1, i, alike * NEXT / (1 + _apart_by(paths[i - 1], path) / 2)))
     return weight, edges
 
 
+def page_costs(found: list[tuple[Block, str]]) -> list[float]:
+    """Evidence of each block, with what its place beside articles tells."""
+    inside = sum(len(text) for b, text in found if b.inside)
+    beside = 2 * inside >= sum(len(text) for _, text in found) and inside > 0
+    return [evidence(text, b.linked) + OUTSIDE * (beside and not b.inside and not b.heading) for b, text in found]
+
+
 def main_text(html: str) -> str:
     cut, marks = blocks(html)
     found: list[tuple[Block, str]] = []
@@ -294,7 +349,7 @@ def main_text(html: str) -> str:
         text = " ".join(unescape("".join(b.text)).split())
         if text:
             found.append((b, text))
-    weight, edges = page_graph([b.path for b, _ in found], [evidence(text, b.linked) for b, text in found], marks)
+    weight, edges = page_graph([b.path for b, _ in found], page_costs(found), marks)
     keep = min_cut([max(0.0, e) for e in weight], [max(0.0, -e) for e in weight], edges)
     return "\n".join(text for (_, text), k in zip(found, keep) if k)
 

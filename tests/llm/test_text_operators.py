@@ -301,6 +301,29 @@ def test_the_cut_decides():
     assert main_text(f"<article><p>{LONG}</p><section class=comments><article><p>{LONG} I say.</p></article><article><p>{LONG} So do I.</p></article></section></article>") == LONG
 
 
+HAN = "这是一篇没有任何标记的文章,它的段落足够长,应当被视为正文内容而保留下来,不应当被丢弃。"
+
+
+def test_context_overrules_words_and_scripts():
+    p = f"<p>{LONG}</p>"
+    # doubtful names, and names that another name contradicts
+    for name in ("social-studies-lesson", "widget-area article", "post-footer-wrapper-content", "entry alert-news"):
+        assert main_text(f"<div class='{name}'>{p * 3}</div>") == f"{LONG}\n{LONG}\n{LONG}", name
+        assert main_text(f"<article>{p}</article><div class='{name}'><a href=/>Link</a> <a href=/b>Link</a></div>") == LONG, name
+    # clear names, at any place in the page
+    for name in ("ad", "post sponsored", "related-posts", "comment-content", "postFooter", "cookie-banner"):
+        assert main_text(f"<div>{p}</div><div class='{name}'>{p}</div><div>{p}</div>") == f"{LONG}\n{LONG}", name
+    # no mark at all
+    assert main_text(f"<body>{p}<div>&copy; 2024 Company</div><div><a href=/>Home</a></div><div><a href=/a>About us</a></div></body>") == LONG
+    assert main_text(f"<body><p>{HAN}</p><div>{HAN}</div></body>") == f"{HAN}\n{HAN}" and main_text(f"<div>{HAN}</div>") == HAN
+    # short cells stay with their article; an unmarked notice beside it goes, a first heading stays
+    cells = "".join(f"<tr><td>Row {i}</td><td>{i}</td></tr>" for i in range(20))
+    rows = "\n".join(f"Row {i}\n{i}" for i in range(20))
+    assert main_text(f"<article><h1>Table of things</h1><table>{cells}</table></article>") == f"Table of things\n{rows}"
+    assert main_text(f"<article>{p}<table>{cells}</table>{p}</article>") == f"{LONG}\n{rows}\n{LONG}"
+    assert main_text(f"<h1>A title</h1><article>{p}{p}</article><div>Buy this now for a very low price.</div>") == f"A title\n{LONG}\n{LONG}"
+
+
 def test_cut_of_whole_pages_is_minimal():
     rng = random.Random(3)
     moved = 0
