@@ -14,6 +14,8 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     Each round hangs every node on its smallest smaller neighbour, moves the edges to where their ends now hang, and
     drops those that closed; a few rounds empty the table. Tables are written between rounds. A node with very many
     neighbours is a hot key only of joins between two shuffled tables, which Spark splits.
+    Repeated edges count once; a node that only has an edge to itself, and an edge with a null end, is left out; no edges
+    give no rows. Other columns do not matter.
     """
     ends = edges.select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).where("hi <> lo").distinct()
     left = staged(ends, f"{label}-edges")

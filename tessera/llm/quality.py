@@ -147,7 +147,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", f
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held_out: int = 1, most: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that score below 0.5, all columns as they were."""
+    """``docs`` without the rows that score below 0.5, all columns as they were.
+
+    A row that scores 0.5 exactly stays, so without labels of both classes all do. Repeated rows and rows without
+    identifier are judged one by one; an empty table gives an empty one. Other columns of ``labels`` are not looked at.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label, folds, held_out, most, id_col, text_col))
     rows = bounded(docs).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
     scored = rows.mapInArrow(tidy(_scores(model)), rows.select("row").schema.add("score", "double")).where("score >= 0.5")
