@@ -33,6 +33,12 @@ def ratio(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(col(a).cast("double"), col(b).cast("double"))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Of the rows that have both; null where one of them does not vary (``corr`` divides by zero there)."""
+    spread = F.stddev_pop(F.when(F.col(b).isNotNull(), F.col(a))) * F.stddev_pop(F.when(F.col(a).isNotNull(), F.col(b)))
+    return ratio(F.covar_pop(a, b), spread)
+
+
 def rint2(c: Column | str) -> Column:
     """To two decimals, halves to even on the scaled value."""
     return F.rint(col(c) * 100) / 100

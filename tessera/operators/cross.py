@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import period, bins, change, rank_pct, ratio, rolling, rolling_median
+from ..functions.columns import bins, change, correlation, period, rank_pct, ratio, rolling, rolling_median
 
 COST = 0.003  # of a round trip
 YEAR = 252  # periods
@@ -91,7 +91,7 @@ def ranked_pairs(df: DataFrame, factors: list[str], target: str, by: str, more:
 
 def daily_ic(df: DataFrame, factors: list[str], target: str, least: int = 30) -> DataFrame:
     """By factor and day, the rank correlation with the target among rows that have both."""
-    return ranked_pairs(df, factors, target, "day").groupBy("factor", "day").agg(F.corr("rx", "ry").alias("ic"), F.count("*").alias("n")).where(F.col("n") >= least)
+    return ranked_pairs(df, factors, target, "day").groupBy("factor", "day").agg(correlation("rx", "ry").alias("ic"), F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def ic_summary(ic: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def fama_macbeth(df: DataFrame, factors: list[str], target: str, least: int = 30
     pairs = [(i, j) for i in range(k) for j in range(i)]
     some = df.select("day", F.col(target).alias("_y"), *factors).dropna()
     days = some.groupBy("day").agg(
-        F.count("*").alias("rows"), F.array(*(F.corr(factors[i], factors[j]) for i, j in pairs)).alias("r"), F.array(*(F.corr(f, "_y") * F.stddev_samp("_y") for f in factors)).alias("c"), F.least(*(F.stddev_samp(f) for f in factors), F.lit(1.0)).alias("sd"),
+        F.count("*").alias("rows"), F.array(*(correlation(factors[i], factors[j]) for i, j in pairs)).alias("r"), F.array(*(correlation(f, "_y") * F.stddev_samp("_y") for f in factors)).alias("c"), F.least(*(F.stddev_samp(f) for f in factors), F.lit(1.0)).alias("sd"),
     )
     days = days.where((F.col("rows") >= least) & (F.col("sd") > 0)).select("r", "c")
 

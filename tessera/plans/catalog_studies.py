@@ -7,17 +7,17 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import bins, rank_pct, ratio
+from ..functions.columns import bins, correlation, rank_pct, ratio
 from ..operators import cross as X
 from ..operators import indicators as I
 from ..operators import simulate as D
 from ..sources.panel import table
 from . import query as Q
 from . import sql as S
-from .catalog_cross import CHAIN, FEATURES, MKT, STATES, deciled, r6, states
+from .catalog_cross import CHAIN, FEATURES, GRP, MKT, STATES, deciled, r6, states
 from .catalog_data import FIN, published
 from .catalog_strategy import HOLD, ROWS, _days, prepared
-from .catalog_windows import base
+from .catalog_windows import base, ud_sql
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -109,7 +109,7 @@ def index_alignment(spark, sf):
     step = lambda c: F.log(c) - F.lag(F.log(c)).over(w)
     both = both.withColumns({"a": step("nav"), "b": step("close")})
     ends = lambda c: F.max_by(c, "date") / F.min_by(c, "date") - 1
-    out = both.agg(F.count("*").alias("n"), F.corr("a", "b").alias("co"), ends("nav").alias("own"), ends("close").alias("other"), F.max_by(F.col("close") > F.col("ma60"), "date").alias("bull")).where("n >= 120")
+    out = both.agg(F.count("*").alias("n"), correlation("a", "b").alias("co"), ends("nav").alias("own"), ends("close").alias("other"), F.max_by(F.col("close") > F.col("ma60"), "date").alias("bull")).where("n >= 120")
     gap = (F.log1p("own") - F.log1p("other")) / F.col("n") * X.YEAR
     return out.select("n", *r6("own", "other", corr=F.when(F.col("n") > 31, F.col("co")), gap=gap), "bull")
 
@@ -232,27 +232,65 @@ def tune_axes(spark, sf):
 FACTORS = ("ret5", "ret10", "ret20", "ret40", "ret60", "px_ma20_pct", "px_ma60_pct", "px_ma120_pct", "hv20", "rvol20", "vt_5_20", "turnover", "amt20_lag")
 
 
-@query("factor_regimes", S.with_(ROWS, ", lg AS (" + " UNION ALL ".join(f"SELECT '{f}' AS factor, day, code, bull, round({f} + {S.NUDGE}, 7) AS x, round(oret_sig + {S.NUDGE}, 7) AS y FROM rws" for f in FACTORS) + f"""),
+def _regime_sql(source: str, factors: tuple[str, ...]) -> str:
+    return ", lg AS (" + " UNION ALL ".join(f"SELECT '{f}' AS factor, day, code, bull, round({f} + {S.NUDGE}, 7) AS x, round(oret_sig + {S.NUDGE}, 7) AS y FROM {source}" for f in factors) + f"""),
     k1 AS (SELECT *, count(*) OVER (PARTITION BY factor, day) AS n, row_number() OVER (PARTITION BY factor, day ORDER BY x, code) AS rk, {S.rank_pct('x', 'factor, day')} AS rx, {S.rank_pct('y', 'factor, day')} AS ry FROM lg WHERE x IS NOT NULL AND y IS NOT NULL AND bull IS NOT NULL),
     k2 AS (SELECT *, least(4, floor((rk - 1) * 5.0 / n))::INTEGER AS q FROM k1 WHERE n >= 30), dq AS (SELECT factor, bull, day, corr(rx, ry) AS ic FROM k2 GROUP BY ALL), ic AS (SELECT factor, bull, count(*) AS days, avg(ic) AS ic, avg(ic) * sqrt(count(*)) / nullif(stddev_samp(ic), 0) AS t FROM dq WHERE ic IS NOT NULL AND NOT isnan(ic) GROUP BY ALL),
     qs AS (SELECT factor, bull, {', '.join(f'avg(y) FILTER (q = {i}) AS q{i + 1}' for i in range(5))}, count(*) AS n FROM k2 GROUP BY ALL)
-    SELECT factor, bull, n, days, {', '.join(f'round(q{i}, 6) AS q{i}' for i in range(1, 6))}, round(q5 - q1, 6) AS spread, round(ic, 6) AS ic, round(t, 5) AS t FROM qs JOIN ic USING (factor, bull)"""))
-def factor_regimes(spark, sf):
-    """By factor and market: mean return of five first-come groups a day, and the rank correlation over days of 30 rows."""
+    SELECT factor, bull, n, days, {', '.join(f'round(q{i}, 6) AS q{i}' for i in range(1, 6))}, round(q5 - q1, 6) AS spread, round(ic, 6) AS ic, round(t, 5) AS t FROM qs JOIN ic USING (factor, bull)"""
+
+
+def _regimes(rows: DataFrame, factors: tuple[str, ...]) -> DataFrame:
     seven = lambda c: F.round(F.col(c).cast("double") + S.NUDGE, 7)  # noqa: E731  (ranks do not hang on a last bit)
-    long = prepared(spark, sf).select("day", "code", "bull", seven("oret_sig").alias("y"), _structs([{"factor": F.lit(f), "x": seven(f)} for f in FACTORS])).select("day", "code", "bull", "y", "g.*")
+    long = rows.select("day", "code", "bull", seven("oret_sig").alias("y"), _structs([{"factor": F.lit(f), "x": seven(f)} for f in factors])).select("day", "code", "bull", "y", "g.*")
     long = long.where("x IS NOT NULL AND y IS NOT NULL AND bull IS NOT NULL")
     day = Window.partitionBy("factor", "day")
     long = long.withColumns({"n": F.count("*").over(day), "rk": F.row_number().over(day.orderBy("x", "code")), "rx": rank_pct("x", ["factor", "day"]), "ry": rank_pct("y", ["factor", "day"])}).where("n >= 30")
     long = long.withColumn("q", F.least(F.lit(4), F.floor((F.col("rk") - 1) * 5.0 / F.col("n"))).cast("int"))
     part = lambda i: F.when(F.col("q") == i, F.col("y"))
-    days = long.groupBy("factor", "bull", "day").agg(F.corr("rx", "ry").alias("ic"), F.count("*").alias("k"), *(F.sum(part(i)).alias(f"s{i}") for i in range(5)), *(F.count(part(i)).alias(f"c{i}") for i in range(5)))
+    days = long.groupBy("factor", "bull", "day").agg(correlation("rx", "ry").alias("ic"), F.count("*").alias("k"), *(F.sum(part(i)).alias(f"s{i}") for i in range(5)), *(F.count(part(i)).alias(f"c{i}") for i in range(5)))
     ic = F.when(~F.isnan("ic"), F.col("ic"))
     out = days.groupBy("factor", "bull").agg(F.sum("k").alias("n"), F.count(ic).alias("days"), F.avg(ic).alias("ic"), F.stddev_samp(ic).alias("sd"), *((F.sum(f"s{i}") / F.sum(f"c{i}")).alias(f"q{i + 1}") for i in range(5))).where("days > 0")
     t = ratio(F.col("ic") * F.sqrt(F.col("days").cast("double")), "sd")
     return out.select("factor", "bull", "n", "days", *r6(*(f"q{i}" for i in range(1, 6)), "ic", spread=F.col("q5") - F.col("q1")), F.round(t, 5).alias("t"))
 
 
+@query("factor_regimes", S.with_(ROWS, _regime_sql("rws", FACTORS)))
+def factor_regimes(spark, sf):
+    """By factor and market: mean return of five first-come groups a day, and the rank correlation over days of 30 rows."""
+    return _regimes(prepared(spark, sf), FACTORS)
+
+
+#: Factors of an entity's group, its strength, its volume, its oscillator and its range.
+WIDER = ("ind_ret20", "ind_ret60", "rs_mkt20", "rs_mkt60", "rs_ind20", "vr20", "volz20", "ud_vol20", "hist", "atr_pct")
+WIDER_SQL = ROWS + GRP + MKT + f""", mn AS (SELECT date, day, product(1 + coalesce(mkt_ret, 0)) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) AS nav FROM mkt), mr AS (SELECT date, nav / lag(nav, 20) OVER (ORDER BY day) - 1 AS mkt_ret20, nav / lag(nav, 60) OVER (ORDER BY day) - 1 AS mkt_ret60 FROM mn),
+    e1 AS ({S.ewm('rws', 'close', 12, 'f')}), e2 AS ({S.ewm('rws', 'close', 26, 's')}), df AS MATERIALIZED (SELECT code, date, f - s AS dif FROM e1 JOIN e2 USING (code, date)), e3 AS ({S.ewm('df', 'dif', 9, 'dea')}),
+    vo AS (SELECT code, date, close, {S.ratio('volume', S.mean('volume', 20, past=True))} AS vr20, (volume - {S.mean('volume', 20, past=True)}) / nullif({S.rolling('stddev_samp(volume)', 'volume', 20, past=True)}, 0) AS volz20, {ud_sql(20)},
+        CASE WHEN {S.lag('close')} IS NOT NULL THEN greatest(high - low, abs(high - {S.lag('close')}), abs(low - {S.lag('close')})) END AS range FROM rws),
+    tw AS (SELECT *, {S.mean('range', 14)} / close AS atr_pct FROM vo),
+    wd AS MATERIALIZED (SELECT r.day, r.code, r.bull, r.oret_sig, ind_ret20, ind_ret60, ret20 - mkt_ret20 AS rs_mkt20, ret60 - mkt_ret60 AS rs_mkt60, ret20 - ind_ret20 AS rs_ind20, vr20, volz20, ud_vol20, 2 * (dif - dea) AS hist, atr_pct
+        FROM rws r JOIN tw USING (code, date) JOIN df USING (code, date) JOIN e3 USING (code, date) LEFT JOIN grp ON grp.date = r.date AND grp.ind_code = r.ind_code LEFT JOIN mr ON mr.date = r.date)"""
+
+
+def wider_factors(spark, sf) -> DataFrame:
+    """The rows with WIDER: what runs along time shares one shuffle by entity, groups and the market join behind it."""
+    rows = prepared(spark, sf).select("code", "date", "day", "ind_code", "high", "low", "close", "volume", "ret", "ret20", "ret60", "bull", "oret_sig")
+    along = I.macd(I.ranges(I.up_down_volume(I.volume_trend(I.relative_volume(rows)))))
+    kept = along.select("code", "date", "day", "ind_code", "ret20", "ret60", "bull", "oret_sig", "vr20", "volz20", "ud_vol20", "hist", "atr_pct")
+    groups = X.group_returns(base(spark, sf), ["ind_code"], (20, 60), "ind").select("date", "ind_code", "ind_ret20", "ind_ret60")
+    w = Window.orderBy("day")  # a row per period
+    nav = X.market_returns(base(spark, sf)).withColumn("nav", F.product(1 + F.coalesce("mkt_ret", F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    nav = nav.select("date", *((F.col("nav") / F.lag("nav", k).over(w) - 1).alias(f"mkt_ret{k}") for k in (20, 60)))
+    out = kept.join(groups, ["date", "ind_code"], "left").join(F.broadcast(nav), "date", "left")
+    return out.withColumns({f"rs_mkt{k}": F.col(f"ret{k}") - F.col(f"mkt_ret{k}") for k in (20, 60)} | {"rs_ind20": F.col("ret20") - F.col("ind_ret20")})
+
+
+@query("factor_regimes_wider", S.with_(WIDER_SQL, _regime_sql("wd", WIDER)))
+def factor_regimes_wider(spark, sf):
+    """The same study over strength, groups, volume, oscillator and range, which the prepared rows do not hold."""
+    return _regimes(wider_factors(spark, sf), WIDER)
+
+
 CASES = ROWS + f""", kinds AS (SELECT unnest(['any', 'bear', 'bull']) AS kind), cs0 AS (SELECT kind, code, row, day FROM rws JOIN kinds ON kind = 'any' OR bull = (kind = 'bull') WHERE d_px_ma60_pct BETWEEN 1 AND 3 AND size_grp BETWEEN 0 AND 2),
     csl AS (SELECT kind, c.day + j AS day, x.oret_sig AS ret FROM cs0 c JOIN range(0, {HOLD}) t(j) ON true JOIN rws x ON x.code = c.code AND x.row = c.row + j WHERE x.oret_sig IS NOT NULL), cdl AS (SELECT kind, day, avg(ret) AS gross FROM csl GROUP BY ALL),
     cpf AS (SELECT kind, cal.day, cal.date, coalesce(gross - 0.003 / {HOLD}, 0) AS ret, gross IS NULL AS idle FROM cal CROSS JOIN kinds LEFT JOIN cdl USING (kind, day)), cnv AS MATERIALIZED (SELECT *, product(1 + ret) OVER (PARTITION BY kind ORDER BY day ROWS UNBOUNDED PRECEDING) AS nav FROM cpf)"""

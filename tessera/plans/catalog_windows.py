@@ -164,14 +164,14 @@ def volume_trend(spark, sf):
 UD = [f"{k}{n}" for n in (5, 10, 20) for k in ("upvol_r", "dnvol_r", "ud_vol")]
 
 
-def _ud(n: int) -> str:
+def ud_sql(n: int) -> str:
     f, full = S.frame(n), f"count(ret) OVER {S.frame(n)} = {n}"
     up, dn = (f"sum(CASE WHEN ret {o} 0 THEN volume ELSE 0 END) OVER {f}" for o in "><")
     nu, nd = (f"sum(CASE WHEN ret {o} 0 THEN 1 ELSE 0 END) OVER {f}" for o in "><")
     return f"CASE WHEN {full} THEN {S.ratio(up, f'sum(volume) OVER {f}')} END AS upvol_r{n}, CASE WHEN {full} THEN {S.ratio(dn, f'sum(volume) OVER {f}')} END AS dnvol_r{n}, CASE WHEN {full} THEN ({S.ratio(up, nu)}) / nullif({S.ratio(dn, nd)}, 0) END AS ud_vol{n}"
 
 
-@query("updown_volume", S.with_(B, f", u AS (SELECT code, date, {', '.join(map(_ud, (5, 10, 20)))} FROM base) SELECT code, date, {S.rounded(UD)} FROM u"))
+@query("updown_volume", S.with_(B, f", u AS (SELECT code, date, {', '.join(map(ud_sql, (5, 10, 20)))} FROM base) SELECT code, date, {S.rounded(UD)} FROM u"))
 def updown_volume(spark, sf):
     return out(I.up_down_volume(base(spark, sf)), **same(UD))
 

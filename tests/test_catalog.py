@@ -7,7 +7,7 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-NAMES = ["panel_adapter", "macd_events", "price_location", "limit_regime", "market_states", "decile_bins", "asof_financials", "adjusted_prices", "trade_stats", "portfolio_nav", "stop_loss_close", "union_dedupe_latest", "event_sessions", "stream_tumbling", "scan_latest", "trade_hist", "confirm_grid", "signal_mask_confirmed", "signal_momentum", "signal_financial", "signal_quarter", "signal_without_risks", "signal_deep", "pick_rules", "trades_filtered", "exit_indicators", "event_catalogue", "ledger_totals", "positions_marked", "strength_deciles", "report_days", "index_alignment", "market_alert", "score_threshold", "sensitivity", "neighbourhood", "tune_axes", "case_runner", "null_fills", "ordered_unique", "capacity_plan", "ladder_plan", "capacity_nav", "capacity_occupancy", "capacity_result", "capacity_segments", "tune_capacity", "trades_page", "scan_market", "stock_signals", "trades_with_open", "ledger_lots", "filter_reference", "rule_verdicts", "random_benchmark", "eight_strategies", "cost_reconciliation", "depth_tails", "depth_holding_curve", "confirm_nine", "strength_splits", "layered_entries", "alternative_definitions", "stop_trades", "stop_portfolio", "recompute_changed", "recompute_touched", "published_versions", "reused_stage", "mixed_series", "industry_tree", "pool_free_text"]
+NAMES = ["panel_adapter", "macd_events", "price_location", "limit_regime", "market_states", "decile_bins", "asof_financials", "adjusted_prices", "trade_stats", "portfolio_nav", "stop_loss_close", "union_dedupe_latest", "event_sessions", "stream_tumbling", "scan_latest", "trade_hist", "confirm_grid", "signal_mask_confirmed", "signal_momentum", "signal_financial", "signal_quarter", "signal_without_risks", "signal_deep", "pick_rules", "trades_filtered", "exit_indicators", "event_catalogue", "ledger_totals", "positions_marked", "strength_deciles", "report_days", "index_alignment", "market_alert", "score_threshold", "sensitivity", "neighbourhood", "tune_axes", "factor_regimes", "factor_regimes_wider", "case_runner", "null_fills", "ordered_unique", "capacity_plan", "ladder_plan", "capacity_nav", "capacity_occupancy", "capacity_result", "capacity_segments", "tune_capacity", "trades_page", "scan_market", "stock_signals", "trades_with_open", "ledger_lots", "filter_reference", "rule_verdicts", "random_benchmark", "eight_strategies", "cost_reconciliation", "depth_tails", "depth_holding_curve", "confirm_nine", "strength_splits", "layered_entries", "alternative_definitions", "stop_trades", "stop_portfolio", "recompute_changed", "recompute_touched", "published_versions", "reused_stage", "mixed_series", "industry_tree", "pool_free_text"]
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")

@@ -221,3 +221,16 @@ def test_trade_page_filters_orders_and_clamps(spark):
     assert sorted(codes(D.filtered_trades(df, win=True))) == [4, 5, 6] and sorted(codes(D.filtered_trades(df, win=False, year=2020))) == [0, 2]
     assert sorted(codes(D.filtered_trades(df, least=-0.1, most=0.1))) == [2, 3, 4] and codes(D.filtered_trades(df, code=5)) == [5]
     assert codes(D.trade_page(df.where("code > 99"))) == []
+
+
+def test_correlations_of_what_does_not_vary(spark):
+    """A day on which a factor or the target stands still has no coefficient, and stops nothing."""
+    rng = np.random.default_rng(4)
+    rows = [(d, c, float(rng.normal()), 1.0 if d == 1 else float(rng.normal()), 2.0 if d == 2 else float(rng.normal())) for d in range(4) for c in range(40)]
+    df = spark.createDataFrame(rows, "day long, code long, a double, b double, y double")
+    ic = {(r.factor, r.day): r.ic for r in X.daily_ic(df, ["a", "b"], "y").collect()}
+    assert {k for k, v in ic.items() if v is None} == {("b", 1), ("a", 2), ("b", 2)} and len(ic) == 8
+    assert {r.factor: r.days for r in X.fama_macbeth(df, ["a", "b"], "y").collect()} == {"a": 3, "b": 3}
+    x, y = ([r[i] for r in rows] for i in (2, 4))
+    gap = df.unionByName(df.limit(3).withColumn("y", F.lit(None).cast("double")))
+    assert abs(gap.agg(C.correlation("a", "y").alias("r")).first().r - np.corrcoef(x, y)[0, 1]) < 1e-12
