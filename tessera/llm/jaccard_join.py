@@ -12,7 +12,8 @@ Jaccard similarity of at least NUMERATOR / DENOMINATOR. The join is exact and ne
 4. Within a block, signature trees are searched: nodes hold token bitmaps combined by OR and ranges of sizes, and a pair of
    nodes is followed only if the largest overlap that these allow reaches the least overlap that a link needs. Pairs
    that are connected already are skipped. What remains is compared in full. A large block is cut into leaves;
-   neighbouring leaves are searched first, then those pairs of leaves that are not connected yet.
+   neighbouring leaves are searched first, then those pairs of leaves that are not connected yet. For these, leaves
+   travel in strips of neighbours, and a pair of strips is one search: a set is sent once for each strip of its block.
 5. Links give components, and these go back to the documents.
 
 Hot tokens never gather rows: a token is one entry per document in a packed array, and prefixes take the rarest first.
@@ -41,6 +42,7 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 3, 4
 CHUNK_TOKENS, CHUNK_DOCS = 500_000, 20_000
 LEAF = 48  # sets of a leaf of a large block
+STRIP_TOKENS = 500_000  # tokens of a strip of leaves, about: a search of two strips holds so many of each
 NODE = 8  # sets of the lowest nodes of a tree
 RANGE_TOKENS = 2_000_000  # tokens of a range of hashes, about: what a task holds does not grow with the input
 BROADCAST_ROWS = 1_000_000  # identifiers sent to all executors at most (16 MB); beyond, they are joined by shuffle
@@ -242,10 +244,10 @@ def least_overlap(a: int, b: int) -> int:
 
 
 class SignatureTree:
-    """Sets under a binary tree of nodes with OR-combined bitmaps and size ranges."""
+    """Sets under binary trees, one for each side, of nodes with OR-combined bitmaps and size ranges."""
 
-    def __init__(self, sets: list[np.ndarray], bits: int) -> None:
-        self.order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0])))
+    def __init__(self, sets: list[np.ndarray], bits: int, sides: list[int]) -> None:
+        order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0])))
         self.maps = np.zeros((len(sets), bits // 64), np.uint64)
         for i, s in enumerate(sets):
             at = (s & np.uint64(bits - 1)).astype(np.int64)
@@ -255,10 +257,13 @@ class SignatureTree:
         self.size = np.array([len(s) for s in sets])
         self.extra = self.size - np.bitwise_count(self.maps).sum(axis=1).astype(np.int64)  # tokens that fell on a taken bit
         self.nodes: list[tuple] = []  # bitmap, least and largest size, most extra, children or members
-        level = [self._node(self.order[k : k + NODE]) for k in range(0, len(sets), NODE)]
+        self.tops = [self._tree([i for i in order if sides[i] == side]) for side in sorted(set(sides))]
+
+    def _tree(self, members: list[int]) -> int:
+        level = [self._node(members[k : k + NODE]) for k in range(0, len(members), NODE)]
         while len(level) > 1:
             level = [self._over(level[k : k + 2]) for k in range(0, len(level), 2)]
-        self.top = level[0]
+        return level[0]
 
     def _node(self, members: list[int]) -> int:
         self.nodes.append((np.bitwise_or.reduce(self.maps[members]), self.size[members].min(), self.size[members].max(), self.extra[members].max(), None, members))
@@ -279,15 +284,15 @@ class SignatureTree:
         return most >= least_overlap(int(x[1]), int(y[1]))
 
 
-def search(sets: list[np.ndarray], forest: Forest) -> list[tuple[int, int]]:
-    """Links that connect, by dual traversal, all sets that links connect and ``forest`` does not yet."""
+def search(sets: list[np.ndarray], forest: Forest, sides: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect, by dual traversal, all sets that links connect and ``forest`` does not yet. With two ``sides``, only links between them are looked for."""
     if len(sets) < 2:
         return []
     bits = 256
     while bits < 4 * np.median([len(s) for s in sets]) and bits < 1 << 15:
         bits *= 2
-    tree = SignatureTree(sets, bits)
-    links, todo = [], [(tree.top, tree.top)]
+    tree = SignatureTree(sets, bits, sides or [0] * len(sets))
+    links, todo = [], [(tree.tops[0], tree.tops[-1])]
     while todo:
         a, b = todo.pop()
         x, y = tree.nodes[a], tree.nodes[b]
@@ -320,29 +325,29 @@ def search(sets: list[np.ndarray], forest: Forest) -> list[tuple[int, int]]:
 
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by tile: links (u, v) between the classes of each tile. ``label``: rows with equal ones are connected already."""
+    """Rows sorted by tile: links (u, v) between the classes of each tile, or of its two sides. ``label``: rows with equal ones are connected already."""
     tile, rows = None, []
 
     def found() -> pa.RecordBatch:
         forest, seen = Forest(len(rows)), {}
-        for i, (_, label, _) in enumerate(rows):
+        for i, (_, label, _, _) in enumerate(rows):
             forest.join(seen.setdefault(label, i), i)
-        links = search([np.frombuffer(s, np.uint64) for _, _, s in rows], forest)
+        links = search([np.frombuffer(s, np.uint64) for _, _, s, _ in rows], forest, [side for _, _, _, side in rows])
         return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i, _ in links], pa.int64()), pa.array([rows[j][0] for _, j in links], pa.int64())], names=["u", "v"])
 
     for b in batches:
-        for t, node, label, data in zip(b.column("tile").to_pylist(), b.column("node").to_pylist(), b.column("label").to_pylist(), b.column("set").to_pylist(), strict=True):
+        for t, *row in zip(*(b.column(c).to_pylist() for c in ("tile", "node", "label", "set", "side")), strict=True):
             if t != tile:
                 if len(rows) > 1:
                     yield found()
                 tile, rows = t, []
-            rows.append((node, label, data))
+            rows.append(row)
     if len(rows) > 1:
         yield found()
 
 
 def _tiles(rows: DataFrame, ranges: int) -> DataFrame:
-    rows = rows.select("tile", "node", "label", "set")
+    rows = rows.select("tile", "node", "label", "set", "side")
     return rows.repartition(ranges, "tile").sortWithinPartitions("tile", "node").mapInArrow(tidy(_searched), "u long, v long")
 
 
@@ -385,27 +390,30 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     leaf = F.concat_ws("-", F.lpad(by_size.cast("string"), 4, "0"), F.lpad(F.pmod(F.xxhash64("node"), F.col("leaves")).cast("string"), 9, "0"))
     sets = staged(sets.withColumn("leaf", F.when(F.col("leaves") > 1, leaf).otherwise("")), "jaccard-sets")
 
-    small = sets.where("leaves = 1").select(F.concat_ws("/", F.col("block").cast("string"), F.lit("")).alias("tile"), "node", F.col("node").alias("label"), "set")
+    small = sets.where("leaves = 1").select(F.concat_ws("/", F.col("block").cast("string"), F.lit("")).alias("tile"), "node", F.col("node").alias("label"), "set", F.lit(0).alias("side"))
     large = sets.where("leaves > 1")
-    groups = staged(large.groupBy("block", "leaf").agg(F.min("n").alias("least"), F.max("n").alias("most")), "jaccard-leaves")
+    groups = staged(large.groupBy("block", "leaf").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("tokens")), "jaccard-leaves")
     many = not groups.isEmpty()
     tiles = small
     if many:
         order = Window.partitionBy("block").orderBy("leaf")
         near = groups.select("block", "leaf", F.array(F.col("leaf"), F.lag("leaf").over(order)).alias("tiles"))
         near = near.select("block", "leaf", F.explode("tiles").alias("at")).where("at IS NOT NULL")
-        first = large.join(near, ["block", "leaf"]).select(F.concat_ws("/", F.col("block").cast("string"), "at").alias("tile"), "node", F.col("node").alias("label"), "set")
+        first = large.join(near, ["block", "leaf"]).select(F.concat_ws("/", F.col("block").cast("string"), "at").alias("tile"), "node", F.col("node").alias("label"), "set", F.lit(0).alias("side"))
         tiles = small.unionByName(first)
     links = staged(_tiles(tiles, ranges), "jaccard-links")
     labels = components(links, "jaccard-links")
     if many:
         known = large.join(labels, "node", "left").select("block", "leaf", "node", F.coalesce("label", "node").alias("label"), "set")
         state = known.groupBy("block", "leaf").agg(F.min("label").alias("low"), F.max("label").alias("high")).join(groups, ["block", "leaf"])
-        state = staged(state, "jaccard-state")
+        state = staged(state.withColumn("strip", F.floor(F.sum("tokens").over(order) / STRIP_TOKENS)), "jaccard-state")
         a, b = state.alias("a"), state.alias("b")
         fits = (F.least("a.most", "b.most") * DENOMINATOR >= F.greatest("a.least", "b.least") * NUMERATOR) & ~((F.col("a.low") == F.col("a.high")) & (F.col("b.low") == F.col("b.high")) & (F.col("a.low") == F.col("b.low")))
         rest = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.leaf") < F.col("b.leaf")) & fits)
-        rest = rest.select(F.col("a.block").alias("block"), F.array("a.leaf", "b.leaf").alias("leaf"), F.concat_ws("/", F.col("a.block").cast("string"), "a.leaf", "b.leaf").alias("tile")).withColumn("leaf", F.explode("leaf"))
+        # a pair of leaves is searched in the tile of their strips, to which each of its leaves is sent once
+        tile = F.concat_ws("/", F.col("a.block").cast("string"), F.col("a.strip").cast("string"), F.col("b.strip").cast("string"))
+        ends = F.array(F.struct(F.col("a.leaf").alias("leaf"), F.lit(0).alias("side")), F.struct(F.col("b.leaf").alias("leaf"), (F.col("a.strip") < F.col("b.strip")).cast("int").alias("side")))
+        rest = rest.select(F.col("a.block").alias("block"), tile.alias("tile"), F.explode(ends).alias("end")).select("block", "tile", "end.leaf", "end.side").distinct()
         rest = staged(rest, "jaccard-rest")
         if not rest.isEmpty():
             more = _tiles(known.join(rest, ["block", "leaf"]), ranges)

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 
+from tessera.llm import jaccard_join
 from tessera.llm.components import components
 from tessera.llm.exact_dedup import exact_dedup, exact_groups
 from tessera.llm.jaccard_join import Forest, jaccard_components, near_dedup, search
@@ -113,6 +114,28 @@ def test_large_block_of_near_copies(spark):
     assert [got[i] for i in range(len(texts))] == group
 
 
+def test_large_block_without_links_is_sent_by_strips(spark, monkeypatch):
+    """Texts that share all they are made of, and hardly any link: a leaf travels once a strip, not once a leaf."""
+    rng = random.Random(5)
+    parts = [" ".join(f"p{k}w{i}" for i in range(30)) for k in range(40)]
+    texts = [" ".join(rng.sample(parts, 4)) for _ in range(480)]
+    texts += [f"{t} end{i}" for i, t in enumerate(texts[::60])]
+    group, _ = brute(texts)
+    rows = {}
+
+    def counted(df, label, staged=jaccard_join.staged):
+        out = staged(df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "staged", counted)
+    for tokens, strips in ((500_000, 1), (15_000, 5)):
+        monkeypatch.setattr(jaccard_join, "STRIP_TOKENS", tokens, raising=False)
+        got = {r.doc_id: r.component_id for r in jaccard_components(docs(spark, texts)).collect()}
+        assert [got[i] for i in range(len(texts))] == group
+        assert 8 < rows["jaccard-leaves"] and rows["jaccard-rest"] <= (rows["jaccard-leaves"] + strips) * strips
+
+
 def test_jaccard_edge_cases(spark):
     assert jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = jaccard_components(docs(spark, ["a b", "A  B", None, "a", None], [5, 4, None, 2, 9])).collect()
