@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import indicators as I
 from ..operators import simulate as D
+from ..operators.cross import with_quantiles
+from ..sources.files import staged
 from ..sources.panel import calendar, panel
 from . import query as Q
 from . import sql as S
@@ -112,9 +114,11 @@ def event_catalogue(spark, sf):
     events = {"1_golden_cross": F.col("golden_cross"), "2_rising3": F.col("hist_up3"), "3_rising5": F.col("hist_up5"), "4_golden_below": F.col("gc_below"), "5_golden_above": F.col("gc_above"), "6_slow_improvement": F.col("st_slowimp"), "7_fast_flip": F.col("st_fastflip"), "8_decay": F.col("st_decay"), "9_death_cross": F.col("death_cross")}
     hits = F.explode(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in events.items())))).alias("event")
     after = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.round(f"fwd{h}", 9).alias("v")) for h in _AHEAD))).alias("g")
-    each = df.select(hits, *(f"fwd{h}" for h in _AHEAD)).select("event", after).select("event", "g.*").where("v IS NOT NULL")
+    hits = staged(df.select(hits, *(f"fwd{h}" for h in _AHEAD)), "event-hits")
+    each = hits.select("event", after).select("event", "g.*").where("v IS NOT NULL")
     v = F.col("v")
-    out = each.groupBy("event", "horizon").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.avg((v > 0).cast("double")).alias("win"), *(F.percentile(v, p / 100).alias(f"p{p}") for p in (10, 25, 50, 75, 90)))
+    out = each.groupBy("event", "horizon").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.avg((v > 0).cast("double")).alias("win"))
+    out = with_quantiles(out, each, ["event", "horizon"], "v", {f"p{p}": p / 100 for p in (10, 25, 50, 75, 90)})
     return out.select("event", "horizon", "n", *r6("mean", "std", "win", "p10", "p25", "p50", "p75", "p90"))
 
 

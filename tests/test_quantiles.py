@@ -1,0 +1,33 @@
+"""Exact percentiles without gathering a group's values."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from tessera.operators import simulate as D
+from tessera.operators.cross import quantiles, with_quantiles
+
+AT = {"p10": 0.1, "med": 0.5, "p75": 0.75, "top": 1.0}
+
+
+def test_quantiles_equal_percentile(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), i % 3, rng.choice([None, 0.25, -3.5, round(rng.gauss(0, 0.2), 4), rng.gauss(0, 1e-6)])) for i in range(3000)]
+    rows += [("one", 0, 1.5), ("two", 1, 1.0), ("two", 1, 2.0), ("none", 2, None)]
+    df = spark.createDataFrame(rows, "k string, h int, v double")
+    want = {(r.k, r.h): r for r in df.groupBy("k", "h").agg(F.count("v").alias("n"), *(F.percentile("v", p).alias(k) for k, p in AT.items())).collect()}
+    got = with_quantiles(df.groupBy("k", "h").agg(F.count("v").alias("n")), df, ["k", "h"], "v", AT).collect()
+    assert len(got) == len(want)
+    for r in got:
+        w = want[r.k, r.h]
+        assert all((r[c] is None and w[c] is None) or abs(r[c] - w[c]) < 1e-12 for c in AT) and r.n == w.n
+    assert [r.top for r in quantiles(df, [], "v", AT).collect()] == [df.agg(F.max("v")).first()[0]]
+    assert quantiles(df.where("v > 99"), ["k"], "v", AT).count() == 0
+
+
+def test_statistics_of_trades_gather_no_values(spark):
+    df = spark.createDataFrame([(i % 7, None if i % 5 == 0 else (i % 11 - 4) / 100) for i in range(200)], "code int, net double")
+    out = D.trade_stats(df)
+    assert "percentile(" not in out._jdf.queryExecution().toString()
+    w, r = df.agg(*(F.percentile("net", p).alias(k) for k, p in {"median": 0.5, "p10": 0.1, "p90": 0.9}.items())).first(), out.first()
+    assert all(abs(r[k] - w[k]) < 1e-12 for k in w.asDict()) and r.n == 160
