@@ -220,7 +220,8 @@ def _pooled(spark, sf) -> DataFrame:
 def depth_tails(spark, sf):
     """Trades of the deepest rows of the whole sample, by how deep."""
     each = _pooled(spark, sf).select("r", "px_ma60_pct", _chosen([(F.col("p") <= t, {"tail": F.lit(t)}) for t in _TAILS])).select("r", "px_ma60_pct", "g.tail")
-    return each.groupBy("tail").agg(F.count("r").alias("n"), F.avg("r").alias("mean"), F.percentile("r", 0.5).alias("med"), _won(F.col("r")).alias("win"), F.max("px_ma60_pct").alias("edge")).select("tail", "n", *r6("mean", "med", "win", "edge"))
+    out = each.groupBy("tail").agg(F.count("r").alias("n"), F.avg("r").alias("mean"), _won(F.col("r")).alias("win"), F.max("px_ma60_pct").alias("edge"))
+    return X.with_quantiles(out, each, ["tail"], "r", {"med": 0.5}).select("tail", "n", *r6("mean", "med", "win", "edge"))
 
 
 @query("depth_years", S.with_(ROWS, _POOLED + " SELECT year(date)::INTEGER AS year, count(r) FILTER (p <= 0.2) AS n, round(avg(r) FILTER (p <= 0.2), 6) AS tail, round(avg(r) FILTER (p > 0.2), 6) AS rest, round(avg(r) FILTER (p <= 0.2) - avg(r) FILTER (p > 0.2), 6) AS diff FROM z GROUP BY 1"))
@@ -275,7 +276,9 @@ def strength_splits(spark, sf):
     d, s = F.col("d_rs"), F.col("size_grp")
     tests = {"all": F.lit(True), "weakest": d == 1, "weak": d <= 3, "middle": d.between(4, 7), "strong": d >= 8, "smallest 10 %": s == 0, "10 to 30 %": s.between(1, 2), "30 to 70 %": s.between(3, 6), "70 to 100 %": s >= 7, "rising": F.col("bull"), "falling": ~F.col("bull")}
     each = df.select((F.col("r") - X.COST).alias("net"), _chosen(_groups(tests))).select("net", "g.variant")
-    return each.groupBy("variant").agg(F.count("*").alias("n"), F.avg("net").alias("mean"), F.percentile("net", 0.5).alias("med"), _won(F.col("net")).alias("win")).select("variant", "n", *r6("mean", "med", "win"))
+    each = staged(each, "strength-splits")
+    out = each.groupBy("variant").agg(F.count("*").alias("n"), F.avg("net").alias("mean"), _won(F.col("net")).alias("win"))
+    return X.with_quantiles(out, each, ["variant"], "net", {"med": 0.5}).select("variant", "n", *r6("mean", "med", "win"))
 
 
 _LH = (1, 5, 10, 20, 60)
@@ -292,7 +295,8 @@ def layered_entries(spark, sf):
     two = one & (F.col("px_ma60_pct") > 0)
     layers = {"1 crossed": F.lit(True), "2 on volume": one, "3 above ma60": two, "4 rising market": two & F.col("bull")}
     each = df.select(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"f{h}").alias("v")) for h in _LH)).alias("h"), _chosen([(t, {"layer": F.lit(k)}) for k, t in layers.items()])).select("g.layer", F.inline("h")).where("v IS NOT NULL")
-    out = each.groupBy("layer", "horizon").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.percentile("v", 0.5).alias("med"), F.stddev_samp("v").alias("sd"), _won(F.col("v")).alias("win"))
+    out = each.groupBy("layer", "horizon").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), _won(F.col("v")).alias("win"))
+    out = X.with_quantiles(out, each, ["layer", "horizon"], "v", {"med": 0.5})
     return out.select("layer", "horizon", "n", *r6("mean", "med", "sd", "win", t=ratio(F.col("mean") * F.sqrt(F.col("n").cast("double")), "sd")))
 
 
