@@ -31,3 +31,15 @@ def test_statistics_of_trades_gather_no_values(spark):
     assert "percentile(" not in out._jdf.queryExecution().toString()
     w, r = df.agg(*(F.percentile("net", p).alias(k) for k, p in {"median": 0.5, "p10": 0.1, "p90": 0.9}.items())).first(), out.first()
     assert all(abs(r[k] - w[k]) < 1e-12 for k in w.asDict()) and r.n == 160
+
+
+def test_shuffle_partitions_follow_the_input(spark, tmp_path, monkeypatch):
+    from tessera.sources import versions as V
+
+    spark.range(20000).selectExpr("id", "uuid() AS s").coalesce(1).write.parquet(f"{tmp_path}/t")
+    session = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert V.spread(spark, [f"{tmp_path}/t"]) == session
+    monkeypatch.setattr(V, "PARTITION_BYTES", 10_000)
+    assert V.spread(spark, [f"{tmp_path}/t"]) > 10 * session
+    monkeypatch.undo()
+    V.spread(spark, [f"{tmp_path}/t"])
