@@ -42,7 +42,7 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 3, 4
 CHUNK_TOKENS, CHUNK_DOCS = 500_000, 20_000
 LEAF = 48  # sets of a leaf of a large block
-STRIP_TOKENS = 500_000  # tokens of a strip of leaves, about: a search of two strips holds so many of each
+STRIP_TOKENS, STRIP_SETS = 500_000, 400  # tokens and sets of a strip of leaves, about: a search of two strips holds so many of each
 NODE = 8  # sets of the lowest nodes of a tree
 RANGE_TOKENS = 2_000_000  # tokens of a range of hashes, about: what a task holds does not grow with the input
 BROADCAST_ROWS = 1_000_000  # identifiers sent to all executors at most (16 MB); beyond, they are joined by shuffle
@@ -392,7 +392,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     small = sets.where("leaves = 1").select(F.concat_ws("/", F.col("block").cast("string"), F.lit("")).alias("tile"), "node", F.col("node").alias("label"), "set", F.lit(0).alias("side"))
     large = sets.where("leaves > 1")
-    groups = staged(large.groupBy("block", "leaf").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("tokens")), "jaccard-leaves")
+    groups = staged(large.groupBy("block", "leaf").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("tokens"), F.count("*").alias("sets")), "jaccard-leaves")
     many = not groups.isEmpty()
     tiles = small
     if many:
@@ -406,7 +406,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     if many:
         known = large.join(labels, "node", "left").select("block", "leaf", "node", F.coalesce("label", "node").alias("label"), "set")
         state = known.groupBy("block", "leaf").agg(F.min("label").alias("low"), F.max("label").alias("high")).join(groups, ["block", "leaf"])
-        state = staged(state.withColumn("strip", F.floor(F.sum("tokens").over(order) / STRIP_TOKENS)), "jaccard-state")
+        state = staged(state.withColumn("strip", F.floor(F.sum(F.greatest(F.col("tokens") / STRIP_TOKENS, F.col("sets") / STRIP_SETS)).over(order))), "jaccard-state")
         a, b = state.alias("a"), state.alias("b")
         fits = (F.least("a.most", "b.most") * DENOMINATOR >= F.greatest("a.least", "b.least") * NUMERATOR) & ~((F.col("a.low") == F.col("a.high")) & (F.col("b.low") == F.col("b.high")) & (F.col("a.low") == F.col("b.low")))
         rest = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.leaf") < F.col("b.leaf")) & fits)

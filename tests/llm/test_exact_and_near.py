@@ -129,7 +129,7 @@ def test_large_block_without_links_is_sent_by_strips(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(jaccard_join, "staged", counted)
-    for tokens, strips in ((500_000, 1), (15_000, 5)):
+    for tokens, strips in ((500_000, 2), (15_000, 5)):
         monkeypatch.setattr(jaccard_join, "STRIP_TOKENS", tokens, raising=False)
         got = {r.doc_id: r.component_id for r in jaccard_components(docs(spark, texts)).collect()}
         assert [got[i] for i in range(len(texts))] == group
