@@ -9,12 +9,12 @@ from ..operators import indicators as I
 from ..operators import simulate as D
 from ..operators.cross import with_quantiles
 from ..sources.files import staged
-from ..sources.panel import calendar, panel
+from ..sources.panel import panel
 from . import query as Q
 from . import sql as S
 from .catalog_cross import r6
-from .catalog_strategy import CHAINED, HOLD, ROWS, _excess, prepared
-from .catalog_windows import ROUNDED, P, base, rounded_macd
+from .catalog_strategy import CHAINED, HOLD, ROWS, _days, _excess, prepared
+from .catalog_windows import ROUNDED, P, rounded_macd
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -46,7 +46,7 @@ LISTED = CHAINED + """, lst AS (SELECT ex.code, ex.date, c1.date AS entry_date,
 
 
 def _listed(spark, sf) -> DataFrame:
-    days = calendar(base(spark, sf).drop("day"))  # a row per period
+    days = _days(spark, sf)  # a row per period
     df = _excess(spark, sf).withColumns({c: F.round(c, 9) for c in ("net", "excess")})
     df = df.join(F.broadcast(days.select(F.col("day").alias("entry_day"), F.col("date").alias("entry_date"))), "entry_day")
     df = df.join(F.broadcast(days.select(F.col("day").alias("due_day"), F.col("date").alias("exit_date"))), "due_day", "left")

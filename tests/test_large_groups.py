@@ -43,3 +43,19 @@ def test_shuffle_partitions_follow_the_input(spark, tmp_path, monkeypatch):
     assert V.spread(spark, [f"{tmp_path}/t"]) > 10 * session
     monkeypatch.undo()
     V.spread(spark, [f"{tmp_path}/t"])
+
+
+def test_bins_come_from_bounds_and_no_window_sees_a_period(spark):
+    from tessera.functions.columns import bins, rank_pct
+    from tessera.operators import cross as X
+
+    rng = random.Random(5)
+    rows = [(i, day, rng.choice([None, 0.0, -0.0, 0.25, 0.25, rng.gauss(0, 1)]), rng.choice([None, float(rng.randrange(4))]), rng.gauss(0, 1)) for day in ("2024-01-01", "2024-01-08") for i in range(150)]
+    rows += [(1, "2024-01-15", 2.0, None, 1.0), (2, "2024-01-15", None, None, None), (1, None, 3.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "code int, date string, a double, b double, amt20_lag double").withColumn("date", F.col("date").cast("date"))
+    out = X.with_deciles(df, ("a", "b"))
+    assert out.columns == [*df.columns, "d_a", "d_b", "size_grp"]
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    ranked = [bins(rank_pct(c, ["date"])) for c in ("a", "b", "amt20_lag")]
+    want = df.select("code", "date", ranked[0], ranked[1], ranked[2] - 1)
+    assert sorted(map(str, map(tuple, out.select("code", "date", "d_a", "d_b", "size_grp").collect()))) == sorted(str(tuple(r)) for r in want.collect())
