@@ -59,3 +59,11 @@ def test_bins_come_from_bounds_and_no_window_sees_a_period(spark):
     ranked = [bins(rank_pct(c, ["date"])) for c in ("a", "b", "amt20_lag")]
     want = df.select("code", "date", ranked[0], ranked[1], ranked[2] - 1)
     assert sorted(map(str, map(tuple, out.select("code", "date", "d_a", "d_b", "size_grp").collect()))) == sorted(str(tuple(r)) for r in want.collect())
+
+
+def test_merged_partitions_are_small(spark, tmp_path):
+    from tessera.sources import versions as V
+
+    spark.range(10).write.parquet(f"{tmp_path}/t")
+    V.spread(spark, [f"{tmp_path}/t"])
+    assert int(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")) <= 1 << 20
