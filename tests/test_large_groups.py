@@ -67,3 +67,25 @@ def test_merged_partitions_are_small(spark, tmp_path):
     spark.range(10).write.parquet(f"{tmp_path}/t")
     V.spread(spark, [f"{tmp_path}/t"])
     assert int(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")) <= 1 << 20
+
+
+def test_factor_days_equal_windows(spark):
+    from tessera.functions.columns import correlation, rank_pct
+    from tessera.operators import cross as X
+    from pyspark.sql import Window
+
+    rng = random.Random(9)
+    rows = [(day, code, (day + code) % 3 == 0 if day == 2 else day == 1, rng.choice([None, 0.5, rng.gauss(0, 1)]), rng.choice([None, 1.0, 2.0, rng.gauss(0, 1)]), 1.0 if code < 80 else None) for day in range(4) for code in range(100 if day else 20)]
+    df = spark.createDataFrame(rows, "day long, code long, bull boolean, y double, a double, flat double")
+    out = X.factor_days(df, ("a", "flat"))
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    day = Window.partitionBy("day")
+    some = df.where("y IS NOT NULL AND a IS NOT NULL")
+    some = some.withColumns({"n": F.count("*").over(day), "rk": F.row_number().over(day.orderBy("a", "code")), "rx": rank_pct("a", ["day"]), "ry": rank_pct("y", ["day"])}).where("n >= 30")
+    some = some.withColumn("q", F.least(F.lit(4), F.floor((F.col("rk") - 1) * 5.0 / F.col("n"))))
+    want = {(r.day, r.bull): r for r in some.groupBy("day", "bull").agg(correlation("rx", "ry").alias("ic"), F.count("*").alias("k"), *(F.sum(F.when(F.col("q") == i, F.col("y"))).alias(f"s{i}") for i in range(5)), *(F.count_if(F.col("q") == i).alias(f"c{i}") for i in range(5))).collect()}
+    got = {(r.day, r.bull): r for r in out.where("factor = 'a'").collect()}
+    assert got.keys() == want.keys() and got
+    for k, r in got.items():
+        assert r.k == want[k].k and abs(r.ic - want[k].ic) < 1e-12 and all(r[f"c{i}"] == want[k][f"c{i}"] and abs(r[f"s{i}"] - (want[k][f"s{i}"] or 0)) < 1e-9 for i in range(5))
+    assert {r.ic for r in out.where("factor = 'flat'").collect()} <= {None}
