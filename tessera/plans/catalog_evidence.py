@@ -12,6 +12,7 @@ from ..operators import indicators as I
 from ..operators import simulate as D
 from ..sources.files import staged
 from ..sources.panel import panel
+from ..sources.versions import spread
 from . import query as Q
 from . import sql as S
 from .catalog_capacity import DRAWS, EARNED, PLANNED, TEN
@@ -19,7 +20,7 @@ from .catalog_cross import r6, states
 from .catalog_signals import with_momentum
 from .catalog_strategy import CHAINED, HOLD, ROWS, _days, _excess, prepared
 from .catalog_studies import _chosen, strength
-from .catalog_windows import ROUNDED, P
+from .catalog_windows import ROUNDED, P, sources
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -127,6 +128,22 @@ def filter_reference(spark, sf):
 _RULES = ("deep", "small", "big", "amount")
 
 
+def _contested(spark, sf, rows: DataFrame) -> DataFrame:
+    """Of each day in a rising market the first candidates of every order, as many as can matter to ``plan``.
+
+    Days are dealt to a number of partitions that follows the input, as adaptive execution would merge these few bytes
+    before every row is multiplied by the orders; the orders of a day are ranked where its rows are.
+    """
+    chosen = rows.where("bull AND d_px_ma60_pct BETWEEN 1 AND 3").repartition(spread(spark, sources(sf)), "day")
+    drawn = lambda seed: F.conv(F.substring(F.md5(F.concat_ws("|", "code", "day", seed)), 1, 12), 16, 10).cast("double")
+    named = F.array(*(F.struct(F.lit(r).alias("scenario"), Q.PICKS[r]().cast("double").alias("key")) for r in _RULES))
+    seeds = F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), lambda s: F.struct(F.concat(F.lit("rand"), s).alias("scenario"), F.lit(None).cast("double").alias("key")))
+    each = chosen.select("code", "day", "row", F.inline(F.concat(named, seeds)))
+    each = each.withColumn("key", F.when(F.col("scenario").startswith("rand"), drawn(F.substring("scenario", 5, 9))).otherwise(F.col("key")))
+    first = F.row_number().over(Window.partitionBy("scenario", "day").orderBy(F.asc_nulls_last("key"), "code"))
+    return each.withColumn("_k", first).where(F.col("_k") <= TEN.considered(HOLD)).drop("_k")
+
+
 @query("rule_verdicts", S.with_(ROWS, f""", bl AS MATERIALIZED (SELECT * FROM rws WHERE bull AND d_px_ma60_pct BETWEEN 1 AND 3),
     cd AS MATERIALIZED (SELECT 'deep' AS scenario, code, day, px_ma60_pct AS key FROM bl UNION ALL SELECT 'small', code, day, size_grp FROM bl UNION ALL SELECT 'big', code, day, -size_grp FROM bl UNION ALL SELECT 'amount', code, day, -turnover FROM bl UNION ALL SELECT 'rand' || seed, code, day, ('0x' || substr(md5(code || '|' || day || '|' || seed), 1, 12))::BIGINT::DOUBLE FROM bl CROSS JOIN range(0, {DRAWS}) t(seed)),
     rl(scenario, places, new, steps) AS (SELECT DISTINCT scenario, 10, 2, NULL::INTEGER[] FROM cd)""" + PLANNED + EARNED + """, al AS (SELECT scenario, round(cagr, 12) AS cagr FROM an WHERE basis = 'capital'), rn AS (SELECT avg(cagr) AS m, stddev_samp(cagr) AS sd, list(cagr) AS l FROM al WHERE scenario LIKE 'rand%'),
@@ -135,11 +152,7 @@ _RULES = ("deep", "small", "big", "amount")
 def rule_verdicts(spark, sf):
     """Four orders of buying in a rising market, each against the same 200 random orders: better or worse beyond two deviations."""
     rows = prepared(spark, sf).select("code", "day", "row", "oret_sig", "bull", "d_px_ma60_pct", "px_ma60_pct", "size_grp", "turnover", "ret60")
-    chosen = rows.where("bull AND d_px_ma60_pct BETWEEN 1 AND 3").repartition("day")
-    named = chosen.select("code", "day", "row", F.explode(F.array(*(F.struct(F.lit(r).alias("scenario"), Q.PICKS[r]().cast("double").alias("key")) for r in _RULES))).alias("s")).select("code", "day", "row", "s.*")
-    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", "code", "day", "seed")), 1, 12), 16, 10).cast("double")
-    random = chosen.select("code", "day", "row", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("seed")).select("code", "day", "row", F.concat(F.lit("rand"), F.col("seed")).alias("scenario"), drawn.alias("key"))
-    daily = K.daily_returns(K.plan(named.unionByName(random), HOLD, TEN), rows, _days(spark, sf), HOLD)
+    daily = K.daily_returns(K.plan(_contested(spark, sf, rows), HOLD, TEN), rows, _days(spark, sf), HOLD)
     stats = staged(D.annual_stats(K.with_value(daily.withColumn("ret", F.col("capital")), "ret"), ["scenario"]).select("scenario", F.round("cagr", 12).alias("cagr")), "verdicts")  # no deviation from the last bit where all orders buy the same
     others = stats.where("scenario LIKE 'rand%'").select(F.col("cagr").alias("x"))
     out = stats.where("scenario NOT LIKE 'rand%'").crossJoin(F.broadcast(others)).groupBy("scenario", "cagr").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("sd"), F.avg((F.col("x") < F.col("cagr")).cast("double")).alias("beaten"))  # DRAWS rows

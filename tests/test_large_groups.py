@@ -89,3 +89,21 @@ def test_factor_days_equal_windows(spark):
     for k, r in got.items():
         assert r.k == want[k].k and abs(r.ic - want[k].ic) < 1e-12 and all(r[f"c{i}"] == want[k][f"c{i}"] and abs(r[f"s{i}"] - (want[k][f"s{i}"] or 0)) < 1e-9 for i in range(5))
     assert {r.ic for r in out.where("factor = 'flat'").collect()} <= {None}
+
+
+def test_random_orders_are_ranked_where_a_day_lies(spark):
+    import os
+
+    import pytest
+
+    from tessera.plans import catalog_evidence as E
+    from tessera.plans.catalog_strategy import prepared
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    first = E._contested(spark, folder, prepared(spark, folder))
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS, [plan_id" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+    most = first.groupBy("scenario", "day").count().agg(F.max("count"), F.countDistinct("scenario")).first()
+    assert most[0] <= 12 and most[1] == 4 + E.DRAWS
