@@ -115,6 +115,22 @@ def test_divergence_hand_case(spark):
     assert got.index[got.dv_bull].tolist() == [75]
 
 
+def test_volume_score_at_an_edge_of_its_bins(spark):
+    # scores of exactly -1, -1 and 1, which doubles put at -1.0000000000000002 or 0.9999999999999998
+    cases = [
+        ([70, 44, 37, 78, 39, 77, 39, 10, 69, 124, 81, 74, 130, 14, 48, 27, 58, 28, 81, 52, 27], -1, 1),
+        ([31, 25, 33, 93, 7, 89, 2, 50, 13, 32, 92, 35, 10, 36, 73, 62, 8, 33, 33, 83, 12], -1, 1),
+        ([21, 82, 50, 39, 67, 68, 6, 85, 114, 46, 114, 108, 73, 33, 41, 51, 114, 38, 36, 14, 94], 1, 3),
+    ]
+    for volumes, score, _ in cases:
+        past, now = volumes[:-1], volumes[-1]
+        assert len(past) == 20 and 19 * (20 * now - sum(past)) ** 2 == 20 * (20 * sum(v * v for v in past) - sum(past) ** 2) and (20 * now > sum(past)) == (score > 0)
+    df = spark.createDataFrame([(i, d, float(v)) for i, (volumes, _, _) in enumerate(cases) for d, v in zip(days(21), volumes)], "code int, date date, volume double")
+    got = pdf(I.volume_trend(df), "volz20", "volz_bin").groupby("code").tail(1)
+    np.testing.assert_allclose(got.volz20, [c[1] for c in cases], rtol=1e-12)
+    assert got.volz_bin.tolist() == [c[2] for c in cases]
+
+
 def test_asof_join_matches_merge_asof(spark):
     rng = np.random.default_rng(1)
     left = pd.DataFrame({"code": rng.integers(0, 5, 200), "date": pd.to_datetime("2020-01-01") + pd.to_timedelta(rng.integers(0, 300, 200), "D")}).drop_duplicates()
